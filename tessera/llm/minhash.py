@@ -18,7 +18,7 @@ from tessera.llm.components import components
 from tessera.llm.shared import LOWER, chunks, saved
 
 BANDS, ROWS = 24, 4  # a pair at 0.85 shares no band with probability (1 - 0.85**4)**24 = 2e-8
-BINS, BITS = 512, 1024  # of the samples in an odd sketch, and its size
+BINS, BITS = 2048, 4096  # of the samples in an odd sketch, and its size
 SIGMAS = 5  # a linked pair's estimate lies further off than this with probability 3e-7
 BLOCK = 1024  # members of a bucket that one group compares
 
@@ -79,9 +79,9 @@ def signature(own: np.ndarray) -> tuple[np.ndarray, int, bytes]:
         np.minimum(least, ((part[:, None] ^ _ADDED) * _FACTORS).min(0), out=least)
     keys = _mix((least.reshape(BANDS, ROWS) * _FOLD[:ROWS]).sum(1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
     ranks = np.sort(own * np.uint64(0xD6E8FEB86659FD93))
-    bins = ranks >> np.uint64(64 - 9)
+    bins = ranks >> np.uint64(64 - 11)
     samples = ranks[np.flatnonzero(np.diff(bins, prepend=np.uint64(BINS)))]
-    odd = np.bincount((_mix(samples) >> np.uint64(64 - 10)).astype(np.int64), minlength=BITS) & 1
+    odd = np.bincount((_mix(samples) >> np.uint64(64 - 12)).astype(np.int64), minlength=BITS) & 1
     return keys, len(samples), np.packbits(odd.astype(np.uint8)).tobytes()
 
 
@@ -141,8 +141,13 @@ def _alike(x: dict, i: np.ndarray, y: dict, percent: int) -> np.ndarray:
     a, b = x["n"][i][:, None], y["n"][None]
     share = percent / 100
     union = (a + b) / (1 + share)
-    bins = BINS * -np.expm1(union * np.log1p(-1 / BINS))
-    spread = np.sqrt(share * (1 - share) * bins * np.maximum(0, 1 - bins / union) + 12)
+    filled = lambda n: BINS * -np.expm1(n * np.log1p(-1 / BINS))
+    bins = np.minimum(filled(union) * (x["bins"][i][:, None] + y["bins"][None]) / (filled(a) + filled(b)), BINS)
+    empty = np.exp(-union / BINS)
+    uneven = BINS * empty * (1 - (1 + union / BINS) * empty)  # variance of the number of filled bins, most of it known by now
+    load = 2 * (1 - share) * bins / BITS  # of the bitmap of the difference, at most
+    noise = BITS / 16 * -np.expm1(np.log1p(4 * load) - 4 * load) * np.exp(4 * load)
+    spread = np.sqrt(share * (1 - share) * bins * np.maximum(0, 1 - bins / union) + noise + 0.2 * uneven + 0.25)
     return np.where(100 * np.minimum(a, b) >= percent * np.maximum(a, b), same - share * bins + SIGMAS * spread, -1.0)
 
 
@@ -167,7 +172,7 @@ def _nearest(percent: int):
     return of
 
 
-def _across(percent: int):
+def _across(percent: int, most: int | None):
     def of(batches):
         for g in _groups(batches, ["bucket", "qb", "mb"]):
             asks = np.flatnonzero(g["asks"])
@@ -178,7 +183,10 @@ def _across(percent: int):
             for lo in range(0, len(asks), 64):
                 i = asks[lo : lo + 64]
                 over = _alike(g, i, y, percent)
-                q, r = np.nonzero((over >= 0) & (g["comp"][i][:, None] != y["comp"][None]))
+                over[g["comp"][i][:, None] == y["comp"][None]] = -1
+                if most is not None and most < over.shape[1]:
+                    over[over < -np.partition(-over, most - 1, axis=1)[:, most - 1 : most]] = -1
+                q, r = np.nonzero(over >= 0)
                 if len(q):
                     a, b = g["cid"][i[q]], y["cid"][r]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -207,8 +215,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are runs other than ASCII white space, after lower-casing A-Z; the set holds three-word shingles. Two sets are
     linked if 100 * intersection >= percent * union. Exact copies form one class at once; every class goes to its band
-    buckets. First each class is confirmed against its best match in each bucket (in blocks of a large one), then all
-    sifted pairs of a bucket that still lie in different components: no cap, and no pair inside a component.
+    buckets. First each class is confirmed against its best match in each bucket (in blocks of a large one), then against
+    its best few of other components there, then all sifted pairs that still lie in different components: no cap, and
+    no pair inside a component.
     Null or empty text: no set, no link. Null id: no link, null component, kept. Repeated rows are each returned; rows
     of one id with different texts are one node. Other columns of docs are not read.
     """
@@ -235,18 +244,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = saved(confirmed(first), "linked")
     roots = components(links)
 
-    placed = shared.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("root", "cid").alias("comp"))
-    sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
-    split = sizes.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("members"), F.count("*").alias("comps")).filter("comps > 1")
-    left = saved(placed.join(split, "bucket").select("bucket", "cid", "comp", (F.col("comp") != F.col("top.comp")).alias("asks"), F.ceil(F.col("members") / BLOCK).alias("nb"), F.ceil((F.col("members") - F.col("top.k")) / 256).alias("nq")), "unjoined")
-    q, m = F.pmod(F.xxhash64("cid"), F.col("nq")), F.pmod(F.xxhash64("cid", F.lit(1)), F.col("nb"))
-    held = left.select("bucket", "cid", "comp", F.lit(False).alias("asks"), F.explode(F.expr("sequence(0L, nq - 1)")).alias("qb"), m.alias("mb"))
-    asks = left.filter("asks").select("bucket", "cid", "comp", "asks", q.alias("qb"), F.explode(F.expr("sequence(0L, nb - 1)")).alias("mb"))
-    dealt = held.union(asks).join(sketches, "cid").repartition("bucket", "qb", "mb").sortWithinPartitions("bucket", "qb", "mb")
-    second = dealt.select("bucket", "qb", "mb", "cid", "comp", "asks", "n", "bins", "sketch").mapInArrow(_across(percent), "a long, b long").distinct()
-    second = saved(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(confirmed(second)).union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    roots = components(saved(links, "linked"))
+    tested = first
+    for most in (4, None):  # the best few across components first: what they join needs no more pairs
+        placed = shared.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("root", "cid").alias("comp"))
+        sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+        split = sizes.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("members"), F.count("*").alias("comps")).filter("comps > 1")
+        left = saved(placed.join(split, "bucket").select("bucket", "cid", "comp", (F.col("comp") != F.col("top.comp")).alias("asks"), F.ceil(F.col("members") / BLOCK).alias("nb"), F.ceil((F.col("members") - F.col("top.k")) / 256).alias("nq")), "unjoined")
+        q, m = F.pmod(F.xxhash64("cid"), F.col("nq")), F.pmod(F.xxhash64("cid", F.lit(1)), F.col("nb"))
+        held = left.select("bucket", "cid", "comp", F.lit(False).alias("asks"), F.explode(F.expr("sequence(0L, nq - 1)")).alias("qb"), m.alias("mb"))
+        asks = left.filter("asks").select("bucket", "cid", "comp", "asks", q.alias("qb"), F.explode(F.expr("sequence(0L, nb - 1)")).alias("mb"))
+        dealt = held.union(asks).join(sketches, "cid").repartition("bucket", "qb", "mb").sortWithinPartitions("bucket", "qb", "mb")
+        pairs = dealt.select("bucket", "qb", "mb", "cid", "comp", "asks", "n", "bins", "sketch").mapInArrow(_across(percent, most), "a long, b long").distinct()
+        pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.union(pairs)
+        links = confirmed(pairs).union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = components(saved(links, "linked"))
 
     named = classes.select("set_key", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("set_key", F.coalesce("root", "cid").alias("component"))
     out = signed.select("id", "n", "set_key").join(named, "set_key", "left")
