@@ -32,6 +32,11 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
+def _maybe(text: Column) -> Column:
+    """A cheap test that every text with an entity passes: it has an @, a digit, a long hex run, a key's prefix or a title."""
+    return reduce(lambda a, b: a | b, [text.contains("@"), text.rlike("[0-9]"), text.rlike("[a-fA-F]{32}"), *(text.contains(x) for x in ("AKIA", "ghp_", "gho_", "sk-", "xoxb-", *FEMALE, *MALE))])
+
+
 def _kind(surface: Column) -> Column:
     return reduce(lambda rest, x: F.when(surface.rlike(rf"\A(?:{x[1]})\z"), x[0]).otherwise(rest), reversed(list(PATTERNS.items())), F.lit("other"))
 
@@ -145,7 +150,7 @@ def replace_entities(docs: DataFrame, key: str = "tessera", text_col: str = "tex
     """
     rest = docs.drop("n_entities", "entity_kinds")
     text = F.col(text_col)
-    has = F.coalesce(text.rlike(ANY), F.lit(False))
+    has = F.coalesce(_maybe(text) & text.rlike(ANY), F.lit(False))
     kinds = F.expr("cast(array() as array<string>)")
     plain = rest.filter(~has).select("*", F.lit(0).cast("long").alias("n_entities"), kinds.alias("entity_kinds"))
     hit = rest.filter(has)
