@@ -17,7 +17,7 @@ LENGTH = 4096  # tokens of a sequence
 END = 2  # the id after each document
 SHARD_BYTES = 3 << 20  # text of a shard: some 300 sequences, of which the last is padded
 LINEAR, QUADRATIC = 1.0, 1 / 4096  # cost of a token, and of a pair of tokens that attend to each other
-CACHED = 250_000
+CACHED = 500_000  # words whose ids a worker keeps
 
 _SAFE = [chr(c) for c in (9, 10, 13, *range(32, 127), *range(0xA1, 0x180))]
 _letters = "".join(c for c in _SAFE if unicodedata.category(c)[0] == "L")
@@ -37,15 +37,24 @@ class Tokens:
 
         self.model, self.known = Tokenizer.from_file(path), {}
 
+    def _learn(self, words: list[str]) -> None:
+        """One call for many words: each is one piece of the tokenizer's own splitting, so its ids are those of that piece."""
+        one = self.model.encode(" ".join(words), add_special_tokens=False)
+        ids, places = np.array(one.ids, "<u4"), np.array(one.word_ids, np.int64)
+        edge = np.flatnonzero(np.diff(places, prepend=-1))
+        if len(edge) == len(words):
+            self.known.update((w, ids[a:b].tobytes()) for w, a, b in zip(words, edge.tolist(), [*edge[1:].tolist(), len(ids)]))
+        else:
+            self.known.update((w, np.array(self.model.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in words)
+
     def of(self, texts: list[str]) -> list[np.ndarray]:
         lists = [None if _ODD.search(t) else _PIECE.findall(t.lower()) for t in texts]
         own = [x for x in lists if x is not None]
         new = sorted(set().union(*own) - self.known.keys())
         if len(self.known) + len(new) > CACHED:
             self.known, new = {}, sorted(set().union(*own))
-        for k in range(0, len(new), 10_000):
-            for w, e in zip(new[k : k + 10_000], self.model.encode_batch_fast(new[k : k + 10_000], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        for k in range(0, len(new), 500):
+            self._learn(new[k : k + 500])
         look = self.known.__getitem__
         return [np.array(self.model.encode(t, add_special_tokens=False).ids, "<u4") if x is None else np.frombuffer(b"".join(map(look, x)), "<u4") for t, x in zip(texts, lists)]
 
