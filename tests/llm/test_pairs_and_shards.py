@@ -94,7 +94,7 @@ def test_salvage_reader():
         assert [x["page_id"] for x in found if x["kind"] != "gap"] == [1, 3]
         gaps = [(x["start"], x["end"]) for x in found if x["kind"] == "gap"]
         assert gaps == [(len(a), len(a) + len(bad))]
-        assert [x["kind"] for x in warc.salvage(b"junk" + a + c[:40])] == ["gap", "response", "gap"]
+        assert [x["kind"] for x in warc.salvage(b"junk\n" + a + c[:40])] == ["gap", "response", "gap"]
     assert list(warc.salvage(b"")) == []
 
 
