@@ -85,22 +85,25 @@ def signature(own: np.ndarray) -> tuple[np.ndarray, int, bytes]:
     return keys, len(samples), np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts = batch.column(0), [(x or "").encode("utf-8", "replace") for x in batch.column(1).to_pylist()]
-        for lo, hi in chunks(texts):
-            sizes, keys, bands, bins, sketches = [], [], [], [], []
-            for own in shingles(texts[lo:hi]):
-                sizes.append(len(own))
-                keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
-                b, n, s = signature(own) if len(own) else (None, 0, None)
-                bands.append(b)
-                bins.append(n)
-                sketches.append(s)
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bins, pa.int32()), pa.array(sketches, pa.binary())],
-                ["id", "n", "set_key", "bands", "bins", "sketch"],
-            )
+def _signed(width: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), [(x or "").encode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            for lo, hi in chunks(texts):
+                sizes, keys, bands, bins, sketches = [], [], [], [], []
+                for own in shingles(texts[lo:hi], width):
+                    sizes.append(len(own))
+                    keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+                    b, n, s = signature(own) if len(own) else (None, 0, None)
+                    bands.append(b)
+                    bins.append(n)
+                    sketches.append(s)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bins, pa.int32()), pa.array(sketches, pa.binary())],
+                    ["id", "n", "set_key", "bands", "bins", "sketch"],
+                )
+
+    return of
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -194,14 +197,14 @@ def _across(percent: int, most: int | None):
     return of
 
 
-def _confirm(percent: int):
+def _confirm(percent: int, width: int):
     def of(batches):
         for batch in batches:
             a, b, one, two = (x.to_pylist() for x in batch.columns)
             one, two = [x.encode("utf-8", "replace") for x in one], [x.encode("utf-8", "replace") for x in two]
             out = []
             for lo, hi in chunks([x + y for x, y in zip(one, two)]):
-                for k, (s, t) in enumerate(zip(shingles(one[lo:hi]), shingles(two[lo:hi])), lo):
+                for k, (s, t) in enumerate(zip(shingles(one[lo:hi], width), shingles(two[lo:hi], width)), lo):
                     both = len(np.intersect1d(s, t, assume_unique=True))
                     if 100 * both >= percent * (len(s) + len(t) - both):
                         out.append(k)
@@ -210,10 +213,10 @@ def _confirm(percent: int):
     return of
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 3) -> DataFrame:
     """Per row of docs: id, n_shingles, component_id (smallest id reachable by links), kept (it is that id).
 
-    Words are runs other than ASCII white space, after lower-casing A-Z; the set holds three-word shingles. Two sets are
+    Words are runs other than ASCII white space, after lower-casing A-Z; the set holds shingles of width words. Two sets are
     linked if 100 * intersection >= percent * union. Exact copies form one class at once; every class goes to its band
     buckets. First each class is confirmed against its best match in each bucket (in blocks of a large one), then against
     its best few of other components there, then all sifted pairs that still lie in different components: no cap, and
@@ -223,7 +226,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = saved(rows.mapInArrow(_signed, "id long, n long, set_key binary, bands array<long>, bins int, sketch binary"), "signed")
+    signed = saved(rows.mapInArrow(_signed(width), "id long, n long, set_key binary, bands array<long>, bins int, sketch binary"), "signed")
     classes = saved(
         signed.filter("set_key is not null and id is not null").groupBy("set_key").agg(F.min(F.struct("id", "n", "bins", "sketch", "bands")).alias("r")).select("set_key", F.col("r.id").alias("cid"), "r.n", "r.bins", "r.sketch", "r.bands"), "classes"
     )
@@ -236,7 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def confirmed(pairs: DataFrame) -> DataFrame:
         one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("one")), "a")
         both = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("two")), "b")
-        return both.select("a", "b", "one", "two").mapInArrow(_confirm(percent), "a long, b long")
+        return both.select("a", "b", "one", "two").mapInArrow(_confirm(percent, width), "a long, b long")
 
     block = F.pmod(F.xxhash64("cid"), F.ceil(F.col("members") / BLOCK)).alias("block")
     dealt = shared.join(sketches, "cid").select("bucket", block, "cid", "n", "bins", "sketch").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "cid")

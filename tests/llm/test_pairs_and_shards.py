@@ -3,6 +3,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, extract, minhash, warc
@@ -15,26 +16,27 @@ def _alnum(t):
     return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOW))
 
 
-def test_minhash_against_all_pairs(spark):
+@pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
+def test_minhash_against_all_pairs(spark, width, percent):
     words = [f"w{i}" for i in range(400)]
     base = " ".join(words)
     texts = [base, base.upper(), base, None, "", " \t\n", "one", "one two", "ONE  two", "x y z", "y z x"]
     texts += [" ".join(words[:k] + [f"new{k}"] + words[k + 1 :]) for k in range(3, 390, 13)]
     texts += [" ".join(words[k:]) for k in range(0, 80, 7)] + [" ".join(f"u{(i * i + k) % 997}" for i in range(300)) for k in range(5)] + [base * 40]
     docs = spark.createDataFrame([(i + 10, t, None, None, 0, "x") for i, t in enumerate(texts)] + [(10, base, None, None, 0, "x"), (None, base, None, None, 0, "x")], DOCS)
-    got = minhash.near_duplicates(docs).collect()
+    got = minhash.near_duplicates(docs, percent=percent, width=width).collect()
     assert len(got) == len(texts) + 2
     sets = {}
     for i, t in enumerate(texts):
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
-        sets[i + 10] = {tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))} if w else set()
+        sets[i + 10] = {tuple(w[j : j + width]) for j in range(max(1, len(w) - width + 1))} if w else set()
     root = {i: i for i in sets}
     changed = True
     while changed:
         changed = False
         for a in sets:
             for b in sets:
-                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and root[a] != root[b]:
                     root[a] = root[b] = min(root[a], root[b])
                     changed = True
     for r in got:
