@@ -20,8 +20,8 @@ def _kept(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, that with the smallest doc_id; one row of repeated ones."""
-    stay = minhash.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    """One document of each near-duplicate component (five-word shingles, 0.8), that with the smallest doc_id; one row of repeated ones."""
+    stay = minhash.near_duplicates(docs, percent=80, width=5).filter("kept and doc_id is not null").select("doc_id").distinct()
     others = [c for c in docs.columns if c != "doc_id"]
     one = docs.join(stay, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("r")).select("doc_id", *(F.col(f"r.{c}").alias(c) for c in others))
     return one.select(*docs.columns).union(docs.filter("doc_id is null"))
