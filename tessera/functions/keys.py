@@ -6,6 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LABEL_DIRS = ["0_real", "1_fake"]
+#: Type names by original_type.
+FAKE_TYPES = {
+    "realvideo-realaudio": "Real",
+    "realvideo-fakeaudio": "Audio Fake",
+    "fakevideo-realaudio": "Video Fake",
+    "fakevideo-fakeaudio": "Audio + Video Fake",
+}
 
 
 def stem(path: Column) -> Column:
@@ -83,3 +90,30 @@ def windows(variant: int, start: Column, end: Column, length: int, n: int) -> Co
     room = total - length + (0 if variant == 3 else 1)
     last = end - length - (1 if variant == 3 else 0)
     return F.when(room < 1, none).otherwise(F.array_distinct(spaced(start, last, F.least(F.lit(n), room).cast("int"))))
+
+
+def fake_type(original: Column, audio: Column, video: Column) -> Column:
+    """The type by its original name; failing that by the labels of the two tracks; failing that Unknown."""
+    plain = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    tracks = F.concat(plain(video), F.lit("video-"), plain(audio), F.lit("audio"))
+    names = F.create_map(*(F.lit(x) for pair in FAKE_TYPES.items() for x in pair))
+    return F.coalesce(names[plain(original)], names[tracks], F.lit("Unknown"))
+
+
+def expand_segment(start: Column, end: Column, total: Column, min_frames: int, skip: int) -> tuple[Column, Column]:
+    """A segment that holds min_frames of every skip-th frame, if total allows: widened evenly, then into what is left on either side."""
+    if min_frames <= 0:
+        return start, end
+    span = (min_frames - 1) * skip + 1
+    need = F.lit(span) - (end - start)
+    left = F.floor(need / 2)
+    s, e = F.greatest(F.lit(0), start - left), F.least(total, end + need - left)
+    s2 = F.greatest(F.lit(0), s - F.greatest(F.lit(0), F.lit(span) - (e - s)))
+    e2 = F.when(e < total, F.least(total, e + F.greatest(F.lit(0), F.lit(span) - (e - s2)))).otherwise(e)
+    return F.when(need <= 0, start).otherwise(s2).cast("long"), F.when(need <= 0, end).otherwise(e2).cast("long")
+
+
+def normalized(values: Column, mean: list[float], std: list[float]) -> Column:
+    """Per channel (x / 255 - mean) / std of an array with one value a channel."""
+    of = F.array(*(F.struct(F.lit(float(m)).alias("m"), F.lit(float(s)).alias("s")) for m, s in zip(mean, std)))
+    return F.zip_with(values, of, lambda x, c: (x / F.lit(255.0) - c["m"]) / c["s"])

@@ -26,6 +26,11 @@ def greedy(tasks: DataFrame, group: list[str], order: list[str], cost: str, budg
     return out.select(*(F.col(c) if c in group else F.col(f"r.{c}").alias(c) for c in tasks.columns), "taken")
 
 
+def two_phase(tasks: DataFrame, group: list[str], kind: str, phase: str, order: list[str], cost: str, budget: int, filler: str = "real") -> DataFrame:
+    """greedy with a budget for each kind of a group; phase 2 comes after phase 1 and only fills what filler has left."""
+    return greedy(tasks.filter((F.col(phase) == 1) | (F.col(kind) == filler)), [*group, kind], [phase, *order], cost, budget)
+
+
 def ema(values: DataFrame, group: str, order: list[str], value: str, alpha: float = 0.25) -> DataFrame:
     """Per group: the count, the mean, and the exponential average that begins with the first value."""
     listed = values.groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v")))).alias("s"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import keys as K
 from tessera.operators import budget, metrics
+from tessera.sources import files
+from tessera.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -312,6 +314,20 @@ def budget_idle_stop(t):
     return budget.greedy(_tasks(t), ["o_custkey"], ["o_orderkey"], "cost", 1500, idle_stop=2).select("o_custkey", "o_orderkey", "taken")
 
 
+_TWO = """WITH RECURSIVE x AS (SELECT o_custkey, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) % 1000 AS cost, CASE WHEN o_orderstatus = 'F' THEN 'fake' ELSE 'real' END AS kind, CAST(1 + (o_orderkey % 2) AS INT) AS phase FROM orders),
+t AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, kind ORDER BY phase, o_orderkey) AS rn FROM x WHERE phase = 1 OR kind = 'real'),
+g AS (SELECT o_custkey, kind, o_orderkey, phase, rn, cost <= 1500 AS taken, CASE WHEN cost <= 1500 THEN 1500 - cost ELSE 1500 END AS room FROM t WHERE rn = 1
+ UNION ALL SELECT t.o_custkey, t.kind, t.o_orderkey, t.phase, t.rn, t.cost <= g.room, CASE WHEN t.cost <= g.room THEN g.room - t.cost ELSE g.room END FROM g JOIN t ON t.o_custkey = g.o_custkey AND t.kind = g.kind AND t.rn = g.rn + 1)
+SELECT o_custkey, kind, o_orderkey, phase, taken FROM g"""
+
+
+@query(_TWO)
+def budget_two_phase(t):
+    kind, phase = F.when(F.col("o_orderstatus") == "F", "fake").otherwise("real"), (1 + F.col("o_orderkey") % 2).cast("int")
+    tasks = t("orders").select("o_custkey", "o_orderkey", (F.floor("o_totalprice") % 1000).alias("cost"), kind.alias("kind"), phase.alias("phase"))
+    return budget.two_phase(tasks, ["o_custkey"], "kind", "phase", ["o_orderkey"], "cost", 1500).select("o_custkey", "kind", "o_orderkey", "phase", "taken")
+
+
 @query("WITH h AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) SELECT o_custkey, o_orderkey FROM h WHERE rn <= 3")
 def retention_last3(t):
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
@@ -389,3 +405,45 @@ def text_clean(t):
 def pair_expand(t):
     j = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))  # five rows
     return j.select(F.explode(F.array(F.concat_ws("_", "n_name", "r_name"), F.concat_ws("_", "r_name", "n_name"))).alias("pair"))
+
+
+_TRACKS = "CASE WHEN l_tax < 0.04 THEN 'Real' WHEN l_tax < 0.07 THEN ' fake' END"
+
+
+@query(f"""WITH x AS (SELECT l_returnflag, CASE WHEN l_returnflag = 'A' THEN ' RealVideo-FakeAudio ' WHEN l_returnflag = 'N' THEN 'other' END AS o, lower(trim({_TRACKS})) AS a, CASE l_linestatus WHEN 'O' THEN 'real' ELSE 'fake' END AS v FROM lineitem),
+y AS (SELECT l_returnflag, CASE WHEN lower(trim(o)) = 'realvideo-fakeaudio' THEN 'Audio Fake' WHEN a = 'real' AND v = 'real' THEN 'Real' WHEN a = 'fake' AND v = 'real' THEN 'Audio Fake' WHEN a = 'real' AND v = 'fake' THEN 'Video Fake' WHEN a = 'fake' AND v = 'fake' THEN 'Audio + Video Fake' ELSE 'Unknown' END AS fake_type FROM x)
+SELECT l_returnflag, fake_type, count(*) AS n FROM y GROUP BY ALL""")
+def fake_type(t):
+    original = F.when(F.col("l_returnflag") == "A", " RealVideo-FakeAudio ").when(F.col("l_returnflag") == "N", "other")
+    kind = K.fake_type(original, F.expr(_TRACKS), F.when(F.col("l_linestatus") == "O", "real").otherwise("fake"))
+    return t("lineitem").groupBy("l_returnflag", kind.alias("fake_type")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH x AS (SELECT o_orderkey, o_orderkey % 40 AS s, o_orderkey % 40 + o_custkey % 15 AS e, 60 AS n FROM orders), y AS (SELECT *, 41 - (e - s) AS need FROM x),
+z AS (SELECT *, greatest(0, s - need // 2) AS s1, least(n, e + need - need // 2) AS e1 FROM y), w AS (SELECT *, greatest(0, s1 - greatest(0, 41 - (e1 - s1))) AS s2 FROM z)
+SELECT o_orderkey, CAST(s2 AS BIGINT) AS s, CAST(least(n, e1 + greatest(0, 41 - (e1 - s2))) AS BIGINT) AS e FROM w""")
+def segment_expand(t):
+    s = F.col("o_orderkey") % 40
+    s, e = K.expand_segment(s, s + F.col("o_custkey") % 15, F.lit(60), 21, 2)
+    return t("orders").select("o_orderkey", s.alias("s"), e.alias("e"))
+
+
+@query("SELECT p_partkey, round(([p_size / CAST(255 AS DOUBLE)])[1] * 4 - 2, 6) AS c1, round((p_partkey % 256 / CAST(255 AS DOUBLE) - CAST(0.25 AS DOUBLE)) / CAST(0.5 AS DOUBLE), 6) AS c2 FROM part")
+def channel_normalize(t):
+    out = K.normalized(F.array(F.col("p_size").cast("double"), (F.col("p_partkey") % 256).cast("double")), [0.5, 0.25], [0.25, 0.5])
+    return t("part").select("p_partkey", F.round(out[0], 6).alias("c1"), F.round(out[1], 6).alias("c2"))
+
+
+@query(r"""WITH x AS (SELECT o_orderkey AS line_no, CASE WHEN o_orderkey % 5 = 0 THEN '# note' WHEN o_orderkey % 5 = 1 THEN '  "sub/../c' || o_custkey || '.png"' || chr(9) || 'x' WHEN o_orderkey % 5 = 2 THEN 'Image_Path' WHEN o_orderkey % 5 = 3 THEN '/abs//c' || o_custkey || '.png' ELSE './c' || o_custkey || '.png' END AS line FROM orders),
+y AS (SELECT line_no, CASE WHEN line LIKE '/abs%' THEN replace(line, '//', '/') ELSE '/base/' || regexp_extract(line, 'c\d+\.png') END AS path FROM x WHERE line NOT LIKE '#%' AND line <> 'Image_Path') SELECT min(line_no) AS line_no, path FROM y GROUP BY path""")
+def path_list(t):
+    k, name = F.col("o_orderkey") % 5, F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit(".png"))
+    line = F.when(k == 0, "# note").when(k == 1, F.concat(F.lit('  "sub/../'), name, F.lit('"\tx'))).when(k == 2, "Image_Path").when(k == 3, F.concat(F.lit("/abs//"), name)).otherwise(F.concat(F.lit("./"), name))
+    return files.parsed_paths(t("orders").select(F.col("o_orderkey").alias("line_no"), line.alias("line")), "/base")
+
+
+@query("SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS window_start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+def tumbling_counts(t):
+    """An extension: the batch form of the streaming operator."""
+    out = events.tumbling_counts(t("events"))
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
