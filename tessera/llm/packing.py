@@ -50,7 +50,7 @@ class Tokens:
     def of(self, texts: list[str]) -> list[np.ndarray]:
         lists = [None if _ODD.search(t) else _PIECE.findall(t.lower()) for t in texts]
         own = [x for x in lists if x is not None]
-        new = sorted(set().union(*own) - self.known.keys())
+        new = sorted(set().union(*own).difference(self.known))  # goes over the texts, not over all known words
         if len(self.known) + len(new) > CACHED:
             self.known, new = {}, sorted(set().union(*own))
         for k in range(0, len(new), 500):
