@@ -12,17 +12,20 @@ _SPACE, _SPACES = r"[\x20\x09-\x0D]+", "' \\t\\n\\u000b\\u000c\\r'"
 _BITS = 28  # of a place among a text's words
 
 #: The transformed statistics, and the least standard deviation that each is given (a constant statistic has none).
+#: Words that are a bare | separate the cells of a table; they are counted on their own and are no symbols here.
+#: Documents with a share TABLE of such words are tables and form groups of their own, by whose statistics they are judged.
 VECTOR = {
     "words": ("ln(1 + n_words)", 0.5),
     "word_length": ("ln(greatest(word_chars, 1) / greatest(n_words, 1))", 0.08),
-    "symbols": ("ln(1 + 100 * n_symbols / greatest(n_words, 1))", 0.5),
+    "symbols": ("ln(1 + 100 * (n_symbols - n_separators) / greatest(n_words, 1))", 0.5),
     "dup_lines": ("ln(1 + n_dup_lines)", 0.5),
     "repeats": ("ln(1 + 100 * n_repeat_words / greatest(n_words, 1))", 0.7),
 }
 CORE = 0.75  # share of a group whose covariance determinant is made small
 STEPS = 3  # concentration steps
 MIDDLE = 4.35  # median of the squared distance if the statistics were normal (five degrees of freedom)
-CUT = 110.0  # squared distance beyond which a document goes
+CUT = 20.515  # squared distance beyond which a document goes: the 0.999 quantile of chi-square with five degrees of freedom
+TABLE = 0.1
 LEAST = 100  # documents of a group that has estimates of its own; others share their language's, then all documents'
 
 
@@ -60,6 +63,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         long(F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))).alias("n_symbols"),
         long(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         "n_repeat_words",
+        long(F.size(F.filter("words", lambda x: x == "|"))).alias("n_separators"),
     )
 
 
@@ -103,17 +107,20 @@ def _fitted(near: DataFrame, floors: list[float]) -> DataFrame:
 def verdicts(stats: DataFrame, vector: dict[str, tuple[str, float]] | None = None, core: float = CORE, steps: int = STEPS, cut: float = CUT, least: int = LEAST) -> DataFrame:
     """stats (a table read from files) with distance2 and outlier.
 
-    A row's group is its language and source, its language if that has fewer than least rows, or all rows if that has
-    too. Each group starts from medians and quartile ranges; a concentration step takes the core share with the
+    A row's group is its language, source and kind (table or text), its language and kind if that has fewer than least
+    rows, its kind if that has too, or all rows. Each group starts from medians and quartile ranges; a concentration step takes the core share with the
     smallest distances and fits its mean and covariance, which never enlarges the determinant. Distances are scaled
     by the group's median where that exceeds a normal one's. Ties in distance stand or fall together (grid cells).
     """
     vector = vector or VECTOR
     floors, d = [x[1] for x in vector.values()], len(vector)
-    one = stats.groupBy("lang", "source").agg(F.count("*").alias("n_one"))
-    lang = one.groupBy("lang").agg(F.sum("n_one").alias("n_lang"))
-    level = one.join(lang, "lang").select("lang", "source", F.when(F.col("n_one") >= least, F.to_json(F.array("lang", "source"))).when(F.col("n_lang") >= least, F.to_json(F.array("lang"))).otherwise("[]").alias("key"))
-    rows = saved(stats.join(level, ["lang", "source"]).select("*", *(F.expr(e).cast("double").alias(f"x{i}") for i, (e, _) in enumerate(vector.values()))), "vectors")
+    stats_of = stats.withColumn("kind", F.when(F.col("n_separators") >= TABLE * F.col("n_words"), "table").otherwise("text"))
+    levels = [["lang", "source", "kind"], ["lang", "kind"], ["kind"]]
+    level = stats_of.groupBy(*levels[0]).agg(F.count("*").alias("n0"))
+    for k, cols in enumerate(levels[1:], 1):
+        level = level.join(level.groupBy(*cols).agg(F.sum("n0").alias(f"n{k}")), cols)
+    level = level.select(*levels[0], F.coalesce(*(F.when(F.col(f"n{k}") >= least, F.to_json(F.array(*cols))) for k, cols in enumerate(levels)), F.lit("[]")).alias("key"))
+    rows = saved(stats_of.join(level, levels[0]).select("*", *(F.expr(e).cast("double").alias(f"x{i}") for i, (e, _) in enumerate(vector.values()))), "vectors")
 
     long = rows.select("key", F.posexplode(F.array(*(F.floor(F.col(f"x{i}") * 64) for i in range(d)))).alias("i", "cell"))
     start = _quantiles(long, ["key", "i"], "cell", {"low": 0.25, "mid": 0.5, "high": 0.75})

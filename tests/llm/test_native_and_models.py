@@ -48,6 +48,21 @@ def test_outliers_go(spark):
     assert outliers.rules(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
 
 
+def _prose(rng, n, mark=""):
+    return [f"w{rng.integers(0, 5000):04d}{mark}" for _ in range(n)]
+
+
+def test_mild_junk_goes_and_tables_stay(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(_prose(rng, rng.integers(80, 300))), "en", "s") for i in range(300)]
+    rows += [(1000 + i, " ".join(_prose(rng, 150, "#")), "en", "s") for i in range(10)]
+    rows += [(2000 + i, "\n".join([" ".join(_prose(rng, 200)), *["again"] * 51]), "en", "s") for i in range(10)]
+    rows += [(3000 + i, "\n".join(" | ".join(_prose(rng, 10)) for _ in range(15)), "en", "s") for i in range(150)]
+    rows += [(4000 + i, "\n".join(" | ".join(_prose(rng, 10, "#")) for _ in range(15)), "en", "s") for i in range(10)]
+    got = {r.doc_id: r.kept for r in outliers.report(outliers.rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))).collect()}
+    assert {k // 1000 for k, kept in got.items() if kept} == {0, 3} and {k // 1000 for k, kept in got.items() if not kept} == {1, 2, 4}
+
+
 def test_licenses(docs):
     got = sorted((tuple(r)[:6] for r in licenses.report(licenses.scan(docs)).collect()), key=str)
     expected = []
