@@ -108,7 +108,8 @@ def verdicts(stats: DataFrame, vector: dict[str, tuple[str, float]] | None = Non
     """stats (a table read from files) with distance2 and outlier.
 
     A row's group is its language, source and kind (table or text), its language and kind if that has fewer than least
-    rows, its kind if that has too, or all rows. Each group starts from medians and quartile ranges; a concentration step takes the core share with the
+    rows, its kind if that has too, or all rows. The estimates of a level are fitted on all of its rows, those with
+    estimates of a narrower level too; a row's group only tells which estimates judge it. Each group starts from medians and quartile ranges; a concentration step takes the core share with the
     smallest distances and fits its mean and covariance, which never enlarges the determinant. Distances are scaled
     by the group's median where that exceeds a normal one's. Ties in distance stand or fall together (grid cells).
     """
@@ -119,19 +120,23 @@ def verdicts(stats: DataFrame, vector: dict[str, tuple[str, float]] | None = Non
     level = stats_of.groupBy(*levels[0]).agg(F.count("*").alias("n0"))
     for k, cols in enumerate(levels[1:], 1):
         level = level.join(level.groupBy(*cols).agg(F.sum("n0").alias(f"n{k}")), cols)
-    level = level.select(*levels[0], F.coalesce(*(F.when(F.col(f"n{k}") >= least, F.to_json(F.array(*cols))) for k, cols in enumerate(levels)), F.lit("[]")).alias("key"))
-    rows = saved(stats_of.join(level, levels[0]).select("*", *(F.expr(e).cast("double").alias(f"x{i}") for i, (e, _) in enumerate(vector.values()))), "vectors")
-
-    long = rows.select("key", F.posexplode(F.array(*(F.floor(F.col(f"x{i}") * 64) for i in range(d)))).alias("i", "cell"))
+    keys = [*(F.to_json(F.array(*cols)) for cols in levels), F.lit("[]")]
+    level = saved(level.select(*levels[0], F.coalesce(*(F.when(F.col(f"n{k}") >= least, key) for k, key in enumerate(keys[:-1])), keys[-1]).alias("key"), F.array(*keys).alias("keys")), "levels")
+    rows = saved(stats_of.join(level.drop("keys"), levels[0]).select("*", *(F.expr(e).cast("double").alias(f"x{i}") for i, (e, _) in enumerate(vector.values()))), "vectors")
+    judges = level.select("key").distinct()  # each is fitted on every row of its level, whatever judges the row itself
+    fitted = level.select(*levels[0], F.explode("keys").alias("key")).join(judges, "key", "left_semi")
+    members = saved(rows.drop("key").join(fitted, levels[0]).select("key", *(f"x{i}" for i in range(d))), "members")
+
+    long = members.select("key", F.posexplode(F.array(*(F.floor(F.col(f"x{i}") * 64) for i in range(d)))).alias("i", "cell"))
     start = _quantiles(long, ["key", "i"], "cell", {"low": 0.25, "mid": 0.5, "high": 0.75})
     start = start.groupBy("key").agg(*(F.max(F.when(F.col("i") == i, F.col("mid") / 64)).alias(f"m{i}") for i in range(d)), *(F.max(F.when(F.col("i") == i, F.greatest((F.col("high") - F.col("low")) / 64 / 1.349, F.lit(floors[i])))).alias(f"l{i}{i}") for i in range(d)))
     fit = saved(start.select("*", *(F.lit(0.0).alias(f"l{i}{j}") for i in range(d) for j in range(i))), "fit")
     for _ in range(steps):
-        at = _distance(rows, fit, d).withColumn("cell", _grid())
+        at = _distance(members, fit, d).withColumn("cell", _grid())
         fit = _fitted(at.select("key", "cell", *(f"x{i}" for i in range(d))).join(_quantiles(at, ["key"], "cell", {"most": core}), "key").filter("cell <= most"), floors)
-    at = _distance(rows, fit, d).withColumn("cell", _grid())
+    at = _distance(members, fit, d).withColumn("cell", _grid())
     scale = saved(_quantiles(at, ["key"], "cell", {"mid": 0.5}).select("key", F.greatest(F.lit(1.0), F.exp((F.col("mid") + 0.5) / 64) / MIDDLE).alias("scale")), "scale")
-    out = at.join(scale, "key").withColumn("distance2", F.col("d2") / F.col("scale"))
+    out = _distance(rows, fit, d).join(scale, "key").withColumn("distance2", F.col("d2") / F.col("scale"))
     return out.select(*stats.columns, "distance2", (F.col("distance2") > cut).alias("outlier"))
 
 

@@ -63,6 +63,16 @@ def test_mild_junk_goes_and_tables_stay(spark):
     assert {k // 1000 for k, kept in got.items() if kept} == {0, 3} and {k // 1000 for k, kept in got.items() if not kept} == {1, 2, 4}
 
 
+def test_rare_sources_are_judged_by_their_whole_language(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(_prose(rng, rng.integers(80, 300))), "en", f"big{i % 2}") for i in range(300)]
+    rows += [(1000, " ".join(_prose(rng, 200, "%%%%")), "en", "rare"), (2000, " ".join(_prose(rng, 150)), "en", "small")]
+    same = " ".join(_prose(rng, 200, "##"))
+    rows += [(3000 + i, same, "en", f"odd{i}") for i in range(5)] + [(4000 + i, same, f"l{i}", "odd") for i in range(5)]
+    got = {r.doc_id: r.kept for r in outliers.report(outliers.rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))).collect()}
+    assert len(got) == len(rows) and {k for k, kept in got.items() if not kept} == {1000, *range(3000, 3005), *range(4000, 4005)}
+
+
 def test_licenses(docs):
     got = sorted((tuple(r)[:6] for r in licenses.report(licenses.scan(docs)).collect()), key=str)
     expected = []
