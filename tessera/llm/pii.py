@@ -80,21 +80,46 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(d, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
-def _name(surface: Column, key: str, attempt: Column) -> Column:
+def _stem(part: Column, place: int, script: str, key: str, attempt: Column) -> Column:
+    """A surrogate name without its end: three syllables, and one more each attempt, so that a free one always exists."""
+    s = _stream(key, F.lit(f"name{place}"), part, attempt.cast("string"))
+    return F.array_join(F.transform(F.sequence(F.lit(0), attempt.cast("int") + 2), lambda k: F.get(F.array(*map(F.lit, SYLLABLES[script])), _byte(s, k) % 32)), "")
+
+
+def _name(surface: Column, key: str, attempt: Column, last: Column) -> Column:
+    """title, given name drawn by the attempt of the whole name, and surname by that of the surname (last)."""
     title = F.regexp_extract(surface, r"\A(\S+) ", 1)
     rest = F.split(F.regexp_replace(surface, r"\A\S+ ", ""), " ")
     female, cyrillic = F.regexp_replace(title, r"\.", "").isin(*FEMALE), surface.rlike(r" .*\p{IsCyrillic}")
 
-    def made(part: Column, place: int) -> Column:
-        s = _stream(key, F.lit(f"name{place}"), part, attempt)
-        of = lambda script: F.initcap(F.concat(*(F.get(F.array(*map(F.lit, SYLLABLES[script])), _byte(s, F.lit(k)) % 32) for k in range(3)), F.when(female, ENDS[script, "f"][place]).otherwise(ENDS[script, "m"][place])))
+    def made(part: Column, place: int, n: Column) -> Column:
+        of = lambda script: F.initcap(F.concat(_stem(part, place, script, key, n), F.when(female, ENDS[script, "f"][place]).otherwise(ENDS[script, "m"][place])))
         return F.when(cyrillic, of("cyrillic")).otherwise(of("latin"))
 
-    last = made(F.get(rest, F.size(rest) - 1), 1)
-    return F.concat_ws(" ", title, F.when(F.size(rest) > 1, made(F.get(rest, F.lit(0)), 0)), last)
+    return F.concat_ws(" ", title, F.when(F.size(rest) > 1, made(F.get(rest, F.lit(0)), 0, attempt)), made(F.get(rest, F.size(rest) - 1), 1, last))
+
+
+def _surnames(names: DataFrame, key: str) -> DataFrame:
+    """surname and last (its attempt) of names, so that no two have the same stem in a script, nor one another's own value.
+
+    An attempt's stems are longer than those of earlier ones, so each round only compares its own.
+    """
+    originals = saved(names.select("surname").distinct(), "surnames")
+    settled, left, n = [], originals, 0
+    while True:
+        at = F.lit(n)
+        drawn = left.select("surname", _stem(F.col("surname"), 1, "latin", key, at).alias("stem"), _stem(F.col("surname"), 1, "cyrillic", key, at).alias("other"))
+        forms = F.array(*(F.initcap(F.concat("stem" if script == "latin" else "other", F.lit(ENDS[script, g][1]))) for script, g in ENDS))
+        real = drawn.select(F.col("surname").alias("of"), F.explode(forms).alias("surname")).join(originals, "surname", "left_semi").select(F.col("of").alias("surname")).distinct()
+        won = saved(drawn.join(real, "surname", "left_anti").groupBy("stem").agg(F.min("surname").alias("surname")).select("surname", at.alias("last")), "won")
+        settled.append(won)
+        left = saved(left.join(won, "surname", "left_anti"), "surnames")
+        if left.isEmpty():
+            return reduce(DataFrame.union, settled)
+        n += 1
 
 
-def surrogate(kind: Column, surface: Column, norm: Column, attempt: Column, key: str) -> Column:
+def surrogate(kind: Column, surface: Column, norm: Column, attempt: Column, last: Column, key: str) -> Column:
     """The replacement of one spelling of an entity. Spellings of one entity draw the same letters and digits."""
     n = attempt.cast("string")
     own = _stream(key, kind, norm, n)
@@ -110,20 +135,24 @@ def surrogate(kind: Column, surface: Column, norm: Column, attempt: Column, key:
     kept = F.concat(code, F.substring(digits, F.length(code) + 1, F.length(digits)))
     prefix = F.regexp_extract(surface, r"^(AKIA|ghp_|gho_|sk-|xoxb-|)", 1)
     secret = F.when(prefix != "", F.concat(prefix, F.substring(digits, F.length(prefix) + 1, F.length(digits)))).otherwise(_filled(surface, own, hex_=True))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind.isin("phone", "iban"), kept).when(kind == "secret", secret).when(kind == "name", _name(surface, key, n)).otherwise(digits)
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind.isin("phone", "iban"), kept).when(kind == "secret", secret).when(kind == "name", _name(surface, key, attempt, last)).otherwise(digits)
 
 
 def _mapping(spellings: DataFrame, key: str, rounds: int = 30) -> DataFrame:
     """kind, surface, surrogate of every distinct spelling. Entities of a kind never share a surrogate, nor take another's own value.
 
     Of entities that collide the first by value keeps its surrogate, the others draw again; each round is one
-    aggregate and one join over what is undecided and what is taken.
+    aggregate and one join over what is undecided and what is taken. Surnames are settled first, as entities of their
+    own: a name that draws again gets another given name and keeps its surname.
     """
-    entities = spellings.groupBy("kind", "norm").agg(F.min("surface").alias("surface")).withColumn("attempt", F.lit(0))
+    names = spellings.filter("kind = 'name'").withColumn("surname", F.regexp_extract("surface", r"(\S+)\z", 1))
+    named = names.join(_surnames(names, key), "surname").select(*spellings.columns, "last")
+    spellings = saved(spellings.filter("kind <> 'name'").withColumn("last", F.lit(0)).union(named), "spellings")
+    entities = spellings.groupBy("kind", "norm").agg(F.min("surface").alias("surface"), F.min("last").alias("last")).withColumn("attempt", F.lit(0))
     taken, left, n = None, saved(entities, "entities"), 0
     originals = left.select("kind", F.col("norm").alias("drawn"), F.lit(True).alias("real"))
     while n < rounds:
-        drawn = left.withColumn("drawn", _norm(F.col("kind"), surrogate(F.col("kind"), F.col("surface"), F.col("norm"), F.col("attempt"), key)))
+        drawn = left.withColumn("drawn", _norm(F.col("kind"), surrogate(F.col("kind"), F.col("surface"), F.col("norm"), F.col("attempt"), F.col("last"), key)))
         drawn = saved(drawn.join(originals, ["kind", "drawn"], "left"), "drawn")
         free = drawn.filter("real is null").drop("real")
         if taken is not None:
@@ -136,7 +165,7 @@ def _mapping(spellings: DataFrame, key: str, rounds: int = 30) -> DataFrame:
         n += 1
     else:
         raise RuntimeError("surrogates still collide; an entity type's format has too few values")
-    return spellings.join(taken.select("kind", "norm", "attempt"), ["kind", "norm"]).select("surface", "kind", surrogate(F.col("kind"), F.col("surface"), F.col("norm"), F.col("attempt"), key).alias("surrogate"))
+    return spellings.join(taken.select("kind", "norm", "attempt"), ["kind", "norm"]).select("surface", "kind", surrogate(F.col("kind"), F.col("surface"), F.col("norm"), F.col("attempt"), F.col("last"), key).alias("surrogate"))
 
 
 def replace_entities(docs: DataFrame, key: str = "tessera", text_col: str = "text") -> DataFrame:

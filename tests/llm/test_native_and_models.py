@@ -147,6 +147,19 @@ def test_surrogates(spark):
     assert first in new and first != second
 
 
+def test_many_surnames(spark):
+    letters = "bcdfghijklmnopqrtuwxyz"
+    name = lambda i: "Q" + "".join(letters[i // 22**k % 22] for k in range(4))
+    rows = [(k, "; ".join(f"Mr {name(i)}" + (f", Mr John {name(i)}, Mrs {name(i)}" if i % 20 == 0 else "") for i in range(k, 40000, 40))) for k in range(40)]
+    surnames = {}
+    for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        for i, part in zip(range(r.doc_id, 40000, 40), r.text.split("; ")):
+            found = {x.split(" ")[-1] for x in part.split(", ")}
+            assert len(found) == 1 and part.count(", ") == (2 if i % 20 == 0 else 0)
+            surnames[i] = found.pop()
+    assert len(surnames) == len(set(surnames.values())) == 40000 and not set(surnames.values()) & {name(i) for i in range(40000)}
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
