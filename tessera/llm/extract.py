@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
@@ -17,7 +18,10 @@ from tessera.llm.shared import saved
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 SKIPPED = set("aside audio button canvas datalist dialog footer form head header iframe input label math menu nav noscript object option script select style svg template textarea title video".split())
-IMPLIED = {"p", "li", "dt", "dd", "td", "th", "tr", "option"}  # a new block ends them
+LISTS = ("ul", "ol", "menu", "dl", "table")
+_CELL = {"td", "th", "tr", "tbody", "tfoot"}
+#: Elements that end unclosed where one of these starts; all but p may hold blocks, and lists with such elements inside.
+IMPLIED = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": _CELL, "th": _CELL, "tr": {"tr", "tbody", "tfoot"}, "option": {"option"}}
 MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|notices?|alert|menu|nav|navbar|navigation|sidebar|breadcrumbs?|footer|header|masthead|comments?|replies|disqus|share|social|related|newsletter|subscribe|signup|login|popup|modal|widget)(?:$|[\s_-])")
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 
@@ -27,7 +31,9 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[bool, str]] = []
         self.held: list[str] = []
-        self.within, self.skip, self.depth = 0, "", 0
+        self.within, self.skip, self.wrapper = 0, "", False
+        self.open: list[str] = []  # elements around the current place, outside a skip
+        self.inner: Counter = Counter()  # elements open inside the skipped one, and itself
 
     def flush(self) -> None:
         if self.held and (text := " ".join("".join(self.held).split())):
@@ -36,11 +42,11 @@ class _Page(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if self.skip:
-            if tag in ("article", "main") or self.skip in IMPLIED and tag in BLOCKS:
-                self.skip = ""
-            else:
-                self.depth += tag == self.skip
+            ends = tag in IMPLIED.get(self.skip, ()) and (self.skip == "p" or not any(self.inner[x] for x in LISTS))
+            if not ends and not (self.wrapper and tag in ("article", "main")):
+                self.inner[tag] += tag not in VOID
                 return
+            self.skip = ""
         if tag in BLOCKS:
             self.flush()
         elif tag == "br":
@@ -48,8 +54,17 @@ class _Page(HTMLParser):
         if tag in ("article", "main"):
             self.within += 1
         named = dict(attrs)
-        if tag not in VOID and tag not in ("html", "body", "article", "main") and (tag in SKIPPED or named.get("role") in ROLES or "hidden" in named or MARKED.search(f"{named.get('class') or ''} {named.get('id') or ''}".lower())):
-            self.skip, self.depth = tag, 1
+        if tag in VOID:
+            return
+        marked = tag not in ("html", "body", "main") and (named.get("role") in ROLES or "hidden" in named or MARKED.search(f"{named.get('class') or ''} {named.get('id') or ''}".lower()))
+        if marked or tag in SKIPPED:
+            self.within -= tag == "article"
+            self.skip, self.inner = tag, Counter([tag])
+            self.wrapper = tag == "form" and not marked  # a form around the whole page
+        else:
+            if tag in IMPLIED and self.open and self.open[-1] == tag:
+                self.open.pop()
+            self.open.append(tag)
 
     def handle_startendtag(self, tag, attrs):
         if not self.skip and tag in BLOCKS:
@@ -59,16 +74,17 @@ class _Page(HTMLParser):
 
     def handle_endtag(self, tag):
         if self.skip:
-            if tag == self.skip:
-                self.depth -= 1
-                if not self.depth:
+            if self.inner[tag]:
+                self.inner[tag] -= 1
+                if not self.inner[self.skip]:
                     self.skip = ""
-            elif self.skip in IMPLIED and tag in ("article", "main", "body", "html", "ul", "ol", "table", "div", "section"):
-                self.skip = ""
-            else:
                 return
-            if tag not in ("article", "main"):
+            if tag not in self.open:
                 return
+            self.skip = ""  # what was left unclosed ends with its parent
+        if tag in self.open:
+            while self.open.pop() != tag:
+                pass
         if tag in BLOCKS:
             self.flush()
         if tag in ("article", "main"):

@@ -114,6 +114,16 @@ def test_extraction(spark):
     assert got[5] == "" and got[6] == "alone" and "Second page" in got[2]
 
 
+def test_articles_inside_skipped_elements():
+    comments = '<div id="comments"><article class="comment"><p>Nice!</p></article><article><p>First</p></article></div><aside><article><h3>Read on</h3></article></aside>'
+    assert extract.blocks(f"<body><div><p>Real text</p></div>{comments}<p>End</p></body>") == (["Real text", "End"], False)
+    assert extract.blocks(f"<body><article><p>Real text</p>{comments}<p>End</p></article>{comments}</body>") == (["Real text", "End"], True)
+    assert extract.blocks('<body><p>Real text</p><article class="comment"><p>Nice!</p></article></body>') == (["Real text"], False)
+    assert extract.blocks("<body><div><aside>ad<article>teaser</article></div><article><p>Real text</p></article></body>") == (["Real text"], True)
+    assert extract.blocks('<ul><li class="comment"><article>Hi</article><ul><li>reply</li></ul><li>Real item</ul>') == (["Real item"], False)
+    assert extract.blocks('<form id="page"><nav>menu</nav><main><p>Real text</p></main></form>') == (["Real text"], True)
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     import random
 
