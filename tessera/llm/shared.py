@@ -15,9 +15,11 @@ LOWER_ALNUM = bytes(x if chr(x).isalnum() or x > 127 else 32 for x in LOWER)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a temporary one, set once for the session."""
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary one of the session if Spark runs in one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = spark.conf.get("tessera.shared.dir", None) or f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("tessera.shared.dir", found)
     return found.rstrip("/")
@@ -34,12 +36,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def scan_bytes(df: DataFrame) -> int:
-    """Bytes of the files that df reads, by their listing: no scan. 0 where it reads none."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # a plan without statistics
-        return 0
+def name(column: str) -> str:
+    """column as one name, whatever characters it has."""
+    return "`" + column.replace("`", "``") + "`"
 
 
 def chunks(values: list, limit: int = 1 << 20):
