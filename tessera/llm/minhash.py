@@ -1,5 +1,7 @@
 """Near-duplicates: MinHash bands propose pairs, odd sketches sift them, full shingle sets decide.
 
+Pairs live inside a task only: a group of one band bucket emits the links of a spanning forest, never its pairs.
+
 An odd sketch folds a set's MinHash samples into a bitmap of parities: the exclusive-or of two bitmaps is the bitmap of
 their symmetric difference, so its number of ones estimates how many samples differ, most precisely where few do.
 """
@@ -20,7 +22,7 @@ from tessera.llm.shared import LOWER, chunks, saved
 BANDS, ROWS = 24, 4  # a pair at 0.85 shares no band with probability (1 - 0.85**4)**24 = 2e-8
 BINS, BITS = 2048, 4096  # of the samples in an odd sketch, and its size
 SIGMAS = 5  # a linked pair's estimate lies further off than this with probability 3e-7
-BLOCK = 1024  # members of a bucket that one group compares
+BLOCK, SHINGLES = 4096, 1 << 22  # members of a bucket that one group compares, and their shingles at most
 
 _ODD = np.random.default_rng(20240501).integers(0, 1 << 63, 4 * BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS, _ADDED, _FOLD = _ODD[: BANDS * ROWS], _ODD[BANDS * ROWS : 2 * BANDS * ROWS], _ODD[2 * BANDS * ROWS :]
@@ -88,7 +90,7 @@ def signature(own: np.ndarray) -> tuple[np.ndarray, int, bytes]:
 def _signed(width: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), [(x or "").encode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            texts = [(x or "").encode("utf-8", "replace") for x in batch.column(2).to_pylist()]
             for lo, hi in chunks(texts):
                 sizes, keys, bands, bins, sketches = [], [], [], [], []
                 for own in shingles(texts[lo:hi], width):
@@ -98,14 +100,40 @@ def _signed(width: int):
                     bands.append(b)
                     bins.append(n)
                     sketches.append(s)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bins, pa.int32()), pa.array(sketches, pa.binary())],
-                    ["id", "n", "set_key", "bands", "bins", "sketch"],
-                )
+                own = (pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bins, pa.int32()), pa.array(sketches, pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:2]), *own], ["id", "text_key", "n", "set_key", "bands", "bins", "sketch"])
+
+    return of
+
+
+def _sets(width: int):
+    """The whole sets of representatives, each once a task."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            fresh = [k for k, key in enumerate(keys) if not (key in seen or seen.add(key))]
+            texts = [texts[k].encode("utf-8", "replace") for k in fresh]
+            for lo, hi in chunks(texts):
+                own = [x.tobytes() for x in shingles(texts[lo:hi], width)]
+                yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in fresh[lo:hi]], pa.binary()), pa.array(own, pa.binary())], ["set_key", "hashes"])
 
     return of
 
 
+def _column(name: str, x: pa.Array) -> np.ndarray:
+    if name == "sketch":
+        return np.frombuffer(b"".join(x.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+    if name == "bands":
+        return x.flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+    if pa.types.is_binary(x.type):
+        out = np.empty(len(x), object)
+        out[:] = x.to_pylist()
+        return out
+    return x.to_numpy(zero_copy_only=False)
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
     """Runs of rows with equal keys, of batches sorted by them; a sketch is a row of 64-bit words."""
     held: dict[str, np.ndarray] = {}
@@ -124,7 +152,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict
         return at[-1]
 
     for batch in batches:
-        cols = {c: np.frombuffer(b"".join(x.to_pylist()), np.uint64).reshape(-1, BITS // 64) if c == "sketch" else x.to_numpy(zero_copy_only=False) for c, x in zip(batch.schema.names, batch.columns)}
+        cols = {c: _column(c, x) for c, x in zip(batch.schema.names, batch.columns)}
         held = {c: np.concatenate([held[c], x]) for c, x in cols.items()} if held else cols
         found: list[dict[str, np.ndarray]] = []
         done = runs(held, False)
@@ -136,134 +164,150 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict
         yield from found
 
 
-def _alike(x: dict, i: np.ndarray, y: dict, percent: int) -> np.ndarray:
-    """How far the estimate of x's rows i against y's rows lies above the least that a link may have; negative: no link."""
-    ones = np.bitwise_count(x["sketch"][i][:, None, :] ^ y["sketch"][None]).sum(2, dtype=np.int64)
+def _alike(g: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """How far the estimate of rows i against rows j lies above the least that a link may have; negative: no link."""
+    ones = np.bitwise_count(g["sketch"][i] ^ g["sketch"][j]).sum(1, dtype=np.int64)
     differ = -BITS / 2 * np.log1p(-np.minimum(2 * ones, BITS - 2) / BITS)
-    same = (x["bins"][i][:, None] + y["bins"][None] - differ) / 2
-    a, b = x["n"][i][:, None], y["n"][None]
+    both = g["bins"][i] + g["bins"][j]
+    a, b = g["n"][i], g["n"][j]
     share = percent / 100
     union = (a + b) / (1 + share)
     filled = lambda n: BINS * -np.expm1(n * np.log1p(-1 / BINS))
-    bins = np.minimum(filled(union) * (x["bins"][i][:, None] + y["bins"][None]) / (filled(a) + filled(b)), BINS)
+    bins = np.minimum(filled(union) * both / (filled(a) + filled(b)), BINS)
     empty = np.exp(-union / BINS)
     uneven = BINS * empty * (1 - (1 + union / BINS) * empty)  # variance of the number of filled bins, most of it known by now
     load = 2 * (1 - share) * bins / BITS  # of the bitmap of the difference, at most
     noise = BITS / 16 * -np.expm1(np.log1p(4 * load) - 4 * load) * np.exp(4 * load)
     spread = np.sqrt(share * (1 - share) * bins * np.maximum(0, 1 - bins / union) + noise + 0.2 * uneven + 0.25)
-    return np.where(100 * np.minimum(a, b) >= percent * np.maximum(a, b), same - share * bins + SIGMAS * spread, -1.0)
+    return (both - differ) / 2 - share * bins + SIGMAS * spread
 
 
-def _nearest(percent: int):
-    def of(batches):
-        for g in _groups(batches, ["bucket", "block"]):
-            found, m = set(), len(g["cid"])
-            if m < 2:
-                continue
-            for lo in range(0, m, 64):
-                i = np.arange(lo, min(m, lo + 64))
-                over = _alike(g, i, g, percent)
-                over[np.arange(len(i)), i] = -1
-                best = over.argmax(1)
-                ok = over[np.arange(len(i)), best] >= 0
-                a, b = g["cid"][i[ok]], g["cid"][best[ok]]
-                found |= set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
-            if found:
-                a, b = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _candidates(g: dict, comp: np.ndarray, i: np.ndarray, percent: int, done: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sifted pairs of rows i (that ask) and rows that hold: of other components, this band the first that both share.
+
+    done marks rows between which no pair is wanted any more. Returns both sides and by how much the sift is passed.
+    """
+    band, n = int(g["band"][0]), g["n"]
+    able = g["asks"][i][:, None] & g["holds"] & (comp[i][:, None] != comp)
+    able &= ~(g["asks"] & g["holds"][i][:, None] & (np.arange(len(comp)) < i[:, None]))  # the other way round it is asked already
+    able &= 100 * np.minimum(n[i][:, None], n) >= percent * np.maximum(n[i][:, None], n)
+    if done is not None:
+        able &= ~(done[i][:, None] & done)
+    for k in range(band):
+        able &= g["bands"][i, k][:, None] != g["bands"][:, k]
+    q, j = np.nonzero(able)
+    over = np.concatenate([_alike(g, i[q[lo : lo + 65536]], j[lo : lo + 65536], percent) for lo in range(0, len(q), 65536)] or [np.zeros(0)])
+    near = over >= 0
+    return i[q[near]], j[near], over[near]
+
+
+_GROUP = ["bucket", "block", "other"]
 
-    return of
 
+def _sifter(percent: int):
+    """The rows of each group that are in a sifted pair."""
 
-def _across(percent: int, most: int | None):
-    def of(batches):
-        for g in _groups(batches, ["bucket", "qb", "mb"]):
-            asks = np.flatnonzero(g["asks"])
-            held = np.flatnonzero(~g["asks"].astype(bool))
-            if not len(asks) or not len(held):
-                continue
-            y = {c: v[held] for c, v in g.items()}
-            for lo in range(0, len(asks), 64):
-                i = asks[lo : lo + 64]
-                over = _alike(g, i, y, percent)
-                over[g["comp"][i][:, None] == y["comp"][None]] = -1
-                if most is not None and most < over.shape[1]:
-                    over[over < -np.partition(-over, most - 1, axis=1)[:, most - 1 : most]] = -1
-                q, r = np.nonzero(over >= 0)
-                if len(q):
-                    a, b = g["cid"][i[q]], y["cid"][r]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, _GROUP):
+            m = len(g["n"])
+            comp, hit = np.unique(g["comp"], return_inverse=True)[1], np.zeros(m, bool)
+            for lo in range(0, m, 64):
+                i, j, _ = _candidates(g, comp, np.arange(lo, min(m, lo + 64)), percent, hit)
+                hit[i] = hit[j] = True
+            if hit.any():
+                names = [*_GROUP, "band", "set_key", "comp", "asks", "holds"]
+                yield pa.RecordBatch.from_arrays([pa.array(g[c][hit]) for c in names], names)
 
     return of
 
 
-def _confirm(percent: int, width: int):
-    def of(batches):
-        for batch in batches:
-            a, b, one, two = (x.to_pylist() for x in batch.columns)
-            one, two = [x.encode("utf-8", "replace") for x in one], [x.encode("utf-8", "replace") for x in two]
-            out = []
-            for lo, hi in chunks([x + y for x, y in zip(one, two)]):
-                for k, (s, t) in enumerate(zip(shingles(one[lo:hi], width), shingles(two[lo:hi], width)), lo):
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    if 100 * both >= percent * (len(s) + len(t) - both):
-                        out.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in out], pa.int64()) for x in (a, b)], ["a", "b"])
+def _linker(percent: int):
+    """Links that join the components of each group, by whole sets: at most one fewer than its rows."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, _GROUP):
+            sizes = g["n"].astype(np.int64)
+            own = np.unique(np.frombuffer(b"".join(g["hashes"].tolist()), np.uint64), return_inverse=True)[1]
+            ends = np.cumsum(sizes)
+            starts, mark = ends - sizes, np.zeros(int(own.max()) + 1, bool)
+            comp, found = np.unique(g["comp"], return_inverse=True)[1], []
+            for lo in range(0, len(sizes), 64):
+                i, j, over = _candidates(g, comp, np.arange(lo, min(len(sizes), lo + 64)), percent)
+                order = np.lexsort((-over, i))
+                i, j = i[order], j[order]
+                for at in np.unique(i).tolist():
+                    left, step = j[i == at], 8
+                    mark[own[starts[at] : ends[at]]] = True
+                    while len(left := left[comp[left] != comp[at]]):
+                        part, left = left[:step], left[step:]
+                        both = np.add.reduceat(mark[np.concatenate([own[starts[k] : ends[k]] for k in part])].astype(np.int64), np.cumsum(sizes[part]) - sizes[part])
+                        for k in part[100 * both >= percent * (sizes[at] + sizes[part] - both)].tolist():
+                            if comp[k] != comp[at]:
+                                found.append((g["set_key"][at], g["set_key"][k]))
+                                comp[comp == comp[k]] = comp[at]
+                        step *= 8
+                    mark[own[starts[at] : ends[at]]] = False
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found)], ["a", "b"])
 
     return of
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 3) -> DataFrame:
-    """Per row of docs: id, n_shingles, component_id (smallest id reachable by links), kept (it is that id).
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 3, block: int = BLOCK) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id (smallest id reachable by links), kept (doc_id is that id), and
+    the keys group (of the component; null without a set) and text_key (md5 of the text).
 
     Words are runs other than ASCII white space, after lower-casing A-Z; the set holds shingles of width words. Two sets are
     linked if 100 * intersection >= percent * union. Exact copies form one class at once; every class goes to its band
-    buckets. First each class is confirmed against its best match in each bucket (in blocks of a large one), then against
-    its best few of other components there, then all sifted pairs that still lie in different components: no cap, and
-    no pair inside a component.
-    Null or empty text: no set, no link. Null id: no link, null component, kept. Repeated rows are each returned; rows
-    of one id with different texts are one node. Other columns of docs are not read.
+    buckets, of buckets with the same members one is kept. A task compares the members of a bucket, in blocks of at most
+    block of them, and emits a spanning forest of the confirmed links. Of larger buckets, the members that are not in
+    the largest component then meet all blocks: no cap, and no pair inside a component.
+    Null or empty text: no set, no link, a component of its own. Null ids link like others but name no component; a
+    component of null ids alone has a null component_id and keeps all rows. Repeated rows are each returned; rows of
+    one id with different texts are each placed by their own text. Ids of any type that sorts. Other columns of docs are
+    not read, whatever their names. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = saved(rows.mapInArrow(_signed(width), "id long, n long, set_key binary, bands array<long>, bins int, sketch binary"), "signed")
-    classes = saved(
-        signed.filter("set_key is not null and id is not null").groupBy("set_key").agg(F.min(F.struct("id", "n", "bins", "sketch", "bands")).alias("r")).select("set_key", F.col("r.id").alias("cid"), "r.n", "r.bins", "r.sketch", "r.bands"), "classes"
-    )
-    each = classes.select("cid", F.explode("bands").alias("bucket"))
-    shared = each.join(each.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), "bucket")
-    shared = saved(shared, "buckets")
-    sketches = classes.select("cid", "n", "bins", "sketch")
-    texts = saved(rows.join(shared.select(F.col("cid").alias("id")).distinct(), "id").filter("text is not null"), "texts")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("one")), "a")
-        both = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("two")), "b")
-        return both.select("a", "b", "one", "two").mapInArrow(_confirm(percent, width), "a long, b long")
-
-    block = F.pmod(F.xxhash64("cid"), F.ceil(F.col("members") / BLOCK)).alias("block")
-    dealt = shared.join(sketches, "cid").select("bucket", block, "cid", "n", "bins", "sketch").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "cid")
-    first = saved(dealt.mapInArrow(_nearest(percent), "a long, b long").distinct(), "pairs")
-    links = saved(confirmed(first), "linked")
+    rows = docs.select(F.col(id_col).alias("id"), F.md5(F.col(text_col).cast("string").cast("binary")).alias("text_key"), F.col(text_col).cast("string").alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    signed = saved(rows.mapInArrow(_signed(width), f"id {kind}, text_key string, n long, set_key binary, bands array<long>, bins int, sketch binary"), "signed")
+    classes = signed.filter("set_key is not null").groupBy("set_key").agg(F.min("id").alias("least"), F.min(F.struct("text_key", "id")).alias("from"), F.first(F.struct("n", "bins", "sketch", "bands")).alias("r"))
+    classes = saved(classes.select("set_key", "least", "from", "r.*"), "classes")
+
+    each = classes.select("set_key", "n", F.posexplode("bands").alias("band", "bucket"))
+    full = each.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), F.min("band").alias("band"), F.expr("bit_xor(xxhash64(set_key))").alias("h"), F.expr("bit_xor(xxhash64(set_key, 1))").alias("g"))
+    full = full.filter("members > 1").groupBy("members", "h", "g").agg(F.min(F.struct("band", "bucket", "shingles")).alias("r"))
+    blocks = F.ceil(F.greatest(F.col("members") / block, F.col("r.shingles") / SHINGLES)).alias("blocks")
+    shared = saved(each.select("set_key", "band", "bucket").join(full.select("r.bucket", "members", blocks), "bucket"), "buckets")
+    sketches = classes.select("set_key", "n", "bins", "sketch", "bands")
+
+    def linked(placed: DataFrame) -> DataFrame:
+        """Links within the groups of placed (bucket, block, other, band, set_key, comp, asks, holds)."""
+        dealt = lambda df: df.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "set_key")
+        marks = "bucket long, block long, other long, band int, set_key binary, comp binary, asks boolean, holds boolean"
+        near = saved(dealt(placed.join(sketches, "set_key").select("bucket", "block", "other", "band", "set_key", "comp", "asks", "holds", "n", "bins", "sketch", "bands")).mapInArrow(_sifter(percent), marks), "sifted")
+        need = near.select("set_key").distinct().join(classes.select("set_key", "from"), "set_key")
+        same = rows["id"].eqNullSafe(need["from.id"]) & (rows["text_key"] == need["from.text_key"])
+        sets = saved(rows.join(need, same).select("set_key", "text").mapInArrow(_sets(width), "set_key binary, hashes binary"), "sets").dropDuplicates(["set_key"])
+        return saved(dealt(near.join(sketches, "set_key").join(sets, "set_key")).mapInArrow(_linker(percent), "a binary, b binary"), "linked")
+
+    at = lambda by, n: F.pmod(F.xxhash64("set_key", F.lit(by)), F.col(n))
+    yes, no = F.lit(True), F.lit(False)
+    links = linked(shared.select("bucket", at(0, "blocks").alias("block"), F.lit(0).cast("long").alias("other"), "band", "set_key", F.col("set_key").alias("comp"), yes.alias("asks"), yes.alias("holds")))
     roots = components(links)
 
-    tested = first
-    for most in (4, None):  # the best few across components first: what they join needs no more pairs
-        placed = shared.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("root", "cid").alias("comp"))
+    large = shared.filter("blocks > 1")
+    if not large.isEmpty():
+        placed = large.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("comp", F.coalesce("root", "set_key"))
         sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
-        split = sizes.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("members"), F.count("*").alias("comps")).filter("comps > 1")
-        left = saved(placed.join(split, "bucket").select("bucket", "cid", "comp", (F.col("comp") != F.col("top.comp")).alias("asks"), F.ceil(F.col("members") / BLOCK).alias("nb"), F.ceil((F.col("members") - F.col("top.k")) / 256).alias("nq")), "unjoined")
-        q, m = F.pmod(F.xxhash64("cid"), F.col("nq")), F.pmod(F.xxhash64("cid", F.lit(1)), F.col("nb"))
-        held = left.select("bucket", "cid", "comp", F.lit(False).alias("asks"), F.explode(F.expr("sequence(0L, nq - 1)")).alias("qb"), m.alias("mb"))
-        asks = left.filter("asks").select("bucket", "cid", "comp", "asks", q.alias("qb"), F.explode(F.expr("sequence(0L, nb - 1)")).alias("mb"))
-        dealt = held.union(asks).join(sketches, "cid").repartition("bucket", "qb", "mb").sortWithinPartitions("bucket", "qb", "mb")
-        pairs = dealt.select("bucket", "qb", "mb", "cid", "comp", "asks", "n", "bins", "sketch").mapInArrow(_across(percent, most), "a long, b long").distinct()
-        pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(pairs)
-        links = confirmed(pairs).union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = components(saved(links, "linked"))
-
-    named = classes.select("set_key", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("set_key", F.coalesce("root", "cid").alias("component"))
-    out = signed.select("id", "n", "set_key").join(named, "set_key", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+        split = sizes.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1")
+        apart = F.ceil((F.col("members") - F.col("top.k")) / F.col("members") * F.col("blocks"))
+        left = saved(placed.join(split, "bucket").select("bucket", "band", "set_key", "comp", (F.col("comp") != F.col("top.comp")).alias("asks"), "blocks", apart.alias("apart")), "unjoined")
+        held = left.select("bucket", at(0, "blocks").alias("block"), F.explode(F.expr("sequence(0L, apart - 1)")).alias("other"), "band", "set_key", "comp", no.alias("asks"), yes.alias("holds"))
+        asks = left.filter("asks").select("bucket", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), at(1, "apart").alias("other"), "band", "set_key", "comp", "asks", no.alias("holds"))
+        roots = components(linked(held.union(asks)).union(links))
+
+    named = classes.select("set_key", "least").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "least", F.coalesce("root", "set_key").alias("group"))
+    least = named.groupBy("group").agg(F.min("least").alias("component"))
+    out = signed.select("id", "text_key", "n", "set_key").join(named.join(least, "group").select("set_key", "group", "component"), "set_key", "left")
+    component = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "group", "text_key")
