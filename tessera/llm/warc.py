@@ -8,6 +8,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,23 +17,31 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import new_path, saved
 
 ARCHIVE_BYTES = 16 << 20  # an archive is closed when it has grown beyond this
+HEAD_BYTES = 1 << 16  # a record's header has at most so many
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
-_VERSION = re.compile(rb"(?:\A|(?<=\n))WARC/1\.[01]\r?\n")
+_LINE = re.compile(rb"WARC/1\.[01]\r?\n")
+_VERSION = re.compile(rb"(?<=\n)WARC/1\.[01]\r?\n")
+_BLANK, _TAIL = re.compile(rb"\r?\n\r?\n"), re.compile(rb"(?:\r?\n){0,2}")
 _MEMBER = b"\x1f\x8b\x08"
 
-FOUND = "uri string, start bigint, end bigint, kind string, page_id bigint, url string, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary"
+#: start and end are bytes of the archive. inner_start and inner_end are bytes of the unpacked member there; null for a gap that is not in one.
+FOUND = "uri string, start bigint, end bigint, inner_start bigint, inner_end bigint, kind string, page_id string, url string, refers_to string, payload_digest string, payload_bytes bigint, payload binary"
 
 
 def _sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, revisit: bool = False, date: str = "2000-01-01T00:00:00Z") -> bytes:
+def _urn(page_id: str | None) -> str:
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
+
+
+def record(page_id: str | None, url: str | None, payload: bytes, refers_to: str | None = None, revisit: bool = False, date: str = "2000-01-01T00:00:00Z") -> bytes:
     """One record: a response with its payload, or a revisit that only has the digest and length of its own."""
     block = (_HTTP % len(payload)).encode() + (b"" if revisit else payload)
-    fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Date", date), ("WARC-Target-URI", re.sub(r"[\x00-\x1f\x7f]", "", url or "")), ("WARC-Payload-Digest", f"sha1:{_sha1(payload)}"), ("WARC-Block-Digest", f"sha1:{_sha1(block)}"), ("X-Payload-Length", str(len(payload)))]
+    fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _urn(page_id)), ("WARC-Date", date), ("WARC-Target-URI", re.sub(r"[\x00-\x1f\x7f]", "", url or "")), ("WARC-Payload-Digest", f"sha1:{_sha1(payload)}"), ("WARC-Block-Digest", f"sha1:{_sha1(block)}"), ("X-Payload-Length", str(len(payload)))]
     if revisit:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _urn(refers_to))]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
     return head.encode("utf-8", "replace") + block + b"\r\n\r\n"
@@ -43,72 +52,111 @@ def member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def _parsed(data: bytes, at: int) -> tuple[dict, int] | None:
-    """The record that starts at a version line, and where it ends; None if it fails a check."""
-    line = _VERSION.match(data, at)
-    cut = re.compile(rb"\r?\n\r?\n").search(data, at) if line else None
+def _parsed(data: bytes, at: int, proven: bool = False) -> tuple[dict, int] | None:
+    """The record that starts at a version line, and where it ends; None if it fails a check. proven: a digest must confirm it."""
+    line = _LINE.match(data, at)
+    cut = _BLANK.search(data, at, at + HEAD_BYTES) if line else None
     if not cut:
         return None
     fields = {}
     for row in data[line.end() : cut.start()].splitlines():
         key, _, value = row.decode("utf-8", "replace").partition(":")
         fields[key.strip().lower()] = value.strip()
-    size = fields.get("content-length", "")
-    if not size.isdigit() or len(block := data[cut.end() : cut.end() + int(size)]) != int(size):
-        return None
-    if (said := fields.get("warc-block-digest")) and said != f"sha1:{_sha1(block)}":
+    size, kind = fields.get("content-length", ""), fields.get("warc-type", "")
+    if not kind or "warc-record-id" not in fields or not re.fullmatch("[0-9]{1,18}", size) or cut.end() + int(size) > len(data):
         return None
     end = cut.end() + int(size)
-    tail = re.compile(rb"(?:\r?\n){0,2}").match(data, end)
-    head = re.compile(rb"\r?\n\r?\n").search(block)
-    payload = block[head.end() :] if head and fields.get("content-type", "").startswith("application/http") else block
-    kind, digest, length = fields.get("warc-type", ""), fields.get("warc-payload-digest", "").removeprefix("sha1:"), len(payload)
+    block = data[cut.end() : end]
+    said, digest = fields.get("warc-block-digest"), fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    if said and said != f"sha1:{_sha1(block)}":
+        return None
+    head = _BLANK.search(block) if fields.get("content-type", "").startswith("application/http") else None
+    payload = block[head.end() :] if head else block
+    length = len(payload)
     if kind == "revisit":
-        length, payload = int(fields["x-payload-length"]) if fields.get("x-payload-length", "").isdigit() else None, None
+        length, payload = int(fields["x-payload-length"]) if re.fullmatch("[0-9]{1,18}", fields.get("x-payload-length", "")) else None, None
     elif digest and digest != _sha1(payload):
         return None
-    number = lambda k: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", fields.get(k, ""))) else None
-    found = {"kind": kind, "page_id": number("warc-record-id"), "url": fields.get("warc-target-uri"), "refers_to": number("warc-refers-to"), "payload_digest": digest or None, "payload_bytes": length, "payload": payload}
-    return found, tail.end()
+    if proven and not said and not (digest and payload is not None):
+        return None
+    page = lambda k: unquote(m[1]) if (m := re.fullmatch(r"<urn:page:([^<>]*)>", fields.get(k, ""))) else None
+    found = {"kind": kind, "page_id": page("warc-record-id"), "url": fields.get("warc-target-uri"), "refers_to": page("warc-refers-to"), "payload_digest": digest or None, "payload_bytes": length, "payload": payload}
+    return found, _TAIL.match(data, end).end()
+
+
+def _unpacked(data: memoryview, at: int) -> tuple[bytes, int | None]:
+    """What the gzip member at a place unpacks to, and where it ends: None if it is damaged or cut off, then what comes before."""
+    for most in (1 << 20, 64):  # small slices lose the least before an error
+        unpack, parts, k, step = zlib.decompressobj(31), [], at, min(4096, most)
+        try:
+            while k < len(data) and not unpack.eof:
+                parts.append(unpack.decompress(data[k : k + step]))
+                k, step = min(k + step, len(data)), min(2 * step, most)
+            return b"".join(parts), k - len(unpack.unused_data) if unpack.eof else None
+        except zlib.error:
+            pass
+    return b"".join(parts), None
+
+
+def _within(plain: bytes, whole: bool) -> Iterator[dict]:
+    """Records of an unpacked member, and gaps between them: after a failed check the next version line is tried."""
+    at, lost = 0, None
+    while at < len(plain):
+        if one := _parsed(plain, at, not whole):
+            if lost is not None:
+                yield {"kind": "gap", "inner_start": lost, "inner_end": at}
+                lost = None
+            yield one[0] | {"inner_start": at, "inner_end": one[1]}
+            at = one[1]
+            continue
+        lost = at if lost is None else lost
+        line = _VERSION.search(plain, at + 1)
+        at = line.start() if line else len(plain)
+    if lost is not None:
+        yield {"kind": "gap", "inner_start": lost, "inner_end": len(plain)}
 
 
 def salvage(data: bytes) -> Iterator[dict]:
     """Records of an archive (gzip members or plain), each with start and end; a gap (kind "gap") for bytes that no valid one covers.
 
-    After a failed check the search goes on at the next gzip magic whose member unpacks to whole records, or at the
-    next version line. Empty data: nothing.
+    After a failed check the search goes on at the next version line of the unpacked member, then at the next gzip
+    magic, or at the next version line of a plain archive. A member that is damaged or cut off gives up the records
+    before the damage that their own digests confirm; its gap lists where in the member they end. Each byte is searched
+    once and unpacked a bounded number of times. Empty data: nothing.
     """
-    at, lost = 0, None
+    view, at, lost = memoryview(data), 0, None
+    nexts = {"member": -1, "line": -1}
+
+    def resume(at: int) -> int:
+        if nexts["member"] < at:
+            nexts["member"] = k if (k := data.find(_MEMBER, at)) >= 0 else len(data)
+        if nexts["line"] < at:
+            nexts["line"] = m.start() if (m := _VERSION.search(data, at)) else len(data)
+        return min(nexts.values())
+
     while at < len(data):
-        rows, end = [], at
+        rows, end = [], None
         if data.startswith(_MEMBER, at):
-            unpack = zlib.decompressobj(31)
-            try:
-                plain = unpack.decompress(data[at:])
-                end = len(data) - len(unpack.unused_data) if unpack.eof else at
-            except zlib.error:
-                plain, end = b"", at
-            k = 0
-            while end > at and k < len(plain):
-                if (one := _parsed(plain, k)) is None:
-                    rows, end = [], at
-                    break
-                rows.append(one[0])
-                k = one[1]
+            plain, end = _unpacked(view, at)
+            rows = list(_within(plain, end is not None))
         elif one := _parsed(data, at):
             rows, end = [one[0]], one[1]
-        if end > at:
-            if lost is not None:
-                yield {"kind": "gap", "start": lost, "end": at}
-                lost = None
+        good = any(x["kind"] != "gap" for x in rows)
+        if good and lost is not None:
+            yield {"kind": "gap", "start": lost, "end": at}
+            lost = None
+        if end is not None and good:
             for row in rows:
                 yield row | {"start": at, "end": end}
             at = end
             continue
-        lost = at if lost is None else lost
-        line = _VERSION.search(data, at + 1)
-        nexts = [x for x in (data.find(_MEMBER, at + 1), line.start() if line else -1) if x >= 0]
-        at = min(nexts, default=len(data))
+        after = resume(at + 1 if end is None else end)
+        if good:  # the head of a damaged member
+            yield from (row | {"start": at, "end": after} for row in rows if row["kind"] != "gap")
+            yield {"kind": "gap", "start": at, "end": after, "inner_start": max(row["inner_end"] for row in rows if row["kind"] != "gap")}
+        elif lost is None:
+            lost = at
+        at = after
     if lost is not None:
         yield {"kind": "gap", "start": lost, "end": len(data)}
 
@@ -146,18 +194,25 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0,
     """Writes a record per row of pages (page_id, url, html) and returns the manifest (uri, records) of the archives.
 
     Of rows with equal payloads of at least `least` bytes, that with the largest page_id is a response and the others
-    revisit it; rows that share that page_id are all responses, and so are rows whose group has no page_id. Null html
-    is an empty payload. Archives have names of their own per task attempt; only those in the manifest count, so a
-    repeated task leaves no record twice. Copies meet only as digests, never as payloads.
+    revisit it; rows that share that page_id are all responses, and so are rows whose group has no page_id; a row
+    without one revisits. Null html is an empty payload, a null url an empty one. Ids of any type that sorts are written
+    as text. Repeated rows are a record each; other columns are not read, whatever their names; an empty table writes no
+    archive. Archives have names of their own per task attempt; only those in the manifest count, so a repeated task
+    leaves no record twice. Copies meet only as digests; payloads meet their row's reference by page and digest, so no
+    payload that many pages share gathers them in a task.
     """
     spark = pages.sparkSession
     folder = folder or new_path(spark, "warc")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     digest = F.when(F.octet_length("html") >= least, F.sha1(F.col("html").cast("binary")))
-    groups = rows.select("page_id", digest.alias("digest")).filter("digest is not null").groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("k"))
-    groups = saved(groups.filter("k > 1").select("digest", "first"), "payloads")
+    keys = saved(rows.select("page_id", digest.alias("digest")).filter("digest is not null"), "digests")
+    groups = keys.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("k")).filter("k > 1").select("digest", "first")
     to = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return saved(rows.withColumn("digest", digest).join(groups, "digest", "left").select("page_id", "url", "html", to.alias("to")).mapInArrow(_writer(folder, limit), "uri string, records bigint").filter("uri is not null"), "manifest")
+    marks = saved(keys.join(groups, "digest").select("page_id", "digest", to.alias("to")).filter("to is not null").distinct(), "revisits")
+    own, said = rows.withColumn("digest", digest), marks.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("to").cast("string").alias("to"))
+    placed = own.join(said, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
+    texts = placed.select(F.col("page_id").cast("string"), "url", "html", "to")
+    return saved(texts.mapInArrow(_writer(folder, limit), "uri string, records bigint").filter("uri is not null"), "manifest")
 
 
 def _reader(payloads: bool):
@@ -165,7 +220,7 @@ def _reader(payloads: bool):
         from pyarrow import fs
 
         names = [x.split(" ")[0] for x in FOUND.split(", ")]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+        kinds = [{"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}[x.split(" ")[1]] for x in FOUND.split(", ")]
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 store, path = fs.FileSystem.from_uri(uri)
@@ -173,27 +228,43 @@ def _reader(payloads: bool):
                     data = f.read()
                 held: list[dict] = []
                 size = 0
-                for row in [*salvage(data), None]:
-                    if held and (row is None or size > 1 << 22):
+                for row in salvage(data):
+                    size += len(row.get("payload") or b"")
+                    held.append(row if payloads else row | {"payload": None})
+                    if size > 1 << 22 or len(held) == 1 << 14:
                         yield pa.RecordBatch.from_arrays([pa.array([uri if n == "uri" else x.get(n) for x in held], t) for n, t in zip(names, kinds)], names)
                         held, size = [], 0
-                    if row is not None:
-                        size += len(row.get("payload") or b"")
-                        held.append(row if payloads else row | {"payload": None})
+                yield pa.RecordBatch.from_arrays([pa.array([uri if n == "uri" else x.get(n) for x in held], t) for n, t in zip(names, kinds)], names)
 
     return of
 
 
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
-    """All records and gaps of the archives in manifest.uri: columns FOUND. One archive at a time is in a task's memory."""
-    width = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("uri").repartition(width, "uri").mapInArrow(_reader(payloads), FOUND)
+    """All records and gaps of the archives in manifest.uri: columns FOUND.
+
+    Archives are dealt in turn, some each task. A task holds one archive and one of its unpacked members at a time. An
+    empty manifest gives an empty result, a null uri is skipped; an archive that is listed twice is read twice.
+    """
+    named = manifest.select("uri").filter("uri is not null")
+    width, count = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), named.count()
+    return named.repartition(max(1, min(count, max(width, count // 32)))).mapInArrow(_reader(payloads), FOUND)
+
+
+def quarantine(found: DataFrame, path: str | None = None) -> DataFrame:
+    """The log of byte ranges that no valid record covers, kept as a table (in the shared folder unless path is given)."""
+    gaps = found.filter("kind = 'gap'").select("uri", "start", "end", (F.col("end") - F.col("start")).alias("lost_bytes"), "inner_start", "inner_end")
+    if path is None:
+        return saved(gaps, "quarantine")
+    gaps.write.mode("error").parquet(path)
+    return found.sparkSession.read.schema(gaps.schema).parquet(path)
 
 
-def quarantine(found: DataFrame) -> DataFrame:
-    """The log of byte ranges that no valid record covers."""
-    return found.filter("kind = 'gap'").select("uri", "start", "end", (F.col("end") - F.col("start")).alias("lost_bytes"))
+def sound(found: DataFrame) -> DataFrame:
+    """found, of archives that must have no gap: a gap is an error."""
+    gap = F.concat(F.lit("damaged archive "), F.col("uri"), F.lit(" at byte "), F.col("start").cast("string"))
+    return found.filter(F.when(F.col("kind") == "gap", F.raise_error(gap).cast("boolean")).otherwise(F.lit(True)))
 
 
-def report(found: DataFrame) -> DataFrame:
-    return found.filter("kind <> 'gap'").select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+def report(found: DataFrame, id_type: str = "bigint") -> DataFrame:
+    of = lambda c: F.col(c).cast(id_type).alias(c)
+    return found.filter("kind <> 'gap'").select(of("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), of("refers_to"))
