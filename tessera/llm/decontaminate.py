@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm.fmindex import FMIndex
-from tessera.llm.shared import LOWER_ALNUM
+from tessera.llm.shared import LOWER_ALNUM, name, saved
 
 WINDOW = 10
 SHARD = 1 << 19  # words that one index holds (one longer text is a shard of its own)
-BLOCK = 16 << 20  # characters of test items searched at once: what a task holds of them
+BLOCK = 4 << 20  # characters of test items searched at once: what the driver and a task hold of them
 
-_SPANS = "array<struct<first:bigint,end:bigint>>"
+_FOUND = "n_words bigint, spans array<struct<first:bigint,end:bigint>>, items array<string>"
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -26,23 +30,43 @@ def _words(text: str | None) -> list[bytes]:
 
 
 class _Phrases:
-    """Test phrases as rows of word numbers, by length, and the items of each."""
+    """Test phrases by length, as rows of word numbers, and the items of each: arrays, and a number a word."""
 
     def __init__(self, items: list[tuple[str, str]], window: int) -> None:
-        self.vocab: dict[bytes, int] = {}
-        owners: dict[tuple, set[str]] = defaultdict(set)
+        self.names = sorted({item for item, _ in items})
+        number, self.vocab = {x: i for i, x in enumerate(self.names)}, {}
+        by: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
         for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in _words(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners[tuple(ids[i : i + window])].add(item)
-        by: dict[int, list[tuple]] = defaultdict(list)
-        for p in sorted(owners):
-            by[len(p)].append(p)
-        self.lengths = {n: (np.array(p, np.int64), [sorted(owners[x]) for x in p]) for n, p in by.items()}
+            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in _words(text)], np.int32)
+            if len(ids):
+                rows = np.lib.stride_tricks.sliding_window_view(ids, min(window, len(ids)))
+                by[rows.shape[1]][0].append(rows)
+                by[rows.shape[1]][1].append(np.full(len(rows), number[item], np.int32))
+        self.lengths = {}
+        for n, (rows, owners) in sorted(by.items()):
+            rows, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([which.ravel(), np.concatenate(owners)], 1), axis=0)
+            self.lengths[n] = rows, np.searchsorted(pairs[:, 0], np.arange(len(rows) + 1)), pairs[:, 1].astype(np.int32)
         self.least = min(by, default=0)
 
 
-def _scanner(held, window: int, keep_text: bool):
+_built: dict[int, _Phrases] = {}
+
+
+def _phrases(held, window: int) -> _Phrases:
+    """Those of a broadcast block, built once a worker; an earlier block's are given up."""
+    if held.id not in _built:
+        _built.clear()
+        _built[held.id] = _Phrases(held.items.value, window)
+    return _built[held.id]
+
+
+class _Held(NamedTuple):
+    id: str
+    items: object
+
+
+def _scanner(held, window: int, all_rows: bool):
     def shard(texts: list, phrases: _Phrases) -> tuple[np.ndarray, list, list]:
         counts, parts, docs, places = np.zeros(len(texts), np.int64), [], [], []
         for d, text in enumerate(texts):
@@ -69,74 +93,82 @@ def _scanner(held, window: int, keep_text: bool):
             return counts, spans, items
         s, doc, place = np.concatenate(parts), np.concatenate(docs), np.concatenate(places)
         index, cover = FMIndex(s), np.zeros(len(s) + 1, np.int64)
-        for n, (rows, owners) in phrases.lengths.items():
+        for n, (rows, firsts, owners) in phrases.lengths.items():
             which, where = index.search(rows)
             np.add.at(cover, where, 1)
             np.add.at(cover, where + n, -1)
             pairs = np.unique(np.stack([doc[where], which], 1), axis=0) if len(which) else np.zeros((0, 2), np.int64)
             for d, p in pairs.tolist():
-                items[d].update(owners[p])
+                items[d].update(phrases.names[k] for k in owners[firsts[p] : firsts[p + 1]])
         edge = np.flatnonzero(np.diff((np.cumsum(cover[:-1]) > 0).astype(np.int8), prepend=0, append=0))
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
             spans[doc[a]].append((int(place[a]), int(place[b - 1]) + 1))
         return counts, spans, items
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = _Phrases(held.value, window)
+        phrases = _phrases(held, window)
+        span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            texts, before, known = (batch.column(k).to_pylist() for k in (1, 2, 3))
-            lo = 0
+            texts, lo = batch.column(0).to_pylist(), 0
             while lo < len(texts):
                 hi, size = lo, 0
                 while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= 6 * SHARD):
                     size += len(texts[hi] or "")
                     hi += 1
                 counts, spans, items = shard(texts[lo:hi], phrases)
-                for k in range(lo, hi):
-                    if before[k] or known[k]:
-                        items[k - lo] |= set(known[k])
-                        spans[k - lo] = _merged(spans[k - lo] + [(x["first"], x["end"]) for x in before[k]])
-                kept = batch.column(1).slice(lo, hi - lo) if keep_text else pa.nulls(hi - lo, pa.string())
                 spans = [[{"first": a, "end": b} for a, b in x] for x in spans]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), kept, pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(counts), *(c.slice(lo, hi - lo) for c in batch.columns[4:])], ["id", "text", "spans", "items", "n_words", *batch.schema.names[4:]])
+                out = pa.RecordBatch.from_arrays([pa.array(counts), pa.array(spans, span), pa.array([sorted(x) for x in items], pa.list_(pa.string())), *(c.slice(lo, hi - lo) for c in batch.columns[1:])], ["n_words", "spans", "items", *batch.schema.names[1:]])
+                yield out if all_rows else out.filter(pa.array([bool(x) for x in items]))
                 lo = hi
 
     return of
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [tuple(x) for x in out]
+def _joined(spans: Column) -> Column:
+    """Sorted spans, those that touch or overlap merged."""
+    last = lambda acc: F.element_at(acc, -1)
+    grown = lambda acc, x: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["first"].alias("first"), F.greatest(last(acc)["end"], x["end"]).alias("end"))))
+    start = F.expr("cast(array() as array<struct<first:bigint,end:bigint>>)")
+    return F.aggregate(F.array_sort(spans), start, lambda acc, x: F.when((F.size(acc) > 0) & (x["first"] <= last(acc)["end"]), grown(acc, x)).otherwise(F.concat(acc, F.array(x))))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", window: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
-    """Per row of docs: doc_id, the columns in carry, n_words, spans (merged, in words, the end exclusive) and items whose windows occur.
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", window: int = WINDOW, carry: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """Per row of docs: doc_id, n_words, spans (merged, in words, the end exclusive), items whose windows occur, and a struct "carried" of the columns in carry.
 
     Words are runs of ASCII letters and digits (A-Z lowered) and of everything beyond ASCII. Only runs of words that
-    the items know are indexed, which loses no occurrence. The items are searched in blocks of BLOCK characters, so a
-    task never holds more of them; texts stream through, one shard of about SHARD words at a time, without a shuffle.
+    the items know are indexed, which loses no occurrence. Texts stream through, one shard of about SHARD words at a
+    time, without a shuffle. A benchmark of more than block characters is searched in parts of about that size, one
+    after another: driver and tasks hold one part, and only hits are kept between the passes.
     Null or empty text: no words, no span. Items without words or with a null id: never found. Items with fewer words
-    than the window are one window. Repeated items count once, repeated rows are each returned.
+    than the window are one window. Repeated items count once, repeated rows are each returned; null ids stay null.
+    Empty docs give an empty result, an empty benchmark no span. Other columns may have any names.
     """
-    spark = docs.sparkSession
+    spark, carry = docs.sparkSession, carry or []
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).filter("item is not null and text is not null").distinct()
     size = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    blocks = 1 + size // BLOCK
-    carry = carry or []
-    extra = [f"c{i}" for i in range(len(carry))]
-    out = docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"), F.expr(f"cast(array() as {_SPANS})").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"), *(F.col(c).alias(x) for c, x in zip(carry, extra)))
-    kinds = [docs.schema[c].dataType.simpleString() for c in (id_col, *carry)]
-    kind = ", ".join([f"id {kinds[0]}, text string, spans {_SPANS}, items array<string>, n_words bigint", *(f"{x} {k}" for x, k in zip(extra, kinds[1:]))])
-    for k in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
-        held = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in block])
-        out = out.select("id", "text", "spans", "items", *extra).mapInArrow(_scanner(held, window, k + 1 < blocks), kind)
-    return out.select(F.col("id").alias("doc_id"), *(F.col(x).alias(c) for c, x in zip(carry, extra)), "n_words", "spans", "items")
+    parts = 1 + size // block
+    rest = F.struct(F.col(name(id_col)).alias("doc_id"), F.struct(F.lit(None).cast("int").alias("none"), *(F.col(name(c)).alias(c) for c in carry)).alias("carried"))
+    rows = docs.select(F.col("text").cast("string").alias("text"), rest.alias("row"))
+
+    def search(df: DataFrame, part: int, all_rows: bool) -> tuple[DataFrame, object]:
+        own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
+        held = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in own.collect()])
+        kind = StructType.fromDDL(_FOUND)
+        return df.mapInArrow(_scanner(_Held(uuid.uuid4().hex, held), window, all_rows), StructType(kind.fields + [f for f in df.schema if f.name != "text"])), held
+
+    if parts == 1:
+        out, _ = search(rows, 0, True)
+    else:
+        numbered = saved(rows.withColumn("uid", F.monotonically_increasing_id()), "numbered")
+        found = []
+        for part in range(parts):
+            hits, held = search(numbered.select("text", "uid"), part, part == 0)
+            found.append(saved(hits, "hits"))
+            held.destroy()
+        merged = reduce(DataFrame.union, found).groupBy("uid").agg(F.max("n_words").alias("n_words"), _joined(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))  # a row a part
+        out = numbered.select("uid", "row").join(merged, "uid")
+    out = out.select("row.doc_id", "n_words", "spans", "items", *(["row.carried"] if carry else []))
+    return out.withColumn("carried", F.col("carried").dropFields("none")) if carry else out
 
 
 def report(found: DataFrame) -> DataFrame:
