@@ -2,71 +2,94 @@
 
 from __future__ import annotations
 
+import secrets
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import saved
+from tessera.llm.shared import name, saved
 
-#: Titles with the gender that they tell.
+#: Titles with the gender that they tell, or without one.
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа", "Госпожа"]
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н", "Господин"]
-#: Syllables of surrogate names, and the ends of given names and surnames by gender, by script.
+NEUTRAL = ["Dr", "Prof", "Д-р"]
+#: Syllables of surrogate names by script, and the ends of given names and surnames by script and gender.
 SYLLABLES = {"latin": "ba be bo da de do fa fe ga ge ka ke ko la le lo ma me mo na ne no ra re ro sa se so ta te to va".split(), "cyrillic": "ба бе бо да де до фа фе га ге ка ке ко ла ле ло ма ме мо на не но ра ре ро са се со та те то ва".split()}
-ENDS = {("latin", "f"): ("na", "son"), ("latin", "m"): ("nor", "son"), ("cyrillic", "f"): ("на", "нова"), ("cyrillic", "m"): ("нор", "нов")}
+ENDS = {
+    "given": {("latin", "f"): "na", ("latin", "m"): "nor", ("latin", "n"): "ni", ("cyrillic", "f"): "на", ("cyrillic", "m"): "нор", ("cyrillic", "n"): "ни"},
+    "surname": {("latin", "f"): "son", ("latin", "m"): "son", ("latin", "n"): "son", ("cyrillic", "f"): "нова", ("cyrillic", "m"): "нов", ("cyrillic", "n"): "нко"},
+}
+_LATIN, _CYRILLIC, _HEX = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "0123456789abcdef"
 
-_WORD = r"\p{L}\p{N}"
+_WORD, _OCTET = r"\p{L}\p{N}", r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Types in the order of their claim, each a Java pattern without groups that capture. Quantifiers are possessive or
 #: bounded, and each starts where no such run goes on, so a text is read once.
 PATTERNS = {
-    "email": rf"(?<![{_WORD}._%+-])[{_WORD}._%+-]++@[{_WORD}-]++(?:\.[{_WORD}-]++)+",
-    "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
+    "email": rf"(?<![{_WORD}._%+-])[{_WORD}._%+-]{{1,64}}+@[{_WORD}-]{{1,63}}+(?:\.[{_WORD}-]{{1,63}}+){{1,10}}",
+    "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{32,128}|(?:AKIA|ghp_|gho_|sk-|xoxb-)[A-Za-z0-9_-]{16,128})(?![0-9A-Za-z])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
-    "name": rf"(?<!\p{{L}})(?:{'|'.join(FEMALE + MALE)})\.? \p{{Lu}}[\p{{L}}'-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'-]{{1,40}})?",
+    "name": rf"(?<!\p{{L}})(?:{'|'.join(FEMALE + MALE + NEUTRAL)})\.? \p{{Lu}}[\p{{L}}'-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'-]{{1,40}})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_SPARE = 3  # attempts before a type of fixed length grows by a sign an attempt
 
 
 def _maybe(text: Column) -> Column:
     """A cheap test that every text with an entity passes: it has an @, a digit, a long hex run, a key's prefix or a title."""
-    return reduce(lambda a, b: a | b, [text.contains("@"), text.rlike("[0-9]"), text.rlike("[a-fA-F]{32}"), *(text.contains(x) for x in ("AKIA", "ghp_", "gho_", "sk-", "xoxb-", *FEMALE, *MALE))])
+    return reduce(lambda a, b: a | b, [text.contains("@"), text.rlike("[0-9]"), text.rlike("[a-fA-F]{32}"), *(text.contains(x) for x in ("AKIA", "ghp_", "gho_", "sk-", "xoxb-", *FEMALE, *MALE, *NEUTRAL))])
+
+
+def _luhn(digits: Column) -> Column:
+    """Whether the check digit of a run of digits is right."""
+    d = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 1, F.when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)).otherwise(c.cast("int")))
+    return F.aggregate(d, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
 def _kind(surface: Column) -> Column:
-    return reduce(lambda rest, x: F.when(surface.rlike(rf"\A(?:{x[1]})\z"), x[0]).otherwise(rest), reversed(list(PATTERNS.items())), F.lit("other"))
+    """The type of a match, "none" for a run of digits that looks like a card's but has another check digit."""
+    found = reduce(lambda rest, x: F.when(surface.rlike(rf"\A(?:{x[1]})\z"), x[0]).otherwise(rest), reversed(list(PATTERNS.items())), F.lit("none"))
+    return F.when((found == "card") & ~_luhn(F.regexp_replace(surface, r"\D", "")), "none").otherwise(found)
 
 
 def _norm(kind: Column, surface: Column) -> Column:
-    """What all spellings of an entity share: lower-case addresses, bare digits, names without their title's dot."""
-    return F.when(kind == "email", F.lower(surface)).when(kind.isin("ip", "secret"), surface).when(kind == "name", F.regexp_replace(surface, r"\. ", " ")).otherwise(F.upper(F.regexp_replace(surface, r"[^0-9A-Za-z]", "")))
+    """What all spellings of an entity share: lower-case addresses, else bare digits and letters."""
+    return F.when(kind.isin("local", "domain"), F.lower(surface)).when(kind.isin("ip", "secret", "surname", "given"), surface).otherwise(F.upper(F.regexp_replace(surface, r"[^0-9A-Za-z]", "")))
+
 
+def _mac(key: str, message: Column) -> Column:
+    """HMAC of a text with SHA-512, as hex digits."""
+    raw = key.encode()
+    if len(raw) > 128:
+        raise ValueError("a key has at most 128 bytes")
+    inner, outer = (bytes(k ^ pad for k in raw.ljust(128, b"\0")) for pad in (0x36, 0x5C))
+    first = F.sha2(F.concat(F.lit(inner), message.cast("binary")), 512)
+    return F.sha2(F.concat(F.lit(outer), F.unhex(first)), 512)
 
-def _stream(key: str, *parts: Column) -> Column:
-    """Two hundred and fifty-six hex digits that only the key's holder can tell."""
-    seed = F.concat_ws("\u0001", F.lit(key), *parts)
-    return F.concat(F.sha2(F.concat(F.lit("a"), seed), 512), F.sha2(F.concat(F.lit("b"), seed), 512))
 
+def _stream(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
+    """128 numbers from 0 to 255 that only the key's holder can tell."""
+    hex_ = F.concat(*(_mac(key, F.concat_ws("\u0001", F.lit(half), kind, attempt.cast("string"), norm)) for half in "01"))
+    return F.transform(F.sequence(F.lit(0), F.lit(127)), lambda k: F.conv(F.substring(hex_, k * 2 + 1, F.lit(2)), 16, 10).cast("int"))
 
-def _byte(stream: Column, k: Column) -> Column:
-    return F.conv(F.substring(stream, (k % 128) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
+def _pick(letters: str, own: Column, k: Column) -> Column:
+    return F.substring(F.lit(letters), F.get(own, k % 128) % len(letters) + 1, F.lit(1))
 
-def _filled(surface: Column, stream: Column, hex_: bool = False) -> Column:
+
+def _filled(surface: Column, own: Column, hex_: bool = False) -> Column:
     """surface with its letters and digits drawn anew: digits stay digits, cases and scripts stay, the rest is untouched."""
-    pick = lambda letters, k: F.substring(F.lit(letters), _byte(stream, k) % len(letters) + 1, F.lit(1))
-    latin, cyrillic = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя"
 
     def drawn(c: Column, k: Column) -> Column:
         if hex_:
-            return F.when(c.rlike("[0-9a-f]"), pick("0123456789abcdef", k)).when(c.rlike("[A-F]"), pick("0123456789ABCDEF", k)).otherwise(c)
+            return F.when(c.rlike("[0-9a-f]"), _pick(_HEX, own, k)).when(c.rlike("[A-F]"), _pick(_HEX.upper(), own, k)).otherwise(c)
         return (
-            F.when(c.rlike("[0-9]"), pick("0123456789", k)).when(c.rlike(r"\p{IsCyrillic}"), F.when(F.lower(c) == c, pick(cyrillic, k)).otherwise(F.upper(pick(cyrillic, k))))
-            .when(c.rlike(r"\p{Lu}"), pick(latin.upper(), k)).when(c.rlike(r"\p{L}"), pick(latin, k)).otherwise(c)
+            F.when(c.rlike("[0-9]"), _pick("0123456789", own, k)).when(c.rlike(r"\p{IsCyrillic}"), F.when(F.lower(c) == c, _pick(_CYRILLIC, own, k)).otherwise(F.upper(_pick(_CYRILLIC, own, k))))
+            .when(c.rlike(r"\p{Lu}"), _pick(_LATIN.upper(), own, k)).when(c.rlike(r"\p{L}"), _pick(_LATIN, own, k)).otherwise(c)
         )
 
     chars = F.split(surface, "")
@@ -74,121 +97,129 @@ def _filled(surface: Column, stream: Column, hex_: bool = False) -> Column:
     return F.array_join(F.transform(chars, lambda c, i: drawn(c, solid(i))), "")
 
 
-def _luhn(digits: Column) -> Column:
-    """Whether the check digit of a run of digits is right."""
-    d = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 1, F.when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)).otherwise(c.cast("int")))
-    return F.aggregate(d, F.lit(0), lambda a, x: a + x) % 10 == 0
+def _more(letters: str, own: Column, count: Column) -> Column:
+    return F.when(count > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda k: _pick(letters, own, k + 96)), "")).otherwise("")
 
 
-def _stem(part: Column, place: int, script: str, key: str, attempt: Column) -> Column:
-    """A surrogate name without its end: three syllables, and one more each attempt, so that a free one always exists."""
-    s = _stream(key, F.lit(f"name{place}"), part, attempt.cast("string"))
-    return F.array_join(F.transform(F.sequence(F.lit(0), attempt.cast("int") + 2), lambda k: F.get(F.array(*map(F.lit, SYLLABLES[script])), _byte(s, k) % 32)), "")
+def _spelled(kind: Column, surface: Column, own: Column, attempt: Column) -> Column:
+    """The surrogate of one spelling of an entity that has no parts. Spellings of one entity draw the same letters and digits."""
+    grown = attempt - _SPARE
+    ip = F.array_join(F.transform(F.split(surface, r"\."), lambda _, i: (F.get(own, i) % 254 + 1).cast("string")), ".")
+    digits = _filled(surface, own)
+    short = F.concat(F.regexp_replace(digits, r"\d(\D*)$", ""), _more("0123456789", own, grown))
+    check = F.array_join(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.when(_luhn(F.regexp_replace(F.concat(short, d.cast("string")), r"\D", "")), d.cast("string")).otherwise("")), lambda x: x != ""), "")
+    code = F.regexp_extract(surface, r"^(\+\d{1,3}(?=[ .(-])|[A-Z]{2}\d{2}|)", 1)
+    kept = F.concat(code, F.substring(digits, F.length(code) + 1, F.length(digits)))
+    prefix = F.regexp_extract(surface, r"^(AKIA|ghp_|gho_|sk-|xoxb-|)", 1)
+    secret = F.when(prefix != "", F.concat(prefix, F.substring(digits, F.length(prefix) + 1, F.length(digits)))).otherwise(_filled(surface, own, hex_=True))
+    rest = F.when(kind == "secret", secret).when(kind.isin("phone", "iban"), kept).otherwise(digits)
+    return F.when(kind == "ip", ip).when(kind == "card", F.concat(short, check)).otherwise(F.concat(rest, _more("0123456789", own, grown)))
 
 
-def _name(surface: Column, key: str, attempt: Column, last: Column) -> Column:
-    """title, given name drawn by the attempt of the whole name, and surname by that of the surname (last)."""
-    title = F.regexp_extract(surface, r"\A(\S+) ", 1)
-    rest = F.split(F.regexp_replace(surface, r"\A\S+ ", ""), " ")
-    female, cyrillic = F.regexp_replace(title, r"\.", "").isin(*FEMALE), surface.rlike(r" .*\p{IsCyrillic}")
+def _by_script(part: Column, of) -> Column:
+    return F.when(part.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
 
-    def made(part: Column, place: int, n: Column) -> Column:
-        of = lambda script: F.initcap(F.concat(_stem(part, place, script, key, n), F.when(female, ENDS[script, "f"][place]).otherwise(ENDS[script, "m"][place])))
-        return F.when(cyrillic, of("cyrillic")).otherwise(of("latin"))
 
-    return F.concat_ws(" ", title, F.when(F.size(rest) > 1, made(F.get(rest, F.lit(0)), 0, attempt)), made(F.get(rest, F.size(rest) - 1), 1, last))
+def _drawn(left: DataFrame, key: str) -> DataFrame:
+    """left (kind, norm, surface, attempt) with drawn, the surrogate that an attempt gives an entity; names get it without their end."""
+    kind, norm, surface, attempt, own = (F.col(c) for c in ("kind", "norm", "surface", "attempt", "own"))
+    stem = _by_script(norm, lambda script: F.array_join(F.transform(F.sequence(F.lit(0), attempt + 2), lambda k: F.get(F.array(*map(F.lit, SYLLABLES[script])), F.get(own, k % 128) % 32)), ""))
+    top = F.regexp_extract(norm, r"(\.[^.]*)$", 1)
+    domain = F.concat(_filled(F.regexp_replace(norm, r"\.[^.]*$", ""), own), _more(_LATIN, own, attempt), top)
+    local = F.concat(_filled(F.substring_index(norm, "@", 1), own), _more(_LATIN, own, attempt), F.lit("@"), F.substring_index(norm, "@", -1))
+    found = F.when(kind.isin("surname", "given"), stem).when(kind == "domain", domain).when(kind == "local", local).otherwise(_norm(kind, _spelled(kind, surface, own, attempt)))
+    return left.withColumn("own", _stream(key, kind, norm, attempt)).withColumn("drawn", found).drop("own")
 
 
-def _surnames(names: DataFrame, key: str) -> DataFrame:
-    """surname and last (its attempt) of names, so that no two have the same stem in a script, nor one another's own value.
+def _settled(entities: DataFrame, key: str) -> DataFrame:
+    """kind, norm, attempt and drawn of every entity (kind, norm, surface): no two of a kind share drawn, nor has one another's own value.
 
-    An attempt's stems are longer than those of earlier ones, so each round only compares its own.
+    Of entities that collide the first by value keeps what it drew, the others draw again, with longer values where a
+    type's format can't be free for ever; each round is an aggregate and a join over what is undecided and what is taken.
     """
-    originals = saved(names.select("surname").distinct(), "surnames")
-    settled, left, n = [], originals, 0
+    width = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = saved(entities.withColumn("attempt", F.lit(0)), "entities")
+    whole = left.filter("kind not in ('surname', 'given', 'local')").select("kind", F.col("norm").alias("drawn"))
+    ends = [(k, e) for k, of in ENDS.items() for e in sorted(set(of.values()))]
+    cut = [left.filter((F.col("kind") == k) & F.col("norm").endswith(e)).select("kind", F.lower(F.expr(f"left(norm, length(norm) - {len(e)})")).alias("drawn")) for k, e in ends]
+    avoid = saved(reduce(DataFrame.union, cut, whole).distinct(), "originals")
+    taken: list[DataFrame] = []
     while True:
-        at = F.lit(n)
-        drawn = left.select("surname", _stem(F.col("surname"), 1, "latin", key, at).alias("stem"), _stem(F.col("surname"), 1, "cyrillic", key, at).alias("other"))
-        forms = F.array(*(F.initcap(F.concat("stem" if script == "latin" else "other", F.lit(ENDS[script, g][1]))) for script, g in ENDS))
-        real = drawn.select(F.col("surname").alias("of"), F.explode(forms).alias("surname")).join(originals, "surname", "left_semi").select(F.col("of").alias("surname")).distinct()
-        won = saved(drawn.join(real, "surname", "left_anti").groupBy("stem").agg(F.min("surname").alias("surname")).select("surname", at.alias("last")), "won")
-        settled.append(won)
-        left = saved(left.join(won, "surname", "left_anti"), "surnames")
+        drawn = saved(_drawn(left.repartition(width, "kind", "norm"), key), "drawn")
+        free = drawn.join(avoid, ["kind", "drawn"], "left_anti")
+        for held in taken:
+            free = free.join(held.select("kind", "drawn"), ["kind", "drawn"], "left_anti")
+        won = free.groupBy("kind", "drawn").agg(F.min(F.struct("norm", "attempt")).alias("w")).select("kind", "w.norm", "w.attempt", "drawn")
+        taken.append(saved(won, "taken"))
+        left = saved(drawn.drop("drawn").join(taken[-1].select("kind", "norm"), ["kind", "norm"], "left_anti").withColumn("attempt", F.col("attempt") + 1), "entities")
         if left.isEmpty():
-            return reduce(DataFrame.union, settled)
-        n += 1
-
-
-def surrogate(kind: Column, surface: Column, norm: Column, attempt: Column, last: Column, key: str) -> Column:
-    """The replacement of one spelling of an entity. Spellings of one entity draw the same letters and digits."""
-    n = attempt.cast("string")
-    own = _stream(key, kind, norm, n)
-    domain = F.regexp_extract(surface, "@(.*)$", 1)
-    top = F.regexp_extract(domain, r"(\.[^.]*)$", 1)
-    email = F.concat(_filled(F.regexp_extract(surface, "^(.*)@", 1), own), F.lit("@"), _filled(F.regexp_replace(domain, r"\.[^.]*$", ""), _stream(key, F.lit("domain"), F.lower(domain))), top)
-    ip = F.array_join(F.transform(F.split(surface, r"\."), lambda _, i: (_byte(own, i) % 254 + 1).cast("string")), ".")
-    digits = _filled(surface, own)
-    short = F.regexp_replace(digits, r"\d(\D*)$", "")
-    check = F.array_join(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.when(_luhn(F.regexp_replace(F.concat(short, d.cast("string")), r"\D", "")), d.cast("string")).otherwise("")), lambda x: x != ""), "")
-    card = F.when(_luhn(F.regexp_replace(surface, r"\D", "")), F.concat(short, check)).otherwise(digits)
-    code = F.regexp_extract(surface, r"^(\+\d{1,3}(?=[ .(-])|[A-Z]{2}\d{2}|)", 1)
-    kept = F.concat(code, F.substring(digits, F.length(code) + 1, F.length(digits)))
-    prefix = F.regexp_extract(surface, r"^(AKIA|ghp_|gho_|sk-|xoxb-|)", 1)
-    secret = F.when(prefix != "", F.concat(prefix, F.substring(digits, F.length(prefix) + 1, F.length(digits)))).otherwise(_filled(surface, own, hex_=True))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind.isin("phone", "iban"), kept).when(kind == "secret", secret).when(kind == "name", _name(surface, key, attempt, last)).otherwise(digits)
-
+            return reduce(DataFrame.union, taken)
+
+
+def _mapping(spellings: DataFrame, key: str) -> DataFrame:
+    """surface and surrogate of every distinct spelling (kind, surface). An address is its local part and its domain, a name
+    its given name and its surname: each is an entity of its own, so what texts share stays shared."""
+    kind, surface = F.col("kind"), F.col("surface")
+    words = F.split(F.regexp_replace(surface, r"\A\S+ ", ""), " ")
+    domain = F.lower(F.substring_index(surface, "@", -1))
+    one = F.when(kind == "email", "local").when(kind == "name", "surname").otherwise(kind)
+    two = F.when(kind == "email", "domain").when((kind == "name") & (F.size(words) > 1), "given")
+    spellings = spellings.select("kind", "surface", one.alias("k1"), F.when(kind == "name", F.get(words, F.size(words) - 1)).otherwise(_norm(one, surface)).alias("n1"), two.alias("k2"), F.when(kind == "email", domain).when(two == "given", F.get(words, F.lit(0))).alias("n2"))
+    spellings = saved(spellings, "spellings")
+    parts = spellings.select(F.col("k1").alias("kind"), F.col("n1").alias("norm"), "surface").union(spellings.filter("k2 is not null").select("k2", "n2", "n2"))
+    taken = _settled(parts.groupBy("kind", "norm").agg(F.min("surface").alias("surface")), key)
+    first = taken.select(F.col("kind").alias("k1"), F.col("norm").alias("n1"), F.col("drawn").alias("d1"), "attempt")
+    second = taken.select(F.col("kind").alias("k2"), F.col("norm").alias("n2"), F.col("drawn").alias("d2"))
+    width = int(spellings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = spellings.join(first, ["k1", "n1"]).join(second, ["k2", "n2"], "left").repartition(width, "kind", "surface").withColumn("own", _stream(key, F.col("k1"), F.col("n1"), F.col("attempt")))
+
+    own, attempt = F.col("own"), F.col("attempt")
+    at = F.substring_index(surface, "@", -1)
+    host = F.when(at == F.upper(at), F.upper("d2")).otherwise(F.col("d2"))
+    local, more = F.substring_index(surface, "@", 1), _more(_LATIN, own, attempt)
+    email = F.concat(_filled(local, own), F.when((local == F.upper(local)) & (local != F.lower(local)), F.upper(more)).otherwise(more), F.lit("@"), host)
+    title = F.regexp_extract(surface, r"\A(\S+) ", 1)
+    plain = F.regexp_replace(title, r"\.", "")
+    ended = lambda part, stem, norm: F.initcap(F.concat(stem, _by_script(norm, lambda script: F.when(plain.isin(*FEMALE), ENDS[part][script, "f"]).when(plain.isin(*MALE), ENDS[part][script, "m"]).otherwise(ENDS[part][script, "n"]))))
+    person = F.concat_ws(" ", title, F.when(F.col("d2").isNotNull(), ended("given", F.col("d2"), F.col("n2"))), ended("surname", F.col("d1"), F.col("n1")))
+    return placed.select("surface", F.when(kind == "email", email).when(kind == "name", person).otherwise(_spelled(kind, surface, own, attempt)).alias("surrogate"))
 
-def _mapping(spellings: DataFrame, key: str, rounds: int = 30) -> DataFrame:
-    """kind, surface, surrogate of every distinct spelling. Entities of a kind never share a surrogate, nor take another's own value.
 
-    Of entities that collide the first by value keeps its surrogate, the others draw again; each round is one
-    aggregate and one join over what is undecided and what is taken. Surnames are settled first, as entities of their
-    own: a name that draws again gets another given name and keeps its surname.
-    """
-    names = spellings.filter("kind = 'name'").withColumn("surname", F.regexp_extract("surface", r"(\S+)\z", 1))
-    named = names.join(_surnames(names, key), "surname").select(*spellings.columns, "last")
-    spellings = saved(spellings.filter("kind <> 'name'").withColumn("last", F.lit(0)).union(named), "spellings")
-    entities = spellings.groupBy("kind", "norm").agg(F.min("surface").alias("surface"), F.min("last").alias("last")).withColumn("attempt", F.lit(0))
-    taken, left, n = None, saved(entities, "entities"), 0
-    originals = left.select("kind", F.col("norm").alias("drawn"), F.lit(True).alias("real"))
-    while n < rounds:
-        drawn = left.withColumn("drawn", _norm(F.col("kind"), surrogate(F.col("kind"), F.col("surface"), F.col("norm"), F.col("attempt"), F.col("last"), key)))
-        drawn = saved(drawn.join(originals, ["kind", "drawn"], "left"), "drawn")
-        free = drawn.filter("real is null").drop("real")
-        if taken is not None:
-            free = free.join(taken.select("kind", "drawn"), ["kind", "drawn"], "left_anti")
-        won = free.groupBy("kind", "drawn").agg(F.min(F.struct("norm", "attempt")).alias("w")).select("kind", "drawn", F.col("w.norm").alias("norm"), F.col("w.attempt").alias("attempt"))
-        taken = saved(won if taken is None else taken.union(won.select(*taken.columns)), "taken")
-        left = saved(drawn.drop("drawn", "real").join(taken.select("kind", "norm"), ["kind", "norm"], "left_anti").withColumn("attempt", F.col("attempt") + 1), "entities")
-        if left.isEmpty():
-            break
-        n += 1
-    else:
-        raise RuntimeError("surrogates still collide; an entity type's format has too few values")
-    return spellings.join(taken.select("kind", "norm", "attempt"), ["kind", "norm"]).select("surface", "kind", surrogate(F.col("kind"), F.col("surface"), F.col("norm"), F.col("attempt"), F.col("last"), key).alias("surrogate"))
+def session_key(spark: SparkSession) -> str:
+    """The key in tessera.pii.key, the same for all jobs that must agree; where it is unset, a fresh one that nobody keeps."""
+    return spark.conf.get("tessera.pii.key", None) or secrets.token_hex(32)
 
 
-def replace_entities(docs: DataFrame, key: str = "tessera", text_col: str = "text") -> DataFrame:
-    """docs, with every entity in text_col replaced, and n_entities and entity_kinds (sorted) added. Rows and other columns stay.
+def replace_entities(docs: DataFrame, key: str, text_col: str = "text", added: tuple[str, str] | None = ("n_entities", "entity_kinds")) -> DataFrame:
+    """docs, with every entity in text_col replaced, and the columns added: their number, and their sorted types. Rows and other columns stay.
 
-    A surrogate depends on the key, the type and the entity alone: the same entity gets the same one in every text,
-    an address's domain and a person's surname likewise; cards stay valid by their check digit, phones keep the country
-    code, names the gender of their title and the script. Texts without an entity pass without a shuffle; of the others
-    only matches meet their surrogates. Null text stays null; repeated rows are each returned; columns of docs named
-    n_entities or entity_kinds are overwritten.
+    A surrogate depends on the key, the type and the entity, and on the table's other entities where two would collide:
+    then the first by value keeps what it drew. Within a table the same entity gets the same surrogate in every text, and
+    so do an address's domain, a person's given name and surname; different ones get different ones. Cards have a valid
+    check digit before and after (other runs of digits are no cards), phones keep the country code, names the gender of
+    their title and the script. A value grows by a letter or digit where its format has no free one; IPv4 addresses
+    can't, so their own number must leave some free.
+    Each text is searched once; what it matched is kept as a table, and only matches meet their surrogates. Null text
+    stays null, texts without an entity pass without a shuffle, repeated rows are each returned, an empty table gives an
+    empty result. Columns of docs may have any names; those named as the added ones are overwritten, and added=None adds none.
     """
-    rest = docs.drop("n_entities", "entity_kinds")
-    text = F.col(text_col)
-    has = F.coalesce(_maybe(text) & text.rlike(ANY), F.lit(False))
-    kinds = F.expr("cast(array() as array<string>)")
-    plain = rest.filter(~has).select("*", F.lit(0).cast("long").alias("n_entities"), kinds.alias("entity_kinds"))
-    hit = rest.filter(has)
-    found = hit.select(F.md5(text.cast("binary")).alias("own"), F.posexplode(F.regexp_extract_all(text, F.lit(ANY), 0)).alias("at", "surface")).distinct()
-    found = saved(found.withColumn("kind", _kind(F.col("surface"))), "matches")
-    spellings = found.select("kind", "surface").distinct().withColumn("norm", _norm(F.col("kind"), F.col("surface")))
-    mapping = saved(_mapping(saved(spellings, "spellings"), key), "surrogates")
-    lists = saved(found.join(mapping, ["kind", "surface"]).groupBy("own").agg(F.sort_array(F.collect_list(F.struct("at", "surrogate", "kind"))).alias("_found")), "lists")
-    joined = hit.withColumn("own", F.md5(text.cast("binary"))).join(lists, "own").withColumn("_parts", F.split(text, ANY, -1))
-    woven = F.array_join(F.transform("_parts", lambda p, i: F.concat(p, F.coalesce(F.get("_found", i)["surrogate"], F.lit("")))), "")
-    new = joined.select(*(woven.alias(c) if c == text_col else F.col(f"`{c}`") for c in rest.columns), F.size("_found").cast("long").alias("n_entities"), F.sort_array(F.array_distinct(F.transform("_found", lambda x: x["kind"]))).alias("entity_kinds"))
-    return plain.union(new)
+    others = [c for c in docs.columns if c != text_col and c not in (added or ())]
+    order = [c for c in docs.columns if c not in (added or ())]
+    text, none = F.col(name(text_col)).cast("string"), F.expr("cast(array() as array<string>)")
+    row = F.struct(F.lit(None).cast("int").alias("none"), *(F.col(name(c)).alias(f"c{i}") for i, c in enumerate(others)))
+    rows = docs.select(row.alias("row"), text.alias("text"), F.monotonically_increasing_id().alias("uid"))
+    rows = rows.withColumn("found", F.when(_maybe(F.col("text")), F.regexp_extract_all("text", F.lit(ANY), 0)).otherwise(none))
+    rows = rows.withColumn("found", F.when(F.exists("found", lambda x: _kind(x) != "none"), F.col("found")).otherwise(none))
+    has = F.size("found") > 0
+    rows = saved(rows.select("row", "uid", "found", F.when(~F.coalesce(has, F.lit(False)), F.col("text")).alias("text"), F.when(has, F.split("text", ANY, -1)).alias("parts")), "searched")
+    hit = rows.filter(has)
+    each = hit.select("uid", F.posexplode("found").alias("at", "surface")).withColumn("kind", _kind(F.col("surface"))).filter("kind <> 'none'")
+    each = saved(each, "matches")
+    mapping = saved(_mapping(each.select("kind", "surface").distinct(), key), "surrogates")
+    lists = each.join(mapping, "surface").groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("at", "surrogate"))).alias("new"), F.count("*").alias("n"), F.sort_array(F.collect_set("kind")).alias("kinds"))
+    own = F.transform("parts", lambda p, i: F.concat(p, F.coalesce(F.try_element_at("new", i), F.get("found", i), F.lit(""))))
+    woven = hit.join(lists, "uid").select("row", F.array_join(own, "").alias("text"), "n", "kinds")
+    out = rows.filter(~F.coalesce(has, F.lit(False))).select("row", "text", F.lit(0).cast("long").alias("n"), none.alias("kinds")).union(woven)
+    number = {c: f"c{i}" for i, c in enumerate(others)}
+    back = [F.col("text").alias(c) if c == text_col else F.col(f"row.{number[c]}").alias(c) for c in order]
+    return out.select(*back, *(x.alias(c) for x, c in zip((F.col("n"), F.col("kinds")), added or ())))

@@ -20,7 +20,7 @@ def op2_decontamination(spark, sf_dir):
 
 
 def op3_warc(spark, sf_dir):
-    return warc.report(warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages")), payloads=False))
+    return warc.report(warc.sound(warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages")), payloads=False)))
 
 
 def op4_quality(spark, sf_dir):
@@ -48,7 +48,7 @@ def op8_language(spark, sf_dir):
 
 
 def op9_pii(spark, sf_dir):
-    return pii.replace_entities(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.replace_entities(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
 
 
 def op10_packing(spark, sf_dir):
