@@ -105,10 +105,20 @@ def test_chat_round_trip(spark, sf_dir):
 
 
 def test_language_held_out(docs):
-    rows = langid.identify(docs, carry=["lang", "text"]).withColumn("out", langid.held_out()).collect()
-    held = [r for r in rows if r.out and r.lang and re.search(r"[^\W\d_]", r.text or "")]
-    assert len(held) > 20 and sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held)
-    assert all(0 <= r.score <= 1 for r in rows) and all(r.lang_pred == "und" for r in rows if not r.text)
+    odd = docs.select(F.lit(8001).alias("doc_id"), F.lit("½ ² Ⅻ 12 _").alias("text"), "lang", "source", "n_chars").limit(1)
+    clash = docs.union(odd).withColumn("score", F.lit(1)).withColumn("id", F.lit(2)).withColumn("a.b`c", F.lit(3))
+    rows = langid.identify(clash, carry=["lang", "text", "score", "a.b`c"]).withColumn("out", langid.held_out()).collect()
+    assert len(rows) == docs.count() + 1 and all((r.carried["score"], r.carried["a.b`c"]) == (1, 3) for r in rows)
+    held = [r for r in rows if r.out and r.carried["lang"] and re.search(r"[^\W\d_]", r.carried["text"] or "")]
+    assert len(held) > 20 and sum(r.carried["lang"] == r.lang_pred for r in held) >= 0.97 * len(held)
+    assert all(0 <= r.score <= 1 for r in rows)
+    assert all((r.lang_pred, r.score) == ("und", 0.0) for r in rows if not r.carried["text"] or r.doc_id == 8001)
+    assert langid.identify(docs.limit(0)).collect() == []
+    assert {r.lang_pred for r in langid.identify(docs, training=docs.limit(0)).collect()} == {"und"}
+
+
+def test_words_keep_their_marks():
+    assert langid.split_words("हिन्दी ½²Ⅻ Ünï-x2y") == ["▁हिन्दी", "▁ünï", "▁x", "▁y"]
 
 
 def test_forward_sums_all_segmentations():
@@ -121,18 +131,25 @@ def test_forward_sums_all_segmentations():
     words = ["a", "ab", "aba", "ababa", "bbab"]
     lattice = langid.Lattice(words, vocab, 3)
     assert np.allclose(lattice.totals(probs)[:, 0], [total(w) for w in words])
+    for w in [*words, "ab" * 100]:
+        one = langid.log_total(w, vocab, 3, probs)[0]
+        best = [1.0]
+        for end in range(1, len(w) + 1):
+            best.append(sum(probs[vocab[w[end - n : end]], 0] * best[end - n] for n in (1, 2, 3) if n <= end and w[end - n : end] in vocab))
+        assert np.isclose(one, np.log(best[-1]))
     e = lattice.expected(probs, np.ones((len(words), 1)))
     assert np.isclose(sum(e[i, 0] * len(p) for p, i in vocab.items()), sum(map(len, words)))
 
 
 def test_surrogates(spark):
     text = "Mrs. Anna Schmidt, Mrs Schmidt, Mr. Smith, Г-жа Иванова; 4111 1111 1111 1111 or 4111-1111-1111-1111, 1.2.3.4. 078-05-1120 +1 (743) 555-3824 a.b@x.org A.B@X.ORG ghp_abcdefghijklmnop1234 " + "0af9" * 10
-    rows = [(1, text), (2, None), (3, ""), (4, "nothing 12 here"), (1, text), (5, "again 1.2.3.4, 1.2.3.5")]
-    got = pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_entities", F.lit(7))).collect()
-    assert len(got) == 6
+    rows = [(1, text), (2, None), (3, ""), (4, "nothing 12 here"), (1, text), (5, "again 1.2.3.4, 1.2.3.5"), (6, "4111 1111 1111 1112 and 999.1.2.3")]
+    got = pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_entities", F.lit(7)), "a key").collect()
+    assert len(got) == 7
     by = defaultdict(list)
     for r in got:
         by[r.doc_id].append(r.text)
+    assert by[6] == [rows[-1][1]] and sum(r.n_entities for r in got) == 2 * 13 + 2
     assert by[2] == [None] and by[3] == [""] and by[4] == ["nothing 12 here"] and by[1][0] == by[1][1]
     new = by[1][0]
     for private in ("Schmidt", "Anna", "Smith", "Иванова", "4111", "1.2.3.4", "078-05", "743", "a.b@x", "A.B@X", "abcdefgh", "0af90af9"):
@@ -152,7 +169,7 @@ def test_many_surnames(spark):
     name = lambda i: "Q" + "".join(letters[i // 22**k % 22] for k in range(4))
     rows = [(k, "; ".join(f"Mr {name(i)}" + (f", Mr John {name(i)}, Mrs {name(i)}" if i % 20 == 0 else "") for i in range(k, 40000, 40))) for k in range(40)]
     surnames = {}
-    for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+    for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "a key").collect():
         for i, part in zip(range(r.doc_id, 40000, 40), r.text.split("; ")):
             found = {x.split(" ")[-1] for x in part.split(", ")}
             assert len(found) == 1 and part.count(", ") == (2 if i % 20 == 0 else 0)
@@ -160,6 +177,25 @@ def test_many_surnames(spark):
     assert len(surnames) == len(set(surnames.values())) == 40000 and not set(surnames.values()) & {name(i) for i in range(40000)}
 
 
+def test_small_spaces_fill_up(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{a}@x.org" for a in letters] + [f"{a}@{b}{c}.org" for a in "ab" for b in letters[:10] for c in letters[:10]]
+    rows = [(i, f"write to {m} or {m.upper()}!", "o", 1, 2) for i, m in enumerate(mails)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own string, found int, `a.b``c` int")
+    got = pii.replace_entities(docs, "a key").orderBy("doc_id").collect()
+    assert all((r.own, r.found, r["a.b`c"], r.n_entities, r.entity_kinds) == ("o", 1, 2, 2, ["email"]) for r in got)
+    new = [re.fullmatch(r"write to (\S+) or (\S+)!", r.text).groups() for r in got]
+    assert all(a.upper() == b for a, b in new) and len({a for a, _ in new} | set(mails)) == 2 * len(mails)
+    domains = {}
+    for old, (a, _) in zip(mails, new):
+        assert domains.setdefault(old.split("@")[1], a.split("@")[1]) == a.split("@")[1]
+    assert len(set(domains.values())) == len(domains) == 101
+    other = pii.replace_entities(docs, "another key").orderBy("doc_id").collect()
+    assert sum(a.text != b.text for a, b in zip(got, other)) > 200
+    assert pii.replace_entities(docs.limit(0), "a key", added=None).columns == docs.columns
+    assert pii.replace_entities(docs.limit(0), "a key").collect() == []
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 

@@ -1,6 +1,8 @@
 import base64
 import hashlib
+import random
 import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -16,15 +18,15 @@ def _alnum(t):
     return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOW))
 
 
-@pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
-def test_minhash_against_all_pairs(spark, width, percent):
+@pytest.mark.parametrize(("width", "percent", "block"), [(3, 85, 4096), (5, 80, 4096), (3, 85, 5)])
+def test_minhash_against_all_pairs(spark, width, percent, block):
     words = [f"w{i}" for i in range(400)]
     base = " ".join(words)
     texts = [base, base.upper(), base, None, "", " \t\n", "one", "one two", "ONE  two", "x y z", "y z x"]
     texts += [" ".join(words[:k] + [f"new{k}"] + words[k + 1 :]) for k in range(3, 390, 13)]
     texts += [" ".join(words[k:]) for k in range(0, 80, 7)] + [" ".join(f"u{(i * i + k) % 997}" for i in range(300)) for k in range(5)] + [base * 40]
     docs = spark.createDataFrame([(i + 10, t, None, None, 0, "x") for i, t in enumerate(texts)] + [(10, base, None, None, 0, "x"), (None, base, None, None, 0, "x")], DOCS)
-    got = minhash.near_duplicates(docs, percent=percent, width=width).collect()
+    got = minhash.near_duplicates(docs, percent=percent, width=width, block=block).collect()
     assert len(got) == len(texts) + 2
     sets = {}
     for i, t in enumerate(texts):
@@ -41,12 +43,19 @@ def test_minhash_against_all_pairs(spark, width, percent):
                     changed = True
     for r in got:
         if r.doc_id is None:
-            assert r.component_id is None and r.kept
+            assert (r.component_id, r.kept) == (10, False)
         else:
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), root[r.doc_id], r.doc_id == root[r.doc_id]), r
     assert minhash.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_minhash_ids_of_text_none_and_twice(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    docs = spark.createDataFrame([("k2", a, 1), ("k1", a, 2), ("k1", b, 3), (None, "only none", 4), (None, "only none", 5), ("k3", None, 6)], "doc_id string, text string, group int")
+    got = sorted((tuple(r)[:4] for r in minhash.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([("k2", 58, "k1", False), ("k1", 58, "k1", True), ("k1", 58, "k1", True), (None, 1, None, True), (None, 1, None, True), ("k3", 0, "k3", True)], key=str)
+
+
 def test_decontamination_against_scan(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -68,22 +77,37 @@ def test_decontamination_against_scan(spark, sf_dir):
                     hit |= set(range(i, i + n))
                     items |= own
         expected.append((d.doc_id, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)))
-    got = [tuple(r) for r in decontaminate.report(decontaminate.contamination(docs, bench)).collect()]
-    assert sorted(got, key=str) == sorted(expected, key=str)
+    for block in (decontaminate.BLOCK, bench.agg(F.sum(F.length("text"))).first()[0] // 3):
+        got = [tuple(r) for r in decontaminate.report(decontaminate.contamination(docs, bench, block=block)).collect()]
+        assert sorted(got, key=str) == sorted(expected, key=str)
+    clash = docs.select("doc_id", "text", *(F.lit(1).alias(c) for c in ("spans", "items", "n_words", "uid", "row", "carried", "a.b`c")))
+    carried = decontaminate.contamination(clash, bench, carry=["spans", "a.b`c"]).select("carried.*")
+    assert carried.columns == ["spans", "a.b`c"] and carried.count() == docs.count()
+    assert decontaminate.contamination(docs.limit(0), bench).collect() == []
     none = decontaminate.report(decontaminate.contamination(docs, bench.limit(0))).agg(F.sum("n_hit")).first()[0]
     assert none == 0
 
 
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/x", "same"), (5, "http://a/y", "same"), (3, None, None), (4, "u\r\nv", ""), (6, "http://b", "é" * 5000), (7, "http://c", "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.page_id: r for r in warc.report(warc.read_archives(warc.write_archives(pages, limit=200))).collect()}
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, digest string, kind int")
+    got = {r.page_id: r for r in warc.report(warc.sound(warc.read_archives(warc.write_archives(pages, limit=200)))).collect()}
     sha = lambda s: base64.b32encode(hashlib.sha1((s or "").encode()).digest()).decode()
     assert len(got) == 6
     for i, _, h in rows:
         first = max(j for j, _, g in rows if (g or "") == (h or ""))
         assert (got[i].payload_bytes, got[i].payload_digest) == (len((h or "").encode()), sha(h))
         assert (got[i].record_type, got[i].refers_to) == (("response", None) if first == i else ("revisit", first))
+    assert warc.read_archives(warc.write_archives(pages.limit(0))).collect() == []
+
+
+def test_warc_repeated_rows_and_ids_of_text(spark):
+    rows = [("b c", "u", "same"), ("b c", "u", "same"), ("a", "u", "same"), (None, "u", "same"), (None, "v", "alone"), ("a", "u", "other")]
+    found = warc.read_archives(warc.write_archives(spark.createDataFrame(rows, "page_id string, url string, html string")))
+    got = [tuple(r) for r in warc.report(found, "string").select("page_id", "record_type", "refers_to").collect()]
+    assert sorted(got, key=str) == sorted([("b c", "response", None)] * 2 + [("a", "revisit", "b c"), (None, "revisit", "b c"), (None, "response", None), ("a", "response", None)], key=str)
+    assert {r.payload for r in found.filter("kind = 'response'").collect()} == {b"same", b"alone", b"other"}
+    assert warc.quarantine(found).count() == 0
 
 
 def test_salvage_reader():
@@ -93,13 +117,43 @@ def test_salvage_reader():
         k = len(b) * 3 // 4
         bad = b[:k] + b"\x00\x01\x02" + b[k + 3 :]
         found = list(warc.salvage(a + bad + c))
-        assert [x["page_id"] for x in found if x["kind"] != "gap"] == [1, 3]
+        assert [x["page_id"] for x in found if x["kind"] != "gap"] == ["1", "3"]
         gaps = [(x["start"], x["end"]) for x in found if x["kind"] == "gap"]
         assert gaps == [(len(a), len(a) + len(bad))]
         assert [x["kind"] for x in warc.salvage(b"junk\n" + a + c[:40])] == ["gap", "response", "gap"]
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_inside_a_member():
+    rng = random.Random(3)
+    texts = [bytes(rng.randrange(32, 127) for _ in range(3000)) for _ in range(4)]
+    one, two, three, four = (warc.record(i, "u", t) for i, t in enumerate(texts))
+    bad = two.replace(texts[1][:10], b"X" * 10)
+    found = list(warc.salvage(warc.member(one + bad + three)))
+    assert [(x["kind"], x.get("page_id"), x["inner_start"], x["inner_end"]) for x in found] == [("response", "0", 0, len(one)), ("gap", None, len(one), len(one + bad)), ("response", "2", len(one + bad), len(one + bad + three))]
+    whole = warc.member(one + two + three)
+    cut = whole[: len(whole) * 9 // 10]
+    found = list(warc.salvage(cut + warc.member(four)))
+    assert [(x["kind"], x.get("page_id")) for x in found] == [("response", "0"), ("response", "1"), ("gap", None), ("response", "3")]
+    assert (found[2]["start"], found[2]["end"], found[2]["inner_start"]) == (0, len(cut), len(one + two))
+    flipped = whole[: len(whole) // 2] + bytes([whole[len(whole) // 2] ^ 255]) + whole[len(whole) // 2 + 1 :]
+    found = list(warc.salvage(flipped + warc.member(four)))
+    assert [x["page_id"] for x in found if x["kind"] != "gap"] in (["0", "3"], ["0", "1", "3"]) and sum(x["kind"] == "gap" for x in found) == 1
+    plain = one + bad + three
+    assert [x.get("page_id") for x in warc.salvage(plain)] == ["0", None, "2"]
+
+
+def test_salvage_takes_time_in_proportion():
+    def took(n):
+        data = b"".join(warc.member(warc.record(i, "u", b"x%d" % i * 50)) for i in range(n)) + b"\x1f\x8b\x08 junk" * 50
+        began = time.perf_counter()
+        assert sum(x["kind"] == "response" for x in warc.salvage(data)) == n
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(8000) < 16 * took(2000)
+
+
 def test_extraction(spark):
     nav = "<div>Home of things</div><div>All rights reserved here</div>"
     rows = [
@@ -125,8 +179,6 @@ def test_articles_inside_skipped_elements():
 
 
 def test_shared_lines_are_a_longest_common_subsequence():
-    import random
-
     rng = random.Random(1)
     for _ in range(300):
         a, b = ([rng.randint(0, 4) for _ in range(rng.randint(0, 12))] for _ in range(2))
