@@ -55,6 +55,39 @@ def pair_type(video: Column, audio: Column) -> Column:
     return F.concat(F.when(video, "F").otherwise("R"), F.when(audio, "F").otherwise("R"))
 
 
+def clip_type(video: Column, audio: Column, n_fakes: Column | None = None) -> Column:
+    """pair_type of two flags in any spelling; where both are absent and n_fakes is given, FF if it is positive, else RR."""
+    by_flags = pair_type(to_bool(video), to_bool(audio))
+    if n_fakes is None:
+        return by_flags
+    return F.when(video.isNull() & audio.isNull(), F.when(n_fakes > 0, "FF").otherwise("RR")).otherwise(by_flags)
+
+
+#: The types that count as forged, by task.
+FORGED = {"visual": ["FR", "FF"], "audio": ["RF", "FF"], "any": ["RF", "FR", "FF"]}
+
+
+def binary_label(kind: Column, task: str) -> Column:
+    return kind.isin(*FORGED[task]).cast("int")
+
+
+#: Families of the outcomes of a task.
+FAMILIES = {"ok": "saved", "skipped_existing": "existing", "budget_exhausted": "over_budget", "segment_exceeds_budget": "over_budget", "segment_too_short_for_min_frames": "too_few_frames", "saved_frames_below_min": "too_few_frames"}
+
+
+def outcome_family(status: Column) -> Column:
+    """What an outcome counts as; every other one, errors included, is a failure."""
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in FAMILIES.items() for x in pair))[status], F.lit("failed"))
+
+
+def task_status(exists: Column, frames: Column, needed: Column, room: Column, saved: Column) -> Column:
+    """The outcome of an extraction task by the first rule that applies: what is there, what may be added, what came out."""
+    return (
+        F.when(exists, "skipped_existing").when(room <= 0, "budget_exhausted").when(frames < needed, "segment_too_short_for_min_frames")
+        .when(frames > room, "segment_exceeds_budget").when(saved < needed, "saved_frames_below_min").otherwise("ok")
+    )
+
+
 def filled(value: Column, default: str) -> Column:
     return F.coalesce(F.nullif(F.trim(value), F.lit("")), F.lit(default))
 
@@ -117,3 +150,61 @@ def normalized(values: Column, mean: list[float], std: list[float]) -> Column:
     """Per channel (x / 255 - mean) / std of an array with one value a channel."""
     of = F.array(*(F.struct(F.lit(float(m)).alias("m"), F.lit(float(s)).alias("s")) for m, s in zip(mean, std)))
     return F.zip_with(values, of, lambda x, c: (x / F.lit(255.0) - c["m"]) / c["s"])
+
+
+def is_absolute(path: Column) -> Column:
+    """Of either system: a drive letter with a slash, or a leading slash; back slashes count as slashes."""
+    return F.regexp_replace(path, r"\\", "/").rlike("^(?:[A-Za-z]:)?/")
+
+
+def frame_count(span: Column, skip: int) -> Column:
+    """How many frames every skip-th of span ones are: the quotient, rounded up."""
+    return F.floor((span + skip - 1) / skip).cast("long")
+
+
+def box_area(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    return (x2 - x1) * (y2 - y1)
+
+
+def rounded_product(x: Column, digits: int = 2) -> Column:
+    """Rounds the product with the power of ten, ties to even: 2.675 gives 2.68."""
+    return F.rint(x * 10.0**digits) / 10.0**digits
+
+
+def rounded_exactly(x: Column, digits: int = 2) -> Column:
+    """Rounds the double's exact value, ties to even: 2.675, a little less than it looks, gives 2.67.
+
+    The product with the power of ten is exactly p + e, where x is split into halves whose products are exact; where p
+    is a tie, e decides.
+    """
+    ten = F.lit(10.0**digits)
+    wide = x * 134217729.0
+    high = wide - (wide - x)
+    p = x * ten
+    e = (high * ten - p) + (x - high) * ten
+    down = F.floor(p).cast("double")
+    return F.when((p - down == 0.5) & (e != 0), F.when(e > 0, down + 1).otherwise(down)).otherwise(F.rint(p)) / ten
+
+
+def number_list(text: Column) -> Column:
+    """A list of numbers that commas separate."""
+    return F.transform(F.split(text, ","), lambda x: F.trim(x).cast("double"))
+
+
+def number_range(text: Column) -> Column:
+    """A whole number, or all from the first to the second of two; more than two are an error."""
+    own = F.transform(F.split(text, ","), lambda x: F.trim(x).cast("int"))
+    none = F.raise_error(F.concat(F.lit("more than two bounds: "), text)).cast("array<int>")
+    first, last = F.get(own, F.lit(0)), F.get(own, F.lit(1))
+    return F.when(F.size(own) > 2, none).when(F.size(own) == 1, own).when(first > last, F.expr("cast(array() as array<int>)")).otherwise(F.sequence(first, F.greatest(first, last)))
+
+
+def clock(seconds: Column) -> Column:
+    """Hours, minutes and seconds of a duration."""
+    h, rest = F.floor(seconds / 3600), F.pmod(seconds, F.lit(3600))
+    return F.struct(h.cast("long").alias("hours"), F.floor(rest / 60).cast("long").alias("minutes"), F.pmod(rest, F.lit(60)).cast("double").alias("seconds"))
+
+
+def local_time(utc: Column, hours: int = 8) -> Column:
+    """A UTC time as clocks that many hours ahead show it."""
+    return F.date_format(utc + F.make_dt_interval(F.lit(0), F.lit(hours)), "yyyy-MM-dd HH:mm:ss")

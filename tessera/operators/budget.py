@@ -1,29 +1,47 @@
-"""Ordered budgets: state that depends on every earlier decision of a group, as a fold over its ordered tasks."""
+"""Ordered budgets: state that depends on every earlier decision of a group, carried over its sorted rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
+from collections.abc import Iterator
 
-def greedy(tasks: DataFrame, group: list[str], order: list[str], cost: str, budget: int, idle_stop: int | None = None) -> DataFrame:
-    """tasks with taken: a task is taken iff its cost still fits what its group has left, else skipped and the next tried.
-
-    idle_stop: after so many skips in a row nothing more is taken. A group's ordered tasks are one array, so a group
-    must fit in a task's memory (plans of up to some 10**5 tasks); groups are spread over the cluster.
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
+
+
+def _spender(group: list[str], kind: str | None, cost: str, budget: int, idle_stop: int | None):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, left, idle, stopped = None, {}, 0, False
+        for batch in batches:
+            names = batch.schema.names
+            keys = list(zip(*(batch.column(names.index(c)).to_pylist() for c in group))) if group else [()] * batch.num_rows
+            kinds = batch.column(names.index(kind)).to_pylist() if kind else [None] * batch.num_rows
+            taken = []
+            for key, k, n in zip(keys, kinds, batch.column(names.index(cost)).to_pylist()):
+                if key != at:
+                    at, left, idle, stopped = key, {}, 0, False
+                room = left.setdefault(k, budget)
+                ok = not stopped and room > 0 and n is not None and n <= room
+                left[k] = room - n if ok else room
+                idle = 0 if ok and n > 0 else idle + 1
+                stopped = stopped or (idle_stop is not None and room <= 0 and idle >= idle_stop)
+                taken.append(ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(taken, pa.bool_())], [*names, "taken"])
+
+    return of
+
+
+def greedy(tasks: DataFrame, group: list[str], order: list[str], cost: str, budget: int, idle_stop: int | None = None, kind: str | None = None) -> DataFrame:
+    """tasks with taken: a task is taken iff its cost still fits what its group (and kind) has left, else skipped and the next tried.
+
+    idle_stop: a task that adds nothing counts, one that adds resets the count; a group ends at a task whose budget is
+    already spent once so many in a row have added nothing. Groups are hashed to tasks and sorted there; rows stream by
+    with a few numbers of state, so a group may be of any size. Null costs are never taken.
     """
-    row = F.struct(*order, F.col(cost).cast("long").alias("_cost"), *(c for c in tasks.columns if c not in order and c not in group))
-    listed = tasks.groupBy(*group).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-    start = F.struct(F.lit(budget).cast("long").alias("left"), F.lit(0).cast("long").alias("idle"), F.expr("cast(array() as array<boolean>)").alias("taken"))
-    stop = F.lit(idle_stop if idle_stop is not None else 1 << 60)
-
-    def step(s, t):
-        ok = (t["_cost"] <= s["left"]) & (s["idle"] < stop)
-        return F.struct((s["left"] - F.when(ok, t["_cost"]).otherwise(0)).alias("left"), F.when(ok, F.lit(0).cast("long")).otherwise(s["idle"] + 1).alias("idle"), F.concat(s["taken"], F.array(ok)).alias("taken"))
-
-    folded = listed.withColumn("_taken", F.aggregate("_rows", start, step, lambda s: s["taken"]))
-    out = folded.select(*group, F.inline(F.transform(F.arrays_zip("_rows", "_taken"), lambda z: F.struct(z["_rows"].alias("r"), z["_taken"].alias("taken")))))
-    return out.select(*(F.col(c) if c in group else F.col(f"r.{c}").alias(c) for c in tasks.columns), "taken")
+    dealt = (tasks.repartition(*group) if group else tasks.coalesce(1)).sortWithinPartitions(*group, *order)
+    kind_of = StructType([*tasks.schema.fields, StructField("taken", BooleanType())])
+    return dealt.mapInArrow(_spender(group, kind, cost, budget, idle_stop), kind_of)
 
 
 def two_phase(tasks: DataFrame, group: list[str], kind: str, phase: str, order: list[str], cost: str, budget: int, filler: str = "real") -> DataFrame:
@@ -32,7 +50,13 @@ def two_phase(tasks: DataFrame, group: list[str], kind: str, phase: str, order:
 
 
 def ema(values: DataFrame, group: str, order: list[str], value: str, alpha: float = 0.25) -> DataFrame:
-    """Per group: the count, the mean, and the exponential average that begins with the first value."""
-    listed = values.groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v")))).alias("s"))
-    first = F.get("s", F.lit(0))["_v"]
-    return listed.select(group, "n", F.round("mean", 6).alias("mean"), F.round(F.aggregate("s", first, lambda a, x: F.lit(alpha) * x["_v"] + F.lit(1 - alpha) * a), 6).alias("ema"))
+    """Per group: the count, the mean, and the exponential average that begins with the first value.
+
+    The average is a weighted sum: a value k places before the last weighs alpha * (1 - alpha) ** k, the first one
+    (1 - alpha) ** k. Ranks stream over sorted rows, and the sum is combined before it is shuffled.
+    """
+    back = F.row_number().over(Window.partitionBy(group).orderBy(*(F.desc(c) for c in order))) - 1
+    placed = values.select(group, F.col(value).cast("double").alias("v"), back.alias("k"))
+    weighed = F.col("v") * F.pow(F.lit(1 - alpha), F.col("k"))
+    total = placed.groupBy(group).agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.sum(weighed * alpha).alias("s"), F.max_by(weighed * (1 - alpha), "k").alias("first"))
+    return total.select(group, "n", F.round("mean", 6).alias("mean"), F.round(F.col("s") + F.col("first"), 6).alias("ema"))

@@ -27,16 +27,30 @@ def by_method(scores: DataFrame) -> DataFrame:
     return scores.select("y", F.explode(F.map_from_arrays(F.array(*map(F.lit, METHODS)), F.array(*METHODS))).alias("method", "p"))
 
 
-def binary_metrics(scored: DataFrame, groups: list[str], y: str = "y", p: str = "p") -> DataFrame:
-    """AUC, average precision, Youden threshold and what it decides, best F1: one row a group, all zeros for one class.
+BINS = 4096  # of scores between 0 and 1: running sums go over one of them at a time
 
-    Scores are counted first, so running sums go over distinct scores. The threshold is the highest of those with the
-    largest tp * N - fp * P; none above zero gives infinity, by which everything is negative.
+
+def binary_metrics(scored: DataFrame, groups: list[str], y: str = "y", p: str = "p", one_class: str = "zeros") -> DataFrame:
+    """AUC, average precision, Youden threshold and what it decides, best F1: one row a group.
+
+    Scores are counted first, so running sums go over distinct scores, within bins of scores; a bin's sums begin with
+    the totals of the bins above, so no task takes a whole group. The threshold is the highest of those with the
+    largest tp * N - fp * P; none above zero gives infinity, by which everything is negative. A group of one class:
+    "zeros" gives zeros, "null" nulls, "half" zero areas and what a threshold of 0.5 decides.
     """
-    cells = scored.groupBy(*groups, p).agg(F.sum(y).cast("long").alias("dtp"), F.sum(1 - F.col(y)).cast("long").alias("dfp"))
-    w = Window.partitionBy(*groups)
-    run = w.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    c = cells.select("*", F.sum("dtp").over(run).alias("tp"), F.sum("dfp").over(run).alias("fp"), F.sum("dtp").over(w).alias("pos"), F.sum("dfp").over(w).alias("neg"))
+    bin_ = F.least(F.greatest(F.floor(F.col(p) * BINS), F.lit(0)), F.lit(BINS - 1)).cast("int")
+    own = [F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)]
+    at = [f"_g{i}" for i in range(len(groups))]
+    cells = scored.groupBy(*groups, p).agg(F.sum(y).cast("long").alias("dtp"), F.sum(1 - F.col(y)).cast("long").alias("dfp")).withColumn("_bin", bin_)
+    bins = cells.groupBy(*own, F.col("_bin").alias("_b")).agg(F.sum("dtp").alias("btp"), F.sum("dfp").alias("bfp"))
+    w = Window.partitionBy(*at)
+    above = w.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = bins.select(*at, "_b", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}0") for c in ("btp", "bfp")), F.sum("btp").over(w).alias("pos"), F.sum("bfp").over(w).alias("neg"))
+    same = F.col("_bin") == F.col("_b")
+    for g, a in zip(groups, at):
+        same = same & F.col(g).eqNullSafe(F.col(a))
+    run = Window.partitionBy(*groups, "_bin").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
+    c = cells.join(totals, same).select(*groups, p, "dtp", "dfp", "pos", "neg", (F.sum("dtp").over(run) + F.col("btp0")).alias("tp"), (F.sum("dfp").over(run) + F.col("bfp0")).alias("fp"))
     j = F.col("tp") * F.col("neg") - F.col("fp") * F.col("pos")
     prec, rec = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / F.nullif(F.col("pos"), F.lit(0))
     best = F.max(F.struct(j.alias("j"), F.col(p).alias("t"), F.col("tp"), F.col("fp")))
@@ -44,13 +58,22 @@ def binary_metrics(scored: DataFrame, groups: list[str], y: str = "y", p: str =
         F.max("pos").alias("pos"), F.max("neg").alias("neg"), best.alias("b"),
         F.sum(F.col("dfp") * (F.col("tp") - F.col("dtp") / 2)).alias("area"), F.sum(F.col("dtp") * prec).alias("ap"),
         F.max(2 * prec * rec / (prec + rec + 1e-10)).alias("best_f1"),
+        *(F.coalesce(F.sum(F.when(F.col(p) >= 0.5, F.col(c))), F.lit(0)).alias(a) for c, a in (("dtp", "half_tp"), ("dfp", "half_fp"))),
     )
+    if one_class == "half":
+        alone, tp, fp = (F.col("pos") == 0) | (F.col("neg") == 0), F.col("half_tp"), F.col("half_fp")
+        hp, hr = ratio(tp, tp + fp), ratio(tp, F.col("pos"))
+        decided = F.struct(F.lit(1).cast("long").alias("j"), F.lit(0.5).alias("t"), tp.alias("tp"), fp.alias("fp"))
+        out = out.withColumn("b", F.when(alone, decided).otherwise(F.col("b"))).withColumn("best_f1", F.when(alone, 2 * hp * hr / (hp + hr + 1e-10)).otherwise(F.col("best_f1")))
     two, up = (F.col("pos") > 0) & (F.col("neg") > 0), F.col("b.j") > 0
     tp, fp = F.when(up, F.col("b.tp")).otherwise(0), F.when(up, F.col("b.fp")).otherwise(0)
-    z = lambda c: F.round(F.when(two, c).otherwise(0.0), 6)
-    k = lambda c: F.when(two, c).otherwise(0).cast("long")
+    area, ap = F.when(two, F.col("area") / (F.col("pos") * F.nullif(F.col("neg"), F.lit(0)))).otherwise(0.0), F.when(two, F.col("ap") / F.nullif(F.col("pos"), F.lit(0))).otherwise(0.0)
+    other = F.lit(None) if one_class == "null" else F.lit(0)
+    two = F.lit(True) if one_class == "half" else two
+    z = lambda c: F.round(F.when(two, c).otherwise(other.cast("double")), 6)
+    k = lambda c: F.when(two, c).otherwise(other).cast("long")
     return out.select(
-        *groups, z(F.col("area") / (F.col("pos") * F.col("neg"))).alias("auc"), z(F.col("ap") / F.col("pos")).alias("ap"), z((tp + F.col("neg") - fp) / (F.col("pos") + F.col("neg"))).alias("acc"),
+        *groups, z(area).alias("auc"), z(ap).alias("ap"), z((tp + F.col("neg") - fp) / (F.col("pos") + F.col("neg"))).alias("acc"),
         z(F.col("best_f1")).alias("best_f1"), z(ratio(fp, F.col("neg"))).alias("fpr"), z(ratio(F.col("pos") - tp, F.col("pos"))).alias("fnr"),
         z(F.when(up, F.col("b.t")).otherwise(F.lit(float("inf")))).alias("threshold"),
         k(F.col("neg") - fp).alias("tn"), k(fp).alias("fp"), k(F.col("pos") - tp).alias("fn"), k(tp).alias("tp"),

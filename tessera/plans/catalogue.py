@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import keys as K
-from tessera.operators import budget, metrics
+from tessera.operators import budget, metrics, selection
 from tessera.sources import files
 from tessera.streaming import events
 
@@ -106,7 +106,7 @@ def error_summary(t):
 @query("WITH e AS (SELECT datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS epoch, avg(value) AS auc, max(value) AS ap, count(*) AS acc FROM events GROUP BY 1) SELECT CAST(arg_max(epoch, struct_pack(a := round(auc, 2), b := ap, c := acc, d := -epoch)) AS INT) AS best_epoch FROM e")
 def best_epoch(t):
     e = t("events").groupBy(F.unix_date(F.to_date("ts")).alias("epoch")).agg(F.avg("value").alias("auc"), F.max("value").alias("ap"), F.count("*").alias("acc"))
-    return e.agg(F.max_by("epoch", F.struct(F.round("auc", 2), "ap", "acc", -F.col("epoch"))).alias("best_epoch"))
+    return selection.best_epoch(e.withColumn("auc", F.round("auc", 2)), "epoch", ["auc", "ap", "acc"])
 
 
 @query("WITH g AS (SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1) SELECT count(*) AS videos, CAST(sum(k) AS BIGINT) AS images, count_if(k >= 10)::BIGINT AS kept, count_if(k < 10)::BIGINT AS dropped, min(k) AS min_frames, max(k) AS max_frames, round(coalesce(avg(k), 0), 6) AS mean_frames FROM g")
@@ -219,9 +219,9 @@ def semi_exists(t):
     return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def anti_missing(t):
-    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return t("customer").join(t("orders").filter("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_suppkey = c_custkey")
@@ -278,9 +278,7 @@ def sample_seeded(t):
 
 @query("WITH h AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('7|' || c_custkey), c_custkey) AS rn, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) SELECT c_mktsegment, c_custkey FROM h WHERE rn <= greatest(1, CAST(floor(n * CAST(0.1 AS DOUBLE)) AS BIGINT))")
 def sample_ratio(t):
-    w = Window.partitionBy("c_mktsegment")
-    h = t("customer").select("c_mktsegment", "c_custkey", F.row_number().over(w.orderBy(K.seeded(F.col("c_custkey"), 7), "c_custkey")).alias("rn"), F.count("*").over(w).alias("n"))
-    return h.filter(F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.1))).select("c_mktsegment", "c_custkey")
+    return selection.seeded_sample(t("customer"), "c_mktsegment", "c_custkey", 7, ratio=0.1).select("c_mktsegment", "c_custkey")
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY md5('5|' || o_orderkey), o_orderkey LIMIT 100")
@@ -296,7 +294,7 @@ def quota_unit(t):
 
 _GREEDY = """WITH RECURSIVE t AS (SELECT o_custkey, o_orderkey, CAST(o_totalprice AS BIGINT) % 1000 AS cost, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders),
 g AS (SELECT o_custkey, o_orderkey, rn, cost <= 1500 AS taken, CASE WHEN cost <= 1500 THEN 1500 - cost ELSE 1500 END AS room FROM t WHERE rn = 1
- UNION ALL SELECT t.o_custkey, t.o_orderkey, t.rn, t.cost <= g.room, CASE WHEN t.cost <= g.room THEN g.room - t.cost ELSE g.room END FROM g JOIN t ON t.o_custkey = g.o_custkey AND t.rn = g.rn + 1)
+ UNION ALL SELECT t.o_custkey, t.o_orderkey, t.rn, t.cost <= g.room AND g.room > 0, CASE WHEN t.cost <= g.room THEN g.room - t.cost ELSE g.room END FROM g JOIN t ON t.o_custkey = g.o_custkey AND t.rn = g.rn + 1)
 SELECT o_custkey, o_orderkey, taken FROM g"""
 
 
@@ -309,15 +307,23 @@ def budget_greedy(t):
     return budget.greedy(_tasks(t), ["o_custkey"], ["o_orderkey"], "cost", 1500).select("o_custkey", "o_orderkey", "taken")
 
 
-@query()
+_IDLE = """WITH RECURSIVE t AS (SELECT o_custkey, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) % 1000 AS cost, o_orderstatus = 'F' AS fake, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders),
+d AS (SELECT o_custkey, o_orderkey, 0 AS rn, false AS taken, 900 AS lf, 900 AS lr, 0 AS idle, false AS stopped FROM t WHERE rn = 1
+ UNION ALL SELECT o_custkey, o_orderkey, rn, ok, CASE WHEN ok AND fake THEN lf - cost ELSE lf END, CASE WHEN ok AND NOT fake THEN lr - cost ELSE lr END, CASE WHEN ok AND cost > 0 THEN 0 ELSE idle + 1 END, stopped OR (room <= 0 AND idle + 1 >= 2)
+ FROM (SELECT t.*, d.lf, d.lr, d.idle, d.stopped, CASE WHEN t.fake THEN d.lf ELSE d.lr END AS room, NOT d.stopped AND CASE WHEN t.fake THEN d.lf ELSE d.lr END > 0 AND t.cost <= CASE WHEN t.fake THEN d.lf ELSE d.lr END AS ok FROM d JOIN t ON t.o_custkey = d.o_custkey AND t.rn = d.rn + 1))
+SELECT o_custkey, o_orderkey, taken FROM d WHERE rn > 0"""
+
+
+@query(_IDLE.replace("% 1000 AS cost", "% 10 * 100 AS cost"))
 def budget_idle_stop(t):
-    return budget.greedy(_tasks(t), ["o_custkey"], ["o_orderkey"], "cost", 1500, idle_stop=2).select("o_custkey", "o_orderkey", "taken")
+    tasks = t("orders").select("o_custkey", "o_orderkey", (F.floor("o_totalprice") % 10 * 100).alias("cost"), (F.col("o_orderstatus") == "F").alias("fake"))
+    return budget.greedy(tasks, ["o_custkey"], ["o_orderkey"], "cost", 900, 2, "fake").select("o_custkey", "o_orderkey", "taken")
 
 
 _TWO = """WITH RECURSIVE x AS (SELECT o_custkey, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) % 1000 AS cost, CASE WHEN o_orderstatus = 'F' THEN 'fake' ELSE 'real' END AS kind, CAST(1 + (o_orderkey % 2) AS INT) AS phase FROM orders),
 t AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, kind ORDER BY phase, o_orderkey) AS rn FROM x WHERE phase = 1 OR kind = 'real'),
 g AS (SELECT o_custkey, kind, o_orderkey, phase, rn, cost <= 1500 AS taken, CASE WHEN cost <= 1500 THEN 1500 - cost ELSE 1500 END AS room FROM t WHERE rn = 1
- UNION ALL SELECT t.o_custkey, t.kind, t.o_orderkey, t.phase, t.rn, t.cost <= g.room, CASE WHEN t.cost <= g.room THEN g.room - t.cost ELSE g.room END FROM g JOIN t ON t.o_custkey = g.o_custkey AND t.kind = g.kind AND t.rn = g.rn + 1)
+ UNION ALL SELECT t.o_custkey, t.kind, t.o_orderkey, t.phase, t.rn, t.cost <= g.room AND g.room > 0, CASE WHEN t.cost <= g.room THEN g.room - t.cost ELSE g.room END FROM g JOIN t ON t.o_custkey = g.o_custkey AND t.kind = g.kind AND t.rn = g.rn + 1)
 SELECT o_custkey, kind, o_orderkey, phase, taken FROM g"""
 
 
@@ -337,7 +343,7 @@ def retention_last3(t):
 @query("WITH n AS (SELECT quality, count(*) AS k FROM labels GROUP BY 1) SELECT doc_id, round(CAST(1 AS DOUBLE) / k, 6) AS weight FROM labels JOIN n USING (quality)")
 def class_weights(t):
     n = t("labels").groupBy("quality").agg(F.count("*").alias("k"))
-    return t("labels").join(F.broadcast(n), "quality").select("doc_id", F.round(F.lit(1.0) / F.col("k"), 6).alias("weight"))  # two classes
+    return t("labels").join(n, "quality").select("doc_id", F.round(F.lit(1.0) / F.col("k"), 6).alias("weight"))
 
 
 def _split(t, s):
@@ -354,9 +360,9 @@ def split_only(t):
     return _split(t, "F").subtract(_split(t, "O").union(_split(t, "P")))
 
 
-@query("SELECT url, min(page_id) AS page_id FROM pages GROUP BY 1")
+@query("SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY 1")
 def dedupe_first(t):
-    return t("pages").groupBy("url").agg(F.min("page_id").alias("page_id"))
+    return t("documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
 
 
 @query("SELECT k AS path, max(label) AS label FROM (SELECT s_nationkey AS k, 1 AS label FROM supplier UNION ALL SELECT c_nationkey, 0 FROM customer) GROUP BY 1")

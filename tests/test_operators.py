@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import keys as K
-from tessera.operators import budget, metrics
+from tessera.operators import budget, metrics, selection
 
 
 def test_video_key_rules(spark):
@@ -33,18 +33,73 @@ def test_metrics_against_pairs(spark):
 
 def test_greedy_budget_skips(spark):
     rng = random.Random(5)
-    rows = [(g, i, rng.randint(1, 40)) for g in range(5) for i in range(30)]
+    rows = [(g, i, rng.choice(["real", "fake"]), rng.choice([0, *range(1, 40)])) for g in range(5) for i in range(60)]
+    tasks = spark.createDataFrame(rows, "g int, i int, kind string, cost int")
     for stop in (None, 3):
-        got = {(r.g, r.i): r.taken for r in budget.greedy(spark.createDataFrame(rows, "g int, i int, cost int"), ["g"], ["i"], "cost", 100, stop).collect()}
+        got = {(r.g, r.i): r.taken for r in budget.greedy(tasks, ["g"], ["i"], "cost", 100, stop, "kind").collect()}
         for g in range(5):
-            left, idle = 100, 0
-            for k, i, c in rows:
+            left, idle, stopped = {"real": 100, "fake": 100}, 0, False
+            for k, i, kind, c in rows:
                 if k == g:
-                    ok = c <= left and (stop is None or idle < stop)
-                    left, idle = (left - c, 0) if ok else (left, idle + 1)
+                    spent = left[kind] <= 0
+                    ok = not stopped and not spent and c <= left[kind]
+                    left[kind] -= c if ok else 0
+                    idle = 0 if ok and c > 0 else idle + 1
+                    stopped |= stop is not None and spent and idle >= stop
                     assert got[g, i] == ok
 
 
+def test_rounding_of_both_kinds(spark):
+    rng = random.Random(2)
+    xs = [2.675, 0.125, 1.005, -2.675, 0.135, 2.5, 0.0, *(rng.randint(-10**6, 10**6) / 1000 for _ in range(3000)), *(rng.uniform(-1e6, 1e6) for _ in range(500))]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").select("x", K.rounded_exactly(F.col("x")).alias("e"), K.rounded_product(F.col("x")).alias("p"))
+    for r in df.collect():
+        assert r.e == round(r.x, 2) and r.p == float(np.round(r.x, 2))
+
+
+def test_small_functions(spark):
+    one = spark.range(1).select(
+        K.number_range(F.lit("3, 6")).alias("a"), K.number_range(F.lit("7")).alias("b"), K.number_range(F.lit("5,4")).alias("c"), K.number_list(F.lit("0.5, 2")).alias("d"), K.clock(F.lit(7384.5)).alias("e"),
+        K.local_time(F.lit("2024-12-31 20:00:00").cast("timestamp_ntz")).alias("f"), *(K.is_absolute(F.lit(x)).alias(f"p{i}") for i, x in enumerate(["C:/x", "c:\\x", "/x", "x/y", "C:x"])),
+        K.clip_type(F.lit("yes"), F.lit(None)).alias("t1"), K.clip_type(F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(2)).alias("t2"), K.clip_type(F.lit(None).cast("string"), F.lit(None).cast("string")).alias("t3"),
+    ).first()
+    assert (one.a, one.b, one.c, one.d, tuple(one.e), one.f) == ([3, 4, 5, 6], [7], [], [0.5, 2.0], (2, 3, 4.5), "2025-01-01 04:00:00")
+    assert [one[f"p{i}"] for i in range(5)] == [True, True, True, False, False] and (one.t1, one.t2, one.t3) == ("FR", "FF", "RR")
+
+
+def test_positions_and_names(spark):
+    left, right = (spark.createDataFrame([(i, f"{c}{i}") for i in range(n)], f"i int, {c} string") for c, n in (("a", 3), ("b", 2)))
+    assert selection.positional_join(left, right, "i").collect() == [] and selection.positional_join(left.filter("i < 2"), right, "i").count() == 2
+    assert selection.positional_join(left, right, "i", "truncate").count() == 2
+    got = selection.positional_join(left, right, "i", "placeholder", F.concat(F.lit("video_"), F.col("i").cast("string"))).orderBy("i").collect()
+    assert [r.b for r in got] == ["b0", "b1", "video_2"]
+    found = selection.find_by_basename(spark.createDataFrame([("Ab",), ("zz",)], "n string"), "n", spark.createDataFrame([("q/aB",), ("d/AB",)], "p string"), "p").collect()
+    assert {r.n: r.found for r in found} == {"Ab": "d/AB", "zz": None}
+
+
+def test_samples_and_epochs(spark):
+    rows = spark.range(5000).select((F.col("id") % 3).alias("g"), "id")
+    for count, ratio in ((70, None), (None, 0.05), (10_000, None)):
+        got = selection.seeded_sample(rows, "g", "id", 9, count, ratio).groupBy("g").agg(F.collect_set("id").alias("s")).collect()
+        import hashlib
+
+        for r in got:
+            order = sorted((i for i in range(5000) if i % 3 == r.g), key=lambda i: (hashlib.md5(f"9|{i}".encode()).hexdigest(), i))
+            assert set(r.s) == set(order[: count or int(len(order) * ratio)])
+    zeros = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.0)], "epoch int, auc double, ap double")
+    assert selection.best_epoch(zeros, "epoch", ["auc", "ap"]).first()[0] is None
+    more = zeros.union(spark.createDataFrame([(3, 0.5, 0.2), (4, 0.5, 0.2), (5, 0.5, 0.1)], zeros.schema))
+    assert selection.best_epoch(more, "epoch", ["auc", "ap"]).first()[0] == 3
+
+
+def test_one_class_policies(spark):
+    rows = spark.createDataFrame([("a", 1, 0.7), ("a", 1, 0.2), ("b", 1, 0.9), ("b", 0, 0.1)], "g string, y int, p double")
+    half = {r.g: r for r in metrics.binary_metrics(rows, ["g"], one_class="half").collect()}
+    assert (half["a"].auc, half["a"].ap, half["a"].threshold, half["a"].tp, half["a"].fn, half["a"].acc, half["a"].best_f1) == (0, 0, 0.5, 1, 1, 0.5, 0.666667)
+    null = {r.g: r for r in metrics.binary_metrics(rows, ["g"], one_class="null").collect()}
+    assert null["a"].auc is None and null["a"].tp is None and null["b"] == half["b"]
+
+
 def test_windows_are_linspace(spark):
     rows = spark.range(1, 60).select("id", *(K.windows(v, F.lit(0).cast("long"), F.col("id"), 5, 10).alias(f"v{v}") for v in (1, 2, 3, 4))).collect()
     for r in rows:
