@@ -163,10 +163,10 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for url, html in zip(urls[lo : lo + 256], pages[lo : lo + 256]):
                 lines, marked = blocks(html)
                 host, path = url_key(url)
-                rows.append((uid, host, path, lines, None if marked or not lines else [_hash(x) for x in lines]))
+                rows.append((uid, host, path, lines, [_hash(x) for x in lines] if lines else None, marked))
                 uid += 1
             cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(rows)), batch.column(1).slice(lo, len(rows)), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()))))], ["page_id", "url", "uid", "host", "path", "lines", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(rows)), batch.column(1).slice(lo, len(rows)), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.bool_())))], ["page_id", "url", "uid", "host", "path", "lines", "keys", "marked"])
 
 
 def _near(a: str, b: str | None) -> tuple[int, int]:
@@ -180,41 +180,46 @@ def _near(a: str, b: str | None) -> tuple[int, int]:
 
 def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for path, keys, p_path, p_keys, n_path, n_keys in zip(*(c.to_pylist() for c in batch.columns[1:])):
+        out, shared = [], []
+        for marked, path, keys, p_path, p_keys, n_path, n_keys in zip(*(c.to_pylist() for c in batch.columns[1:])):
             other = p_keys if _near(path, p_path) >= _near(path, n_path) else n_keys
-            gone = set(shared_lines(keys, other)) if other is not None and other != keys else set()
-            out.append([i for i in range(len(keys)) if i not in gone] if len(gone) < len(keys) else list(range(len(keys))))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["uid", "kept"])
+            found = shared_lines(keys, other) if other is not None else []
+            gone = set() if marked or len(found) == len(keys) else set(found)
+            shared.append(len(found))
+            out.append([i for i in range(len(keys)) if i not in gone])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32())), pa.array(shared, pa.int64())], ["uid", "kept", "n_shared"])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """Per row of pages: page_id, url and text, the article's blocks joined by one newline.
-
-    Pages are sorted by host and URL path and dealt by range, so a large host is many partitions. Each page without an
-    article element is aligned with its nearer neighbour of the same host (more common path segments, then characters;
-    the earlier one on ties), and the lines of their longest common subsequence go. A copy of its neighbour, or a page
-    of which nothing would be left, keeps its lines. Inside an article element shared lines stay: quoted passages and
-    licence lines belong to the text. Null or unreadable html: empty text. Repeated rows are each returned.
+    """Per row of pages: page_id, url, text (the article's blocks joined by one newline), n_shared and n_deleted lines.
+
+    Pages are sorted by host and URL path and dealt by range, so a large host is many partitions. Each page is aligned
+    with its nearer neighbour of the same host (more common path segments, then characters; the earlier one on ties);
+    n_shared lines are in their longest common subsequence, and these go. Where all of a page's lines are shared (a copy
+    of its neighbour, or a part of it) they stay, and so do those inside an article element: quoted passages and
+    licence lines belong to the text. Null or unreadable html: empty text. A null url has no host; such pages are
+    neighbours. Repeated rows are each returned, other columns are not read, an empty table gives an empty result.
     """
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
-    kind = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, uid bigint, host string, path string, lines array<string>, keys array<bigint>"
+    kind = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, uid bigint, host string, path string, lines array<string>, keys array<bigint>, marked boolean"
     read = saved(rows.withColumn("url", F.col("url").cast("string")).mapInArrow(_parse, kind), "blocks")
     plain, open_ = read.filter("keys is null"), read.filter("keys is not null")
     sort = ["host", "path", "uid"]
-    dealt = saved(open_.select("uid", "host", "path", "keys").repartitionByRange(*sort).sortWithinPartitions(*sort).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "by_url")
+    dealt = saved(open_.select("uid", "host", "path", "keys", "marked").repartitionByRange(*sort).sortWithinPartitions(*sort).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "by_url")
     before, n = [], 0
     for r in dealt.groupBy("part").agg(F.count("*").alias("k"), F.min("at").alias("least")).orderBy("part").collect():  # a row a partition
         before.append((r["part"], n - r["least"]))
         n += r["k"]
     shift = pages.sparkSession.createDataFrame(before, "part int, shift bigint")
-    placed = dealt.join(F.broadcast(shift), "part").select("uid", "host", "path", "keys", (F.col("at") + F.col("shift")).alias("at"))
+    placed = dealt.join(F.broadcast(shift), "part").select("uid", "host", "path", "keys", "marked", (F.col("at") + F.col("shift")).alias("at"))
     beside = lambda by, c: placed.select((F.col("at") + by).alias("at"), "host", F.col("path").alias(f"{c}_path"), F.col("keys").alias(f"{c}_keys"))
     trio = placed.join(beside(1, "p"), ["at", "host"], "left").join(beside(-1, "n"), ["at", "host"], "left")
-    kept = trio.select("uid", "path", "keys", "p_path", "p_keys", "n_path", "n_keys").mapInArrow(_differ, "uid bigint, kept array<int>")
-    left = open_.join(kept, "uid").select("page_id", "url", F.transform("kept", lambda i: F.get("lines", i)).alias("lines"))
-    return plain.select("page_id", "url", "lines").union(left).select("page_id", "url", F.array_join("lines", "\n").alias("text"))
+    kept = trio.select("uid", "marked", "path", "keys", "p_path", "p_keys", "n_path", "n_keys").mapInArrow(_differ, "uid bigint, kept array<int>, n_shared bigint")
+    deleted = (F.size("lines") - F.size("kept")).cast("long")
+    left = open_.join(kept, "uid").select("page_id", "url", F.transform("kept", lambda i: F.get("lines", i)).alias("lines"), "n_shared", deleted.alias("n_deleted"))
+    none = F.lit(0).cast("long")
+    return plain.select("page_id", "url", "lines", none.alias("n_shared"), none.alias("n_deleted")).union(left).select("page_id", "url", F.array_join("lines", "\n").alias("text"), "n_shared", "n_deleted")
 
 
 def report(found: DataFrame) -> DataFrame:
-    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_deleted")
