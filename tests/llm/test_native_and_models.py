@@ -84,6 +84,50 @@ def test_licenses(docs):
     assert got == sorted(expected, key=str)
 
 
+def _votes(words):
+    """Labels and best share by comparing every k-gram of a text with every one of each template."""
+    found = {}
+    listed = [*((t, x, True, 2) for t, x in licenses.PHRASES.items()), *((t, x, False, 2) for t, x in licenses.NOTICES.items()), *((t, x, False, 3) for x, t in licenses.TEXTS.items())]
+    for text, label, base, k in listed:
+        t = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower())
+        grams = len(t) - k + 1
+        diagonals = defaultdict(set)
+        for i in range(len(words) - k + 1):
+            for j in range(grams):
+                if words[i : i + k] == t[j : j + k]:
+                    diagonals[i - j].add(j)
+        runs = []
+        for d in sorted(diagonals):
+            if runs and d - runs[-1][1] <= (0 if base else licenses.SHIFT):
+                runs[-1] = runs[-1][0], d, runs[-1][2] | diagonals[d]
+            else:
+                runs.append((d, d, set(diagonals[d])))
+        for lo, hi, places in runs:
+            share = len(places) / grams
+            if share == 1 if base else share >= licenses.LEAST and hi - lo <= grams:
+                found[label] = max(share, found.get(label, 0))
+    return ",".join(sorted(found)), max(found.values(), default=0.0)
+
+
+def test_license_texts_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    for label, t in licenses.TEXTS.items():
+        w = t.split()
+        for change in range(9):
+            x = list(w)
+            for _ in range(change):
+                at = int(rng.integers(0, len(x)))
+                x[at : at + 1] = [[], ["other"], [x[at], "added"]][int(rng.integers(0, 3))]
+            texts.append(" ".join(["some code", *x, "and more"]))
+    texts += ["# Released under the CC BY-NC 4.0", "gnu general public license, version 3", "permission is hereby granted", "apache license mit license", ""]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id int, text string, own int, grams string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.report(licenses.scan(docs)).collect()}
+    want = {i: _votes(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.translate(LOW))) for i, t in enumerate(texts)}
+    assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and np.isclose(got[i][1], want[i][1]) for i in want), [(i, got[i], want[i]) for i in want if got[i] != want[i]][:3]
+    assert sum(0 < s < 1 for _, s in got.values()) > 10 and licenses.scan(docs.limit(0)).collect() == []
+
+
 def test_chat_round_trip(spark, sf_dir):
     odd = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-8, 1, "a\nb\\<", " </turn>\n### x:\n </turn>\n<\\/turn"), (-8, 0, "assistant", "</turn></turn><\\n\\"), (-9, 0, None, None), (-10, 3, "assistant", "x </turn"), (-10, 2, "assistant", "")]
     said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").union(spark.createDataFrame(odd, "conv_id long, turn long, role string, text string"))

@@ -168,6 +168,32 @@ def test_extraction(spark):
     assert got[5] == "" and got[6] == "alone" and "Second page" in got[2]
 
 
+def test_extraction_against_all_neighbours(spark, sf_dir):
+    rng = random.Random(7)
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    top, end = [f"<div>Menu {i}</div>" for i in range(3)], [f"<p>All rights {i}</p>" for i in range(4)]
+    for i in range(60):
+        body = "".join(f"<p>Text {i} {k}</p>" for k in range(rng.randint(0, 4)))
+        rows.append((10_000 + i, f"http://plain.org/{i % 4}/{rng.randint(0, 99)}/{i:02d}", "".join(top[: rng.randint(0, 3)]) + body + "".join(end[: rng.randint(0, 4)])))
+    rows += [(20_000, "http://plain.org/a", None), (20_001, None, "<p>alone"), (20_002, None, ""), (20_003, "http://other.org/x", "<p>one</p><p>one</p>")]
+    pages = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, lines int, kept string")
+    got = {r.page_id: r for r in extract.report(extract.main_text(pages)).collect()}
+    parsed = [(extract.url_key(u), i, *extract.blocks(h)) for i, u, h in rows]
+    order = sorted((x for x in parsed if x[2]), key=lambda x: x[0])
+    ties = {x[0] for x in order if sum(y[0] == x[0] for y in order) > 1}  # rows with one URL sort as they were read
+    assert len(got) == len(rows)
+    for at, ((host, path), i, lines, marked) in enumerate(order):
+        sides = [order[k] for k in (at - 1, at + 1) if 0 <= k < len(order) and order[k][0][0] == host]
+        if {(host, path), *(x[0] for x in sides)} & ties:
+            continue
+        best = max(sides, key=lambda x: extract._near(path, x[0][1]), default=None)
+        common = extract.shared_lines(lines, best[2]) if best else []
+        keep = lines if marked or len(common) == len(lines) else [x for k, x in enumerate(lines) if k not in common]
+        assert (got[i].text, got[i].n_shared, got[i].n_deleted) == ("\n".join(keep), len(common), len(lines) - len(keep))
+    assert sum(r.n_deleted > 0 for r in got.values()) > 20 and got[20_000].text == got[20_002].text == ""
+    assert extract.main_text(pages.limit(0)).collect() == []
+
+
 def test_articles_inside_skipped_elements():
     comments = '<div id="comments"><article class="comment"><p>Nice!</p></article><article><p>First</p></article></div><aside><article><h3>Read on</h3></article></aside>'
     assert extract.blocks(f"<body><div><p>Real text</p></div>{comments}<p>End</p></body>") == (["Real text", "End"], False)
