@@ -22,7 +22,9 @@ VECTOR = {
     "repeats": ("ln(1 + 100 * n_repeat_words / greatest(n_words, 1))", 0.7),
 }
 CORE = 0.75  # share of a group whose covariance determinant is made small
-STEPS = 3  # concentration steps
+STEPS = 12  # concentration steps at most; they end when no group's log determinant falls by SETTLED
+SETTLED = 1e-3
+CONSISTENT = 1.412  # 0.75 over the share of chi-square with seven degrees below the 0.75 quantile of that with five: the core's covariance is so much too small
 MIDDLE = 4.35  # median of the squared distance if the statistics were normal (five degrees of freedom)
 CUT = 20.515  # squared distance beyond which a document goes: the 0.999 quantile of chi-square with five degrees of freedom
 TABLE = 0.1
@@ -76,9 +78,12 @@ def _quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, flo
     return placed.groupBy(*keys).agg(*(F.min(F.when(F.col("upto") >= q * F.col("total"), F.col(value))).alias(name) for name, q in shares.items()))
 
 
-def _distance(rows: DataFrame, fit: DataFrame, d: int) -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance by its group's centre m and lower factor l, by forward substitution."""
-    out = rows.join(fit, "key")
+def _distance(rows: DataFrame, fit: DataFrame, d: int, keys: list[str]) -> DataFrame:
+    """rows with d2, the squared Mahalanobis distance by its group's centre m and lower factor l, by forward substitution.
+
+    fit is a small table read from files: a row a group, which is broadcast if its size allows.
+    """
+    out = rows.join(fit, keys)
     for i in range(d):
         y = F.col(f"x{i}") - F.col(f"m{i}")
         for k in range(i):
@@ -91,17 +96,17 @@ def _grid(d2: str = "d2") -> Column:
     return F.floor(F.log(F.col(d2) + 1e-6) * 64)
 
 
-def _fitted(near: DataFrame, floors: list[float]) -> DataFrame:
-    """Centre and Cholesky factor of each key's rows; the diagonal has floors."""
+def _fitted(near: DataFrame, floors: list[float], keys: list[str]) -> DataFrame:
+    """Centre, Cholesky factor and log determinant of each group's rows; the factor's diagonal has floors."""
     d = len(floors)
     pairs = [(i, j) for i in range(d) for j in range(i + 1)]
-    out = near.groupBy("key").agg(*(F.avg(f"x{i}").alias(f"m{i}") for i in range(d)), *(F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in pairs))
+    out = near.groupBy(*keys).agg(*(F.avg(f"x{i}").alias(f"m{i}") for i in range(d)), *(F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in pairs))
     for i, j in pairs:
         rest = F.col(f"c{i}{j}")
         for k in range(j):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(floors[i] ** 2))) if i == j else rest / F.col(f"l{j}{j}"))
-    return saved(out.select("key", *(f"m{i}" for i in range(d)), *(f"l{i}{j}" for i, j in pairs)), "fit")
+    return saved(out.select(*keys, *(f"m{i}" for i in range(d)), *(f"l{i}{j}" for i, j in pairs), sum((F.log(f"l{i}{i}") for i in range(d)), F.lit(0.0)).alias("logdet")), "fit")
 
 
 def verdicts(stats: DataFrame, vector: dict[str, tuple[str, float]] | None = None, core: float = CORE, steps: int = STEPS, cut: float = CUT, least: int = LEAST) -> DataFrame:
@@ -109,9 +114,12 @@ def verdicts(stats: DataFrame, vector: dict[str, tuple[str, float]] | None = Non
 
     A row's group is its language, source and kind (table or text), its language and kind if that has fewer than least
     rows, its kind if that has too, or all rows. The estimates of a level are fitted on all of its rows, those with
-    estimates of a narrower level too; a row's group only tells which estimates judge it. Each group starts from medians and quartile ranges; a concentration step takes the core share with the
-    smallest distances and fits its mean and covariance, which never enlarges the determinant. Distances are scaled
-    by the group's median where that exceeds a normal one's. Ties in distance stand or fall together (grid cells).
+    estimates of a narrower level too; a row's group only tells which estimates judge it.
+    Each group starts twice, from medians with quartile ranges and from the mean and covariance of all its rows. A
+    concentration step takes the core share with the smallest distances and fits its mean and covariance, which lowers
+    the determinant; the steps end when no group's falls any more, and of its two fits a group keeps that with the
+    smaller determinant. Distances are made consistent with a normal core, and scaled by the group's median where that
+    still exceeds a normal one's. Ties in distance stand or fall together (grid cells).
     """
     vector = vector or VECTOR
     floors, d = [x[1] for x in vector.values()], len(vector)
@@ -130,13 +138,24 @@ def verdicts(stats: DataFrame, vector: dict[str, tuple[str, float]] | None = Non
     long = members.select("key", F.posexplode(F.array(*(F.floor(F.col(f"x{i}") * 64) for i in range(d)))).alias("i", "cell"))
     start = _quantiles(long, ["key", "i"], "cell", {"low": 0.25, "mid": 0.5, "high": 0.75})
     start = start.groupBy("key").agg(*(F.max(F.when(F.col("i") == i, F.col("mid") / 64)).alias(f"m{i}") for i in range(d)), *(F.max(F.when(F.col("i") == i, F.greatest((F.col("high") - F.col("low")) / 64 / 1.349, F.lit(floors[i])))).alias(f"l{i}{i}") for i in range(d)))
-    fit = saved(start.select("*", *(F.lit(0.0).alias(f"l{i}{j}") for i in range(d) for j in range(i))), "fit")
+    start = start.select("*", F.lit(0).alias("start"), *(F.lit(0.0).alias(f"l{i}{j}") for i in range(d) for j in range(i)), F.lit(1e9).alias("logdet"))
+    plain = _fitted(members, floors, ["key"]).withColumn("start", F.lit(1))
+    fit, keys = saved(start.unionByName(plain), "fit"), ["key", "start"]
+    twice = members.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     for _ in range(steps):
-        at = _distance(members, fit, d).withColumn("cell", _grid())
-        fit = _fitted(at.select("key", "cell", *(f"x{i}" for i in range(d))).join(_quantiles(at, ["key"], "cell", {"most": core}), "key").filter("cell <= most"), floors)
-    at = _distance(members, fit, d).withColumn("cell", _grid())
-    scale = saved(_quantiles(at, ["key"], "cell", {"mid": 0.5}).select("key", F.greatest(F.lit(1.0), F.exp((F.col("mid") + 0.5) / 64) / MIDDLE).alias("scale")), "scale")
-    out = _distance(rows, fit, d).join(scale, "key").withColumn("distance2", F.col("d2") / F.col("scale"))
+        at = _distance(twice, fit.drop("logdet"), d, keys).withColumn("cell", _grid())
+        most = saved(_quantiles(at, keys, "cell", {"most": core}), "core")
+        new = _fitted(at.select(*keys, "cell", *(f"x{i}" for i in range(d))).join(most, keys).filter("cell <= most"), floors, keys)
+        falls = new.join(fit.select(*keys, F.col("logdet").alias("before")), keys).agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
+        fit = new
+        if falls is None or falls < SETTLED:
+            break
+    least_of = fit.groupBy("key").agg(F.min(F.struct("logdet", "start")).alias("r")).select("key", F.col("r.start").alias("start"))
+    fit = saved(fit.join(least_of, keys).drop("start", "logdet"), "fit")
+    at = _distance(members, fit, d, ["key"]).withColumn("cell", _grid())
+    middle = F.exp((F.col("mid") + 0.5) / 64) / CONSISTENT / MIDDLE
+    scale = saved(_quantiles(at, ["key"], "cell", {"mid": 0.5}).select("key", (CONSISTENT * F.greatest(F.lit(1.0), middle)).alias("scale")), "scale")
+    out = _distance(rows, fit, d, ["key"]).join(scale, "key").withColumn("distance2", F.col("d2") / F.col("scale"))
     return out.select(*stats.columns, "distance2", (F.col("distance2") > cut).alias("outlier"))
 
 
