@@ -12,7 +12,7 @@ def _table(spark, sf_dir, name):
 
 
 def op1_minhash(spark, sf_dir):
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_decontamination(spark, sf_dir):
@@ -84,5 +84,45 @@ FROM chats
 """
 
 
+#: Words by the two rules, of a column of texts; A-Z are lowered, nothing else.
+_LOW = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN = "regexp_extract_all(" + _LOW + r", '[^\x20\x09-\x0D]+')"
+_ALNUM = "regexp_extract_all(" + _LOW + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: op1: all pairs that share a shingle, counted; components by the smallest id that repeated steps along links reach.
+_OP1 = f"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, {_PLAIN.format('text')} AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM w WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+k AS MATERIALIZED (SELECT min(doc_id) AS rep, list(doc_id) AS ids, any_value(n) AS n, sig FROM (SELECT doc_id, n, sig FROM n JOIN (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS sig FROM s GROUP BY 1) USING (doc_id)) GROUP BY sig),
+c AS MATERIALIZED (SELECT g, doc_id FROM s JOIN k ON rep = doc_id),
+l AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM c x JOIN c y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * shared >= 85 * (p.n + q.n - shared)),
+r AS (SELECT rep AS a, rep AS b FROM k UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT unnest(ids) AS doc_id, root FROM k JOIN (SELECT a, min(b) AS root FROM r GROUP BY 1) ON a = rep)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+#: op2: windows of items joined with windows of as many words of documents.
+_OP2 = f"""
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM.format('text')} AS w FROM benchmark),
+p AS (SELECT DISTINCT item, least(len(w), 10) AS k, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda x: array_to_string(w[x:x + 9], ' '))) AS g FROM i WHERE len(w) > 0),
+d AS MATERIALIZED (SELECT doc_id, {_ALNUM.format('text')} AS w FROM documents),
+o AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS place, unnest(list_transform(range(1, len(w) - k + 2), lambda x: array_to_string(w[x:x + k - 1], ' '))) AS g FROM d, (SELECT DISTINCT k FROM p) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT doc_id, item, k, place AS first FROM o JOIN p USING (k, g)),
+h AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(first, first + k)) AS place FROM f) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM f) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+#: op3: five hex digits of a digest are four of base 32.
+_OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), s AS (SELECT page_id, strlen(h) AS n, upper(sha1(h)) AS x, max(page_id) OVER (PARTITION BY h) AS first FROM p),
+v AS (SELECT *, list_transform(range(0, 32), lambda i: (CAST('0x' || substr(x, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - i % 4 * 5 AS BIGINT)) & 31) AS five FROM s)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string(list_transform(five, lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', k + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM v
+"""
+
+
 def oracle_sql():
-    return {"op7_chat": _OP7}
+    return {"op1_minhash": _OP1, "op2_decontamination": _OP2, "op3_warc": _OP3, "op7_chat": _OP7}
