@@ -23,7 +23,7 @@ VECTOR = {
 }
 CORE = 0.75  # share of a group whose covariance determinant is made small
 STEPS = 12  # concentration steps at most; they end when no group's log determinant falls by SETTLED
-SETTLED = 1e-3
+SETTLED = 1e-2
 CONSISTENT = 1.412  # 0.75 over the share of chi-square with seven degrees below the 0.75 quantile of that with five: the core's covariance is so much too small
 MIDDLE = 4.35  # median of the squared distance if the statistics were normal (five degrees of freedom)
 CUT = 20.515  # squared distance beyond which a document goes: the 0.999 quantile of chi-square with five degrees of freedom
@@ -97,16 +97,16 @@ def _grid(d2: str = "d2") -> Column:
 
 
 def _fitted(near: DataFrame, floors: list[float], keys: list[str]) -> DataFrame:
-    """Centre, Cholesky factor and log determinant of each group's rows; the factor's diagonal has floors."""
+    """Centre, Cholesky factor and log determinant of each group's rows, and that before; the factor's diagonal has floors."""
     d = len(floors)
     pairs = [(i, j) for i in range(d) for j in range(i + 1)]
-    out = near.groupBy(*keys).agg(*(F.avg(f"x{i}").alias(f"m{i}") for i in range(d)), *(F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in pairs))
+    out = near.groupBy(*keys).agg(*(F.avg(f"x{i}").alias(f"m{i}") for i in range(d)), *(F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in pairs), F.max("before").alias("before"))
     for i, j in pairs:
         rest = F.col(f"c{i}{j}")
         for k in range(j):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(floors[i] ** 2))) if i == j else rest / F.col(f"l{j}{j}"))
-    return saved(out.select(*keys, *(f"m{i}" for i in range(d)), *(f"l{i}{j}" for i, j in pairs), sum((F.log(f"l{i}{i}") for i in range(d)), F.lit(0.0)).alias("logdet")), "fit")
+    return saved(out.select(*keys, *(f"m{i}" for i in range(d)), *(f"l{i}{j}" for i, j in pairs), sum((F.log(f"l{i}{i}") for i in range(d)), F.lit(0.0)).alias("logdet"), "before"), "fit")
 
 
 def verdicts(stats: DataFrame, vector: dict[str, tuple[str, float]] | None = None, core: float = CORE, steps: int = STEPS, cut: float = CUT, least: int = LEAST) -> DataFrame:
@@ -139,15 +139,15 @@ def verdicts(stats: DataFrame, vector: dict[str, tuple[str, float]] | None = Non
     start = _quantiles(long, ["key", "i"], "cell", {"low": 0.25, "mid": 0.5, "high": 0.75})
     start = start.groupBy("key").agg(*(F.max(F.when(F.col("i") == i, F.col("mid") / 64)).alias(f"m{i}") for i in range(d)), *(F.max(F.when(F.col("i") == i, F.greatest((F.col("high") - F.col("low")) / 64 / 1.349, F.lit(floors[i])))).alias(f"l{i}{i}") for i in range(d)))
     start = start.select("*", F.lit(0).alias("start"), *(F.lit(0.0).alias(f"l{i}{j}") for i in range(d) for j in range(i)), F.lit(1e9).alias("logdet"))
-    plain = _fitted(members, floors, ["key"]).withColumn("start", F.lit(1))
+    plain = _fitted(members.withColumn("before", F.lit(1e9)), floors, ["key"]).drop("before").withColumn("start", F.lit(1))
     fit, keys = saved(start.unionByName(plain), "fit"), ["key", "start"]
     twice = members.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     for _ in range(steps):
-        at = _distance(twice, fit.drop("logdet"), d, keys).withColumn("cell", _grid())
+        at = _distance(twice, fit.withColumnRenamed("logdet", "before"), d, keys).withColumn("cell", _grid())
         most = saved(_quantiles(at, keys, "cell", {"most": core}), "core")
-        new = _fitted(at.select(*keys, "cell", *(f"x{i}" for i in range(d))).join(most, keys).filter("cell <= most"), floors, keys)
-        falls = new.join(fit.select(*keys, F.col("logdet").alias("before")), keys).agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
-        fit = new
+        fit = _fitted(at.select(*keys, "cell", "before", *(f"x{i}" for i in range(d))).join(most, keys).filter("cell <= most"), floors, keys)
+        falls = fit.agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
+        fit = fit.drop("before")
         if falls is None or falls < SETTLED:
             break
     least_of = fit.groupBy("key").agg(F.min(F.struct("logdet", "start")).alias("r")).select("key", F.col("r.start").alias("start"))
