@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import saved
@@ -78,35 +78,50 @@ def _quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, flo
     return placed.groupBy(*keys).agg(*(F.min(F.when(F.col("upto") >= q * F.col("total"), F.col(value))).alias(name) for name, q in shares.items()))
 
 
-def _distance(rows: DataFrame, fit: DataFrame, d: int, keys: list[str]) -> DataFrame:
+def _distance(rows: DataFrame, fit: DataFrame, d: int, keys: list[str], *also: str) -> DataFrame:
     """rows with d2, the squared Mahalanobis distance by its group's centre m and lower factor l, by forward substitution.
 
-    fit is a small table read from files: a row a group, which is broadcast if its size allows.
+    fit is a small table read from files: a row a group, which is broadcast if its size allows. Expressions are text:
+    a fit has hundreds, and as text they reach the planner in one call.
     """
-    out = rows.join(fit, keys)
-    for i in range(d):
-        y = F.col(f"x{i}") - F.col(f"m{i}")
-        for k in range(i):
-            y = y - F.col(f"l{i}{k}") * F.col(f"y{k}")
-        out = out.withColumn(f"y{i}", y / F.col(f"l{i}{i}"))
-    return out.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(d)), F.lit(0.0)))
+    ys = [f"({' - '.join([f'x{i} - m{i}', *(f'l{i}{k} * y{k}' for k in range(i))])}) / l{i}{i} AS y{i}" for i in range(d)]
+    return rows.join(fit, keys).selectExpr("*", *ys, f"{' + '.join(f'y{i} * y{i}' for i in range(d))} AS d2", *also)
 
 
-def _grid(d2: str = "d2") -> Column:
-    return F.floor(F.log(F.col(d2) + 1e-6) * 64)
+_CELL = "floor(ln(d2 + 1e-6) * 64) AS cell"
 
 
-def _fitted(near: DataFrame, floors: list[float], keys: list[str]) -> DataFrame:
-    """Centre, Cholesky factor and log determinant of each group's rows, and that before; the factor's diagonal has floors."""
+def _pairs(d: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(d) for j in range(i + 1)]
+
+
+def _moments(rows: DataFrame, keys: list[str], d: int) -> DataFrame:
+    """Each group's size n, and its sums s and p of the statistics less the centre m that rows carry, and of their products."""
+    z = [f"(x{i} - m{i})" for i in range(d)]
+    sums = [*(f"sum({z[i]}) AS s{i}" for i in range(d)), *(f"sum({z[i]} * {z[j]}) AS p{i}{j}" for i, j in _pairs(d))]
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *map(F.expr, sums))
+
+
+def _fitted(sums: DataFrame, d: int, floors: list[float], keys: list[str]) -> DataFrame:
+    """Centre m, Cholesky factor l and log determinant by _moments and the centre these were taken about; l's diagonal has floors."""
+    factor = []
+    for i, j in _pairs(d):
+        rest = " - ".join([f"(p{i}{j} - s{i} * s{j} / n) / n", *(f"l{i}{k} * l{j}{k}" for k in range(j))])
+        factor.append(f"sqrt(greatest({rest}, {floors[i] ** 2!r}D)) AS l{i}{i}" if i == j else f"({rest}) / l{j}{j} AS l{i}{j}")
+    logdet = " + ".join(f"ln(l{i}{i})" for i in range(d))
+    return sums.selectExpr(*keys, *(f"m{i} + s{i} / n AS m{i}" for i in range(d)), *factor, f"{logdet} AS logdet", "before")
+
+
+def _concentrated(members: DataFrame, fit: DataFrame, core: float, floors: list[float], keys: list[str]) -> DataFrame:
+    """The fit of each group's core share of rows nearest by fit. One pass: cells of the distance carry their rows' moments."""
     d = len(floors)
-    pairs = [(i, j) for i in range(d) for j in range(i + 1)]
-    out = near.groupBy(*keys).agg(*(F.avg(f"x{i}").alias(f"m{i}") for i in range(d)), *(F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in pairs), F.max("before").alias("before"))
-    for i, j in pairs:
-        rest = F.col(f"c{i}{j}")
-        for k in range(j):
-            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(floors[i] ** 2))) if i == j else rest / F.col(f"l{j}{j}"))
-    return saved(out.select(*keys, *(f"m{i}" for i in range(d)), *(f"l{i}{j}" for i, j in pairs), sum((F.log(f"l{i}{i}") for i in range(d)), F.lit(0.0)).alias("logdet"), "before"), "fit")
+    cells = _moments(_distance(members, fit, d, keys, _CELL), [*keys, "cell"], d)
+    w = f"OVER (PARTITION BY {', '.join(keys)}"
+    placed = cells.selectExpr("*", f"sum(n) {w} ORDER BY cell) AS upto", f"sum(n) {w}) AS total")
+    near = placed.filter(f"upto - n < {core!r}D * total")
+    sums = near.groupBy(*keys).agg(*(F.expr(f"sum({c}) AS {c}") for c in cells.columns if c not in (*keys, "cell")))
+    about = fit.selectExpr(*keys, *(f"m{i}" for i in range(d)), "logdet AS before")
+    return _fitted(sums.join(about, keys), d, floors, keys)
 
 
 def verdicts(stats: DataFrame, vector: dict[str, tuple[str, float]] | None = None, core: float = CORE, steps: int = STEPS, cut: float = CUT, least: int = LEAST) -> DataFrame:
@@ -135,24 +150,26 @@ def verdicts(stats: DataFrame, vector: dict[str, tuple[str, float]] | None = Non
     fitted = level.select(*levels[0], F.explode("keys").alias("key")).join(judges, "key", "left_semi")
     members = saved(rows.drop("key").join(fitted, levels[0]).select("key", *(f"x{i}" for i in range(d))), "members")
 
-    long = members.select("key", F.posexplode(F.array(*(F.floor(F.col(f"x{i}") * 64) for i in range(d)))).alias("i", "cell"))
+    long = members.selectExpr("key", f"posexplode(array({', '.join(f'floor(x{i} * 64)' for i in range(d))})) AS (i, cell)")
     start = _quantiles(long, ["key", "i"], "cell", {"low": 0.25, "mid": 0.5, "high": 0.75})
-    start = start.groupBy("key").agg(*(F.max(F.when(F.col("i") == i, F.col("mid") / 64)).alias(f"m{i}") for i in range(d)), *(F.max(F.when(F.col("i") == i, F.greatest((F.col("high") - F.col("low")) / 64 / 1.349, F.lit(floors[i])))).alias(f"l{i}{i}") for i in range(d)))
-    start = start.select("*", F.lit(0).alias("start"), *(F.lit(0.0).alias(f"l{i}{j}") for i in range(d) for j in range(i)), F.lit(1e9).alias("logdet"))
-    plain = _fitted(members.withColumn("before", F.lit(1e9)), floors, ["key"]).drop("before").withColumn("start", F.lit(1))
-    fit, keys = saved(start.unionByName(plain), "fit"), ["key", "start"]
+    middles = [f"max(CASE WHEN i = {i} THEN mid / 64 END) AS m{i}" for i in range(d)]
+    spreads = [f"max(CASE WHEN i = {i} THEN greatest((high - low) / 64 / 1.349D, {floors[i]!r}D) END) AS l{i}{i}" for i in range(d)]
+    start = start.groupBy("key").agg(*map(F.expr, middles + spreads))
+    start = start.selectExpr("*", "0 AS start", *(f"0D AS l{i}{j}" for i, j in _pairs(d) if i > j), "1e9D AS logdet")
+    zero = [f"0D AS m{i}" for i in range(d)]
+    whole = _moments(members.selectExpr("*", *zero), ["key"], d).selectExpr("*", *zero, "1e9D AS before", "1 AS start")
+    keys = ["key", "start"]
+    fit = saved(start.unionByName(_fitted(whole, d, floors, keys).drop("before")), "fit")
     twice = members.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     for _ in range(steps):
-        at = _distance(twice, fit.withColumnRenamed("logdet", "before"), d, keys).withColumn("cell", _grid())
-        most = saved(_quantiles(at, keys, "cell", {"most": core}), "core")
-        fit = _fitted(at.select(*keys, "cell", "before", *(f"x{i}" for i in range(d))).join(most, keys).filter("cell <= most"), floors, keys)
+        fit = saved(_concentrated(twice, fit, core, floors, keys), "fit")
         falls = fit.agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
         fit = fit.drop("before")
         if falls is None or falls < SETTLED:
             break
     least_of = fit.groupBy("key").agg(F.min(F.struct("logdet", "start")).alias("r")).select("key", F.col("r.start").alias("start"))
     fit = saved(fit.join(least_of, keys).drop("start", "logdet"), "fit")
-    at = _distance(members, fit, d, ["key"]).withColumn("cell", _grid())
+    at = _distance(members, fit, d, ["key"], _CELL)
     middle = F.exp((F.col("mid") + 0.5) / 64) / CONSISTENT / MIDDLE
     scale = saved(_quantiles(at, ["key"], "cell", {"mid": 0.5}).select("key", (CONSISTENT * F.greatest(F.lit(1.0), middle)).alias("scale")), "scale")
     out = _distance(rows, fit, d, ["key"]).join(scale, "key").withColumn("distance2", F.col("d2") / F.col("scale"))
