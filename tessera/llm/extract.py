@@ -180,14 +180,14 @@ def _near(a: str, b: str | None) -> tuple[int, int]:
 
 def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out, shared = [], []
-        for marked, path, keys, p_path, p_keys, n_path, n_keys in zip(*(c.to_pylist() for c in batch.columns[1:])):
+        out = []
+        for uid, marked, path, keys, p_path, p_keys, n_path, n_keys in zip(*(c.to_pylist() for c in batch.columns)):
             other = p_keys if _near(path, p_path) >= _near(path, n_path) else n_keys
-            found = shared_lines(keys, other) if other is not None else []
-            gone = set() if marked or len(found) == len(keys) else set(found)
-            shared.append(len(found))
-            out.append([i for i in range(len(keys)) if i not in gone])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32())), pa.array(shared, pa.int64())], ["uid", "kept", "n_shared"])
+            if other is not None and (found := shared_lines(keys, other)):
+                gone = set() if marked or len(found) == len(keys) else set(found)
+                out.append((uid, [i for i in range(len(keys)) if i not in gone], len(found)))
+        cols = list(zip(*out)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.int32()), pa.int64()))], ["uid", "kept", "n_shared"])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     kind = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, uid bigint, host string, path string, lines array<string>, keys array<bigint>, marked boolean"
-    read = saved(rows.withColumn("url", F.col("url").cast("string")).mapInArrow(_parse, kind), "blocks")
+    read = saved(rows.withColumn("url", F.col("url").cast("string")).mapInArrow(_parse, kind), "blocks", codec="zstd")
     plain, open_ = read.filter("keys is null"), read.filter("keys is not null")
     sort = ["host", "path", "uid"]
     dealt = saved(open_.select("uid", "host", "path", "keys", "marked").repartitionByRange(*sort).sortWithinPartitions(*sort).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "by_url")
@@ -215,8 +215,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     beside = lambda by, c: placed.select((F.col("at") + by).alias("at"), "host", F.col("path").alias(f"{c}_path"), F.col("keys").alias(f"{c}_keys"))
     trio = placed.join(beside(1, "p"), ["at", "host"], "left").join(beside(-1, "n"), ["at", "host"], "left")
     kept = trio.select("uid", "marked", "path", "keys", "p_path", "p_keys", "n_path", "n_keys").mapInArrow(_differ, "uid bigint, kept array<int>, n_shared bigint")
-    deleted = (F.size("lines") - F.size("kept")).cast("long")
-    left = open_.join(kept, "uid").select("page_id", "url", F.transform("kept", lambda i: F.get("lines", i)).alias("lines"), "n_shared", deleted.alias("n_deleted"))
+    kept = saved(kept, "kept")  # pages that share lines; broadcast if the files are small, else lines are shuffled
+    found = open_.join(kept, "uid", "left")
+    lines = F.when(F.col("kept").isNull(), F.col("lines")).otherwise(F.transform("kept", lambda i: F.get("lines", i)))
+    left = found.select("page_id", "url", lines.alias("lines"), F.coalesce("n_shared", F.lit(0).cast("long")).alias("n_shared"), (F.size("lines") - F.when(F.col("kept").isNull(), F.size("lines")).otherwise(F.size("kept"))).cast("long").alias("n_deleted"))
     none = F.lit(0).cast("long")
     return plain.select("page_id", "url", "lines", none.alias("n_shared"), none.alias("n_deleted")).union(left).select("page_id", "url", F.array_join("lines", "\n").alias("text"), "n_shared", "n_deleted")
 
