@@ -135,3 +135,35 @@ def best_epoch(epochs: DataFrame, epoch: str, ranks: list[str]) -> DataFrame:
     """The epoch that is best by ranks one after the other, the earliest of equals; none if all of every epoch's are zero or less."""
     up = F.struct(*(F.col(c) for c in ranks)) > F.struct(*(F.lit(0).cast(epochs.schema[c].dataType).alias(c) for c in ranks))
     return epochs.filter(up).agg(F.max_by(epoch, F.struct(*ranks, (-F.col(epoch)).alias("_first"))).alias("best_epoch"))
+
+
+def pair_with_original(fakes: DataFrame, reals: DataFrame, original: str, name: str, order: list[str]) -> DataFrame:
+    """fakes with source, the real row that their original names: of rows that repeat a name the last by order. Fakes without one go."""
+    last = reals.groupBy(F.col(name).alias("_n")).agg(F.max_by(F.struct(*reals.columns), F.struct(*order)).alias("source"))
+    return fakes.join(last, F.col(original) == F.col("_n")).drop("_n")
+
+
+def pair_names(pairs: DataFrame, first: str, second: str, originals: bool = False, both_orders: bool = True, existing: DataFrame | None = None) -> DataFrame:
+    """name of each file that pairs ask for: both members for originals, else a_b and, with both_orders, b_a; those in existing (name) go."""
+    orders = [F.concat_ws("_", first, second), F.concat_ws("_", second, first)][: 2 if both_orders else 1]
+    wanted = pairs.select(F.explode(F.array(first, second) if originals else F.array(*orders)).alias("name"))
+    return wanted if existing is None else wanted.join(existing.select("name"), "name", "left_anti")
+
+
+def balanced_draws(rows: DataFrame, label: str, key: str, n: int, seed: int) -> DataFrame:
+    """n draws with replacement, weighted by inverse class frequency: draw (0 to n - 1) and the row drawn.
+
+    Every class is as likely as any other, and so are the rows of a class. Rows have ranks by seeded hash, counted in
+    4,096 cells a class, so no task sorts a class. Rows without a label are never drawn; classes are few (one task numbers them).
+    """
+    hashed = rows.filter(F.col(label).isNotNull()).withColumn("_h", K.seeded(F.col(key), seed)).withColumn("_cell", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+    cells = hashed.groupBy(label, "_cell").agg(F.count("*").alias("_k"))
+    before = cells.select(label, "_cell", (F.sum("_k").over(Window.partitionBy(label).orderBy("_cell")) - F.col("_k")).alias("_before"))
+    ranked = hashed.join(before, [label, "_cell"]).withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy(label, "_cell").orderBy("_h", key)) - 1)
+    sizes = cells.groupBy(label).agg(F.sum("_k").alias("_size"))
+    classes = sizes.withColumn("_number", F.row_number().over(Window.orderBy(label)) - 1)
+    number = lambda part: F.conv(F.substring(K.seeded(F.concat(F.lit(f"{part}|"), F.col("draw").cast("string")), seed), 1, 15), 16, 10).cast("long")
+    count = F.broadcast(sizes.agg(F.count("*").alias("_classes")))  # one row
+    draws = rows.sparkSession.range(n).withColumnRenamed("id", "draw").join(count).filter("_classes > 0").withColumn("_number", F.pmod(number("class"), F.col("_classes")))
+    drawn = draws.join(classes, "_number").withColumn("_rank", F.pmod(number("row"), F.col("_size")))
+    return drawn.join(ranked, [label, "_rank"]).select("draw", *rows.columns)

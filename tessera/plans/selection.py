@@ -197,3 +197,34 @@ SELECT g, CAST(0 AS DOUBLE) AS auc, CAST(0.5 AS DOUBLE) AS threshold, round((tp
 def metrics_one_class_half(t):
     one = _one_class(t).groupBy("g").agg(F.min("y").alias("a"), F.max("y").alias("b")).filter("a = b").select("g")
     return metrics.binary_metrics(_one_class(t).join(one, "g"), ["g"], one_class="half").select("g", "auc", "threshold", "acc", "tp", "fp")
+
+
+@query("""WITH f AS (SELECT o_custkey, arg_max(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) AS source FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
+SELECT o_orderkey, source FROM orders JOIN f USING (o_custkey) WHERE o_orderstatus = 'F'""")
+def pair_original(t):
+    o = t("orders")
+    real = o.filter("o_orderstatus = 'O'").select(F.col("o_custkey").alias("file"), "o_orderdate", F.col("o_orderkey").alias("k"))
+    found = selection.pair_with_original(o.filter("o_orderstatus = 'F'").select("o_orderkey", F.col("o_custkey").alias("original")), real, "original", "file", ["o_orderdate", "k"])
+    return found.select("o_orderkey", F.col("source.k").alias("source"))
+
+
+_PAIRS = "WITH p AS (SELECT n_name AS a, r_name AS b FROM nation JOIN region ON n_regionkey = r_regionkey)"
+
+
+@query(f"{_PAIRS}, w AS (SELECT 'original' AS kind, unnest([a, b]) AS name FROM p UNION ALL SELECT 'method', unnest([a || '_' || b, b || '_' || a]) FROM p UNION ALL SELECT 'model', a || '_' || b FROM p) SELECT kind, name FROM w WHERE name NOT IN (SELECT n_name FROM nation WHERE n_nationkey < 5 UNION ALL SELECT b || '_' || a FROM p WHERE a > 'M')")
+def pair_plan(t):
+    pairs = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("a"), F.col("r_name").alias("b"))
+    there = t("nation").filter("n_nationkey < 5").select(F.col("n_name").alias("name")).union(pairs.filter("a > 'M'").select(F.concat_ws("_", "b", "a")))
+    plan = lambda kind, **how: selection.pair_names(pairs, "a", "b", existing=there, **how).select(F.lit(kind).alias("kind"), "name")
+    return plan("original", originals=True).union(plan("method")).union(plan("model", both_orders=False))
+
+
+_DRAWN = "CAST('0x' || substr(md5('9|{0}|' || i), 1, 15) AS BIGINT)"
+
+
+@query(f"""WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5('9|' || doc_id), doc_id) - 1 AS rank, count(*) OVER (PARTITION BY quality) AS size FROM labels),
+c AS (SELECT quality, any_value(size) AS size, row_number() OVER (ORDER BY quality) - 1 AS number FROM r GROUP BY 1),
+d AS (SELECT i AS draw, {_DRAWN.format('class')} % (SELECT count(*) FROM c) AS number, {_DRAWN.format('row')} AS u FROM range(2000) AS g(i))
+SELECT draw, r.doc_id, r.quality FROM d JOIN c USING (number) JOIN r ON r.quality = c.quality AND r.rank = u % c.size""")
+def balanced_draws(t):
+    return selection.balanced_draws(t("labels").select("doc_id", "quality"), "quality", "doc_id", 2000, 9)
