@@ -44,14 +44,19 @@ _CELLS, _WIDTH = 4, 62  # votes of a diagonal are bits of its template's places,
 _WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    """A row per k-gram of a template: gram, tid, label, base, place, grams. Pairs of words of phrases and notices, triples of texts."""
+def places() -> list[tuple]:
+    """Per k-gram of a template: tid, label, base, place, grams, its words. Pairs of words of phrases and notices, triples of texts."""
     listed = [*((t, x, True, 2) for t, x in PHRASES.items()), *((t, x, False, 2) for t, x in NOTICES.items()), *((t, x, False, 3) for x, t in TEXTS.items())]
     rows = []
     for tid, (text, label, base, k) in enumerate(listed):
         words = _WORDS.findall(text.lower())
         rows += [(tid, label, base, i, len(words) - k + 1, *words[i : i + k], *[None] * (3 - k)) for i in range(len(words) - k + 1)]
-    table = spark.createDataFrame(rows, "tid int, label string, base boolean, place int, grams int, one string, two string, three string")
+    return rows
+
+
+def templates(spark: SparkSession) -> DataFrame:
+    """A row per k-gram of a template: gram, tid, label, base, place, grams."""
+    table = spark.createDataFrame(places(), "tid int, label string, base boolean, place int, grams int, one string, two string, three string")
     gram = F.when(F.col("three").isNull(), F.xxhash64("one", "two")).otherwise(F.xxhash64("one", "two", "three"))
     return table.select(gram.alias("gram"), "tid", "label", "base", "place", "grams")
 

@@ -124,5 +124,24 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string(list_transfo
 """
 
 
+def _op5():
+    """op5: grams as texts; a vote is a template's place on a diagonal, each counted once; runs of near diagonals are spans."""
+    rows = [(tid, label, base, 3 if three else 2, place, grams, " ".join(x for x in (one, two, three) if x)) for tid, label, base, place, grams, one, two, three in licenses.places()]
+    listed = ", ".join(f"({tid}, '{label}', {base}, {k}, {place}, {grams}, '{gram}')" for tid, label, base, k, place, grams, gram in rows)
+    return f"""
+WITH t(tid, label, base, k, place, grams, gram) AS (VALUES {listed}),
+d AS MATERIALIZED (SELECT doc_id, {_ALNUM.format('text')} AS w FROM documents),
+g AS (SELECT doc_id, k, unnest(range(0, len(w) - k + 1)) AS spot, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS gram FROM d, (VALUES (2), (3)) AS x(k) WHERE len(w) >= k),
+v AS (SELECT doc_id, tid, label, base, grams, spot - place AS diagonal, place FROM g JOIN t USING (k, gram)),
+f AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, tid ORDER BY diagonal, place) > CASE WHEN base THEN 0 ELSE {licenses.SHIFT} END, true) AS fresh FROM v),
+n AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id, tid ORDER BY diagonal, place ROWS UNBOUNDED PRECEDING) AS run FROM f),
+r AS (SELECT doc_id, tid, run, label, base, grams, CAST(count(DISTINCT place) AS DOUBLE) / grams AS share, min(diagonal) AS first, max(diagonal) AS last FROM n GROUP BY doc_id, tid, run, label, base, grams),
+s AS (SELECT * FROM r WHERE CASE WHEN base THEN share = 1 ELSE share >= CAST({licenses.LEAST} AS DOUBLE) AND last - first <= grams END),
+b AS (SELECT doc_id, count_if(base) AS n_base, min(CASE WHEN base THEN first END) AS first_word, max(CASE WHEN base THEN first END) AS last_word, string_agg(DISTINCT CASE WHEN base THEN label END, ',' ORDER BY CASE WHEN base THEN label END) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM s GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, CAST(0 AS DOUBLE)) AS score FROM d LEFT JOIN b USING (doc_id)
+"""
+
+
 def oracle_sql():
-    return {"op1_minhash": _OP1, "op2_decontamination": _OP2, "op3_warc": _OP3, "op7_chat": _OP7}
+    return {"op1_minhash": _OP1, "op2_decontamination": _OP2, "op3_warc": _OP3, "op5_licenses": _op5(), "op7_chat": _OP7}
