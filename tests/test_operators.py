@@ -117,3 +117,23 @@ def test_labels_and_paths(spark):
     assert all(r.g == r.e for r in got)
     paths = [(' "C:\\a\\\\b//c" ', "C:/a/b/c"), (None, ""), ("'x'", "x")]
     assert all(r.g == r.e for r in spark.createDataFrame(paths, "p string, e string").select(K.normal_path(F.col("p")).alias("g"), "e").collect())
+
+
+def test_pairs_and_draws(spark):
+    fakes = spark.createDataFrame([("f1", "a"), ("f2", "b"), ("f3", None), ("f4", "zz")], "fake string, original string")
+    reals = spark.createDataFrame([(0, "a", 1.0), (3, "a", 2.0), (1, "b", 3.0), (2, None, 4.0)], "i int, file string, d double")
+    got = selection.pair_with_original(fakes, reals, "original", "file", ["i"]).collect()
+    assert {r.fake: r.source.d for r in got} == {"f1": 2.0, "f2": 3.0}
+    assert selection.pair_with_original(fakes, reals.limit(0), "original", "file", ["i"]).count() == 0
+
+    pairs, there = spark.createDataFrame([("1", "2"), ("3", "4")], "a string, b string"), spark.createDataFrame([("1",), ("4_3",)], "name string")
+    names = lambda **how: sorted(r.name for r in selection.pair_names(pairs, "a", "b", **how).collect())
+    assert names() == ["1_2", "2_1", "3_4", "4_3"] and names(both_orders=False) == ["1_2", "3_4"] and names(originals=True) == ["1", "2", "3", "4"]
+    assert names(existing=there) == ["1_2", "2_1", "3_4"] and names(originals=True, existing=there) == ["2", "3", "4"]
+
+    rows = spark.createDataFrame([(i, "rare" if i < 20 else "common") for i in range(2000)] + [(9999, None)], "id int, y string")
+    drawn = selection.balanced_draws(rows, "y", "id", 4000, 1).collect()
+    assert sorted(r.draw for r in drawn) == list(range(4000)) and all((r.id < 20) == (r.y == "rare") for r in drawn)
+    assert abs(sum(r.y == "rare" for r in drawn) - 2000) < 200 and len({r.id for r in drawn if r.y == "rare"}) == 20
+    assert len({r.id for r in drawn if r.y == "common"}) > 1000
+    assert selection.balanced_draws(rows.limit(0), "y", "id", 10, 1).count() == 0
