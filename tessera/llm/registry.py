@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, extract, langid, licenses, minhash, outliers, packing, pii, warc
+from tessera.llm import chat, decontaminate, divergence, exactdup, extract, fim, langid, licenses, minhash, outliers, packing, pii, warc
 
 
 def _table(spark, sf_dir, name):
@@ -55,6 +55,18 @@ def op10_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_fim(spark, sf_dir):
+    return fim.report(fim.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_exact(spark, sf_dir):
+    return exactdup.exact_copies(_table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark, sf_dir):
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -62,7 +74,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_minhash, op2_decontamination, op3_warc, op4_quality, op5_licenses, op6_extraction, op7_chat, op8_language, op9_pii, op10_packing, pipeline)}
+    return {f.__name__: f for f in (op1_minhash, op2_decontamination, op3_warc, op4_quality, op5_licenses, op6_extraction, op7_chat, op8_language, op9_pii, op10_packing, op11_fim, op12_exact, op13_divergence, pipeline)}
 
 
 #: op7: DuckDB reads the source alone; its lengths of rendered chats follow the grammar of tessera.llm.chat.
@@ -143,5 +155,41 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BI
 """
 
 
+#: op11: lines as a list; a text without marks and its form fix both the output and what is restored.
+_OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l, sha256('7:' || doc_id) AS h FROM documents),
+e AS (SELECT *, len(l) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, CAST(i AS BIGINT), 8) AS BIGINT)) AS x FROM d),
+c AS (SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR x[3] % 100 >= 100 THEN 'plain' WHEN x[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM e),
+p AS (SELECT *, array_to_string(l[1:a], '') AS p, array_to_string(l[a + 1:b], '') AS m, array_to_string(l[b + 1:], '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+#: op12: windows over lowered texts.
+_OP12 = f"""
+WITH d AS (SELECT doc_id, sha256({_LOW.format('text')}) AS h FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size, doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256 FROM d
+"""
+
+#: op13: every kept term with every source, absent ones too, and all ordered pairs of sources term by term.
+_OP13 = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOW.format('text')}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS MATERIALIZED (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+s AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS MATERIALIZED (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 1) // CAST(total + v AS HUGEINT) AS p FROM s JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (sum(n) + 1) // CAST(any_value(total) + any_value(v) AS HUGEINT) AS q FROM c JOIN v USING (lang) JOIN (SELECT lang, sum(total) AS total FROM s GROUP BY 1) USING (lang) GROUP BY lang, term),
+x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+y AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM y)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM z WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def oracle_sql():
-    return {"op1_minhash": _OP1, "op2_decontamination": _OP2, "op3_warc": _OP3, "op5_licenses": _op5(), "op7_chat": _OP7}
+    return {"op11_fim": _OP11, "op12_exact": _OP12, "op13_divergence": _OP13, "op1_minhash": _OP1, "op2_decontamination": _OP2, "op3_warc": _OP3, "op5_licenses": _op5(), "op7_chat": _OP7}
