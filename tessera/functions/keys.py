@@ -71,8 +71,13 @@ def binary_label(kind: Column, task: str) -> Column:
     return kind.isin(*FORGED[task]).cast("int")
 
 
-#: Families of the outcomes of a task.
-FAMILIES = {"ok": "saved", "skipped_existing": "existing", "budget_exhausted": "over_budget", "segment_exceeds_budget": "over_budget", "segment_too_short_for_min_frames": "too_few_frames", "saved_frames_below_min": "too_few_frames"}
+#: The outcomes of an extraction task, and families of them. Every other outcome is a failure.
+FAMILIES = {
+    "ok": "saved", "skipped_existing": "existing",
+    "budget_exhausted": "over_budget", "segment_exceeds_budget": "over_budget",
+    "segment_too_short_for_min_frames": "too_few_frames", "saved_frames_below_min": "too_few_frames",
+}
+FAILURES = ["invalid_period", "source_missing", "open_failed", "invalid_video_info", "empty_segment", "json_write_failed", "no_valid_frames"]
 
 
 def outcome_family(status: Column) -> Column:
@@ -80,12 +85,35 @@ def outcome_family(status: Column) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for pair in FAMILIES.items() for x in pair))[status], F.lit("failed"))
 
 
-def task_status(exists: Column, frames: Column, needed: Column, room: Column, saved: Column) -> Column:
-    """The outcome of an extraction task by the first rule that applies: what is there, what may be added, what came out."""
-    return (
-        F.when(exists, "skipped_existing").when(room <= 0, "budget_exhausted").when(frames < needed, "segment_too_short_for_min_frames")
-        .when(frames > room, "segment_exceeds_budget").when(saved < needed, "saved_frames_below_min").otherwise("ok")
-    )
+def task_status(
+    room: Column, t0: Column, t1: Column, source_there: Column, done: Column, opened: Column, fps: Column, total: Column, saved: Column, written: Column,
+    least: int = 0, skip: int = 1, expand: bool = True, must_reach: bool = True, must_fit: bool = True,
+) -> Column:
+    """The outcome of an extraction task, by the first rule that applies.
+
+    Before anything is looked at: is budget left, are both bounds of the period numbers, is the source there, has the
+    task been done. Then of the video: does it open, has it a rate and frames, is the segment in it, can it (widened, if
+    expand) give least frames of every skip-th one, do these fit the budget. Then of what came out: fewer saved than
+    least, none, or an index that could not be written. least = 0 sets no lower bound; bounds may be texts; a null of
+    what is known only later (opened, fps, saved, written) counts as a failure of that step.
+    """
+    begin, end = t0.cast("string").try_cast("double"), t1.cast("string").try_cast("double")
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    s, e = frame_range(begin, end, fps, total)
+    empty = no(e > s)
+    if least > 0 and expand:
+        s, e = expand_segment(s, e, total, least, skip)
+    frames = frame_count(e - s, skip)
+    steps = [
+        ("budget_exhausted", no(room > 0)), ("invalid_period", begin.isNull() | end.isNull()), ("source_missing", no(source_there)), ("skipped_existing", F.coalesce(done, F.lit(False))),
+        ("open_failed", no(opened)), ("invalid_video_info", no((fps > 0) & (total > 0))), ("empty_segment", empty),
+        ("segment_too_short_for_min_frames", F.lit(least > 0 and must_reach) & (frames < least)), ("segment_exceeds_budget", F.lit(must_fit) & (frames > room)),
+        ("saved_frames_below_min", F.lit(least > 0) & no(saved >= least)), ("no_valid_frames", no(saved > 0)), ("json_write_failed", no(written)),
+    ]
+    out = F.lit("ok")
+    for name, rule in reversed(steps):
+        out = F.when(rule, name).otherwise(out)
+    return out
 
 
 def filled(value: Column, default: str) -> Column:
@@ -157,6 +185,23 @@ def is_absolute(path: Column) -> Column:
     return F.regexp_replace(path, r"\\", "/").rlike("^(?:[A-Za-z]:)?/")
 
 
+def is_windows_absolute(path: Column) -> Column:
+    """A drive letter, a colon and a slash, of the path as normal_path gives it."""
+    return normal_path(path).rlike("^[A-Za-z]:/")
+
+
+def column_span(start: Column, length: int, per_frame: Column, columns: Column) -> tuple[Column, Column]:
+    """First and end (exclusive) of the columns that belong to length frames: both rounded to even, one column at least, within columns."""
+    begin = F.greatest(F.lit(0), F.least(F.rint(start * per_frame), columns - 1))
+    return begin.cast("long"), F.greatest(begin + 1, F.least(F.rint((start + length) * per_frame), columns)).cast("long")
+
+
+def image_id(name: Column) -> Column:
+    """metadata_id and frame_index of an image's name (the part before the last _ and the digits behind it), null if it has another form."""
+    own, form = stem(name), r"^(.+)_(\d+)$"
+    return F.when(own.rlike(form), F.struct(F.regexp_extract(own, form, 1).alias("metadata_id"), F.regexp_extract(own, form, 2).cast("long").alias("frame_index")))
+
+
 def frame_count(span: Column, skip: int) -> Column:
     """How many frames every skip-th of span ones are: the quotient, rounded up."""
     return F.floor((span + skip - 1) / skip).cast("long")

@@ -81,9 +81,59 @@ def running_index(rows: DataFrame, group: list[str], order: list[str], ok: Colum
 
 
 def needed_frames(frames: DataFrame, key: str, index: str, starts: DataFrame, start: str, length: int) -> DataFrame:
-    """The frames that some window of length frames from a start needs; each once, whatever windows overlap there."""
-    need = starts.select(key, F.explode(F.sequence(F.col(start), F.col(start) + length - 1)).alias(index)).distinct()
-    return frames.join(need, [key, index], "left_semi")
+    """The frames that some window of length frames from a start needs; each once, whatever windows overlap there.
+
+    Indexes fall into bins of length frames. A window lies in two of them at most: it covers the end of the one it
+    starts in, and the beginning of the next. So all windows of a bin come down to two bounds, the least start in it
+    and the farthest end that reaches into it, and a frame is compared with one row. Nothing is exploded by length.
+    """
+    first = lambda x: x - F.pmod(x, F.lit(length))
+    s, none = F.col(start).cast("long"), F.lit(None).cast("long")
+    parts = F.array(F.struct(first(s).alias("_bin"), s.alias("_from"), none.alias("_end")), F.struct((first(s) + length).alias("_bin"), none.alias("_from"), (s + length).alias("_end")))
+    bounds = starts.filter(F.col(start).isNotNull()).select(F.col(key).alias("_key"), F.inline(parts)).groupBy("_key", "_bin").agg(F.min("_from").alias("_from"), F.max("_end").alias("_end"))
+    same = (F.col(key) == F.col("_key")) & (first(F.col(index).cast("long")) == F.col("_bin")) & ((F.col(index) >= F.col("_from")) | (F.col(index) < F.col("_end")))
+    return frames.join(bounds, same, "left_semi")
+
+
+def split_counts(images: DataFrame, split: str = "split", key: str = "metadata_id", index: str = "frame_index") -> DataFrame:
+    """Per split and id: n, and indexes in order. Images without an id (names that tell none) are left out."""
+    return images.filter(F.col(key).isNotNull()).groupBy(split, key).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(index)).alias("indexes"))
+
+
+def split_sharing(counts: DataFrame, n_splits: int, split: str = "split", key: str = "metadata_id") -> DataFrame:
+    """Per id: n_splits it is in, shared (it is in all of them), only_in (the split, where it is in one).
+
+    Of fewer than two splits nothing is shared or unique. Splits without an image count too, so their number is given.
+    Any number of splits costs one aggregate, as an id's splits are rows already.
+    """
+    k = F.count("*")
+    both = F.lit(n_splits >= 2)
+    return counts.groupBy(key).agg(k.alias("n_splits"), (both & (k == n_splits)).alias("shared"), F.when(both & (k == 1), F.min(split)).alias("only_in"))
+
+
+def split_summary(images: DataFrame, splits: list[str], split: str = "split", key: str = "metadata_id", index: str = "frame_index", name: str = "image_name") -> DataFrame:
+    """A row a split, also of those without an image: image_count, unique_metadata_count, metadata_ids, images_per_metadata,
+    frame_indices_per_metadata, skipped_files (names without an id), unique (ids of this split alone), shared_metadata_ids.
+
+    This is the report of a set that people look through: a split's ids are one array. split_counts and split_sharing
+    give the same as rows, for sets of any size.
+    """
+    counts = split_counts(images, split, key, index)
+    sharing = split_sharing(counts, len(splits), split, key)
+    each = counts.join(sharing, key)
+    entry = lambda v: F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.col(v).alias("value"))))
+    own = each.groupBy(split).agg(
+        F.sum("n").alias("image_count"), F.count("*").alias("unique_metadata_count"), F.sort_array(F.collect_list(key)).alias("metadata_ids"),
+        F.map_from_entries(entry("n")).alias("images_per_metadata"), F.map_from_entries(entry("indexes")).alias("frame_indices_per_metadata"),
+        F.sort_array(F.collect_list(F.when(F.col("only_in").isNotNull(), F.col(key)))).alias("unique"),
+    )
+    skipped = images.filter(F.col(key).isNull()).groupBy(split).agg(F.sort_array(F.collect_list(name)).alias("skipped_files"))
+    shared = sharing.filter("shared").agg(F.sort_array(F.collect_list(key)).alias("shared_metadata_ids"))  # one row
+    every = images.sparkSession.createDataFrame([(x,) for x in splits], f"`{split}` string")
+    out = every.join(own, split, "left").join(skipped, split, "left").join(F.broadcast(shared))
+    zero, none = F.lit(0).cast("long"), F.expr("cast(array() as array<string>)")
+    filled = {"image_count": zero, "unique_metadata_count": zero, "metadata_ids": none, "unique": none, "skipped_files": none, "images_per_metadata": F.expr("cast(map() as map<string, bigint>)")}
+    return out.select(split, *(F.coalesce(c, filled[c]).alias(c) if c in filled else c for c in out.columns if c != split))
 
 
 def positional_join(left: DataFrame, right: DataFrame, position: str, on_mismatch: str = "none", placeholder: Column | None = None) -> DataFrame:

@@ -130,15 +130,27 @@ def find_by_basename(t):
     return selection.find_by_basename(names, "name", t("pages").select("url"), "url")
 
 
-_STATUS = "CASE WHEN e THEN 'skipped_existing' WHEN room <= 0 THEN 'budget_exhausted' WHEN frames < 3 THEN 'segment_too_short_for_min_frames' WHEN frames > room THEN 'segment_exceeds_budget' WHEN saved < 3 THEN 'saved_frames_below_min' ELSE 'ok' END"
-
-
-@query(f"""WITH x AS (SELECT o_orderkey % 11 = 0 AS e, o_custkey % 20 - 2 AS room, o_orderkey % 13 AS frames, o_orderkey % 7 AS saved FROM orders), s AS (SELECT {_STATUS} AS status FROM x)
-SELECT status, CASE status WHEN 'ok' THEN 'saved' WHEN 'skipped_existing' THEN 'existing' WHEN 'budget_exhausted' THEN 'over_budget' WHEN 'segment_exceeds_budget' THEN 'over_budget' ELSE 'too_few_frames' END AS family, count(*) AS n FROM s GROUP BY ALL""")
+_TASKS = """WITH x AS (SELECT o_orderkey AS k, o_custkey % 23 - 2 AS room, CASE WHEN o_orderkey % 17 = 0 THEN 'soon' ELSE CAST(o_custkey % 9 AS VARCHAR) END AS t0, CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE CAST(o_custkey % 9 + o_orderkey % 4 AS VARCHAR) END AS t1,
+ o_orderkey % 13 > 0 AS there, o_orderkey % 11 = 0 AS done, o_orderkey % 7 > 0 AS opened, CASE WHEN o_orderkey % 29 = 0 THEN 0 ELSE 5 END AS fps, o_custkey % 37 AS total, o_orderkey % 5 * 2 AS saved, o_orderkey % 3 > 0 AS written FROM orders),
+p AS (SELECT *, TRY_CAST(t0 AS DOUBLE) * fps AS a, TRY_CAST(t1 AS DOUBLE) * fps AS b FROM x),
+r AS (SELECT *, greatest(0, floor(a)) AS s, least(total, ceil(b)) AS e FROM p)"""
+
+
+@query(f"""{_TASKS}, n AS (SELECT *, (CAST(e - s AS BIGINT) + 1) // 2 AS frames FROM r),
+o AS (SELECT k, CASE WHEN room <= 0 THEN 'budget_exhausted' WHEN a IS NULL OR b IS NULL THEN 'invalid_period' WHEN NOT there THEN 'source_missing' WHEN done THEN 'skipped_existing' WHEN NOT opened THEN 'open_failed'
+ WHEN fps <= 0 OR total <= 0 THEN 'invalid_video_info' WHEN e <= s THEN 'empty_segment' WHEN frames < 4 THEN 'segment_too_short_for_min_frames' WHEN frames > room THEN 'segment_exceeds_budget'
+ WHEN saved < 4 THEN 'saved_frames_below_min' WHEN written THEN 'ok' ELSE 'json_write_failed' END AS status FROM n),
+f AS (SELECT k, CASE WHEN room <= 0 THEN 'budget_exhausted' WHEN a IS NULL OR b IS NULL THEN 'invalid_period' WHEN NOT there THEN 'source_missing' WHEN done THEN 'skipped_existing' WHEN NOT opened THEN 'open_failed'
+ WHEN fps <= 0 OR total <= 0 THEN 'invalid_video_info' WHEN e <= s THEN 'empty_segment' WHEN saved = 0 THEN 'no_valid_frames' WHEN written THEN 'ok' ELSE 'json_write_failed' END AS free FROM r)
+SELECT status, free, CASE WHEN status = 'ok' THEN 'saved' WHEN status = 'skipped_existing' THEN 'existing' WHEN status IN ('budget_exhausted', 'segment_exceeds_budget') THEN 'over_budget' WHEN status IN ('segment_too_short_for_min_frames', 'saved_frames_below_min') THEN 'too_few_frames' ELSE 'failed' END AS family, count(*) AS n
+FROM o JOIN f USING (k) GROUP BY ALL""")
 def outcome_families(t):
-    key = F.col("o_orderkey")
-    status = K.task_status(key % 11 == 0, key % 13, F.lit(3), F.col("o_custkey") % 20 - 2, key % 7)
-    return t("orders").select(status.alias("status")).groupBy("status", K.outcome_family(F.col("status")).alias("family")).agg(F.count("*").alias("n"))
+    """Outcomes of tasks that must save four frames, and of the same tasks without a lower bound or a budget for the whole task."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    t0, t1 = F.when(key % 17 == 0, "soon").otherwise((cust % 9).cast("string")), F.when(key % 19 > 0, (cust % 9 + key % 4).cast("string"))
+    seen = (cust % 23 - 2, t0, t1, key % 13 > 0, key % 11 == 0, key % 7 > 0, F.when(key % 29 == 0, 0.0).otherwise(5.0), cust % 37, key % 5 * 2, key % 3 > 0)
+    tasks = t("orders").select(K.task_status(*seen, least=4, skip=2, expand=False).alias("status"), K.task_status(*seen, must_fit=False).alias("free"))
+    return tasks.groupBy("status", "free", K.outcome_family(F.col("status")).alias("family")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT vec_id, CAST(printf('%.2f', x) AS DOUBLE) AS exact, round_even(x * 100, 0) / 100 AS product FROM (SELECT vec_id, (vec_id % 1000 * 5 + 5) / CAST(1000 AS DOUBLE) AS x FROM embeddings)")

@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import catalogue, selection  # noqa: F401  the latter adds its queries
+from tessera.plans import catalogue, large, selection  # noqa: F401  the latter two add their queries
 
 REPORTED = sorted(catalogue.ORACLE_SQL)
 

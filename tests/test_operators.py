@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import keys as K
@@ -49,6 +50,42 @@ def test_greedy_budget_skips(spark):
                     assert got[g, i] == ok
 
 
+def _scan(rows, budgets, stop):
+    """(group, place, kind, phase, cost) rows in order, one after another."""
+    left, idle, stopped, at, out = {}, 0, False, None, {}
+    for g, i, kind, phase, c in sorted(rows, key=lambda r: (r[0], r[3], r[1])):
+        if (g, phase) != at:
+            left = left if at and at[0] == g else dict(budgets)
+            at, idle, stopped = (g, phase), 0, False
+        room = left.get(kind, 0)
+        ok = not stopped and room > 0 and c is not None and 0 <= c <= room
+        left[kind] = room - c if ok else room
+        idle = 0 if ok and c > 0 else idle + 1
+        stopped = stopped or (phase == 1 and stop is not None and room <= 0 and idle >= stop)
+        out[g, i] = ok
+    return out
+
+
+@pytest.mark.parametrize(("stop", "spread"), [(None, 9), (4, 9), (7, 1), (25, 40), (None, 600)])
+def test_blocks_of_a_large_group_decide_as_a_scan(spark, stop, spread):
+    rng = random.Random(f"{stop} {spread}")
+    cost = lambda: rng.choice([None, -1, 0, 0, rng.randint(0, 3), *(rng.randint(1, spread * k) for k in (1, 4, 9))])
+    rows = [(g, i, rng.choice(["real", "real", "fake", "none"]), rng.choice([1, 1, 1, 2]), cost()) for g, n in enumerate((700, 35, 0, 400)) for i in range(n)]
+    tasks = spark.createDataFrame(rows, "g int, i int, kind string, phase int, cost int")
+    budgets = {"real": 1000, "fake": 777}
+    want = _scan(rows, budgets, stop)
+    for block in (1 << 16, 40):
+        found = budget.greedy(tasks, ["g"], ["i"], "cost", budgets, stop, "kind", "phase", block)
+        assert found.columns == [*tasks.columns, "taken"]
+        assert {(r.g, r.i): r.taken for r in found.collect()} == want
+    one = [("", r[0] * 1000 + r[1], "", 1, r[4]) for r in rows]
+    got = budget.greedy(tasks.withColumn("at", F.expr("g * 1000 + i")), [], ["at"], "cost", 900, stop, block=64)
+    assert {("", r.at): r.taken for r in got.collect()} == _scan(one, {"": 900}, stop)
+    free = budget.greedy(tasks, ["g"], ["i"], "cost", {"real": None}, kind="kind", block=50).collect()
+    assert all(r.taken == (r.kind == "real" and r.cost is not None and r.cost >= 0) for r in free)
+    assert budget.greedy(tasks.limit(0), ["g"], ["i"], "cost", 10, stop).count() == 0
+
+
 def test_rounding_of_both_kinds(spark):
     rng = random.Random(2)
     xs = [2.675, 0.125, 1.005, -2.675, 0.135, 2.5, 0.0, *(rng.randint(-10**6, 10**6) / 1000 for _ in range(3000)), *(rng.uniform(-1e6, 1e6) for _ in range(500))]
