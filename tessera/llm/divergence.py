@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +15,7 @@ from tessera.llm.shared import saved
 
 #: A-Z to a-z, other ASCII characters than letters to a space, everything beyond ASCII as it is.
 TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
-POSTINGS = 300_000  # postings (source and term) that a block holds before it is spilled as a sorted run
+POSTINGS = 800_000  # postings (source and term) that a block holds before it is spilled as a sorted run
 SLICE = 1 << 22  # bytes of a text that are split into words at a time
 PAIRS = 1 << 19  # pairs of sources of terms that are corrected at a time
 UNIT = 1_000_000_000  # what the shares of a group's terms add up to, about
@@ -41,12 +41,15 @@ def _blocks(postings: int):
     """Rows of texts to term-sorted runs: a block's postings are counted in memory and spilled once there are so many."""
 
     def run(block: dict) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("n_docs", pa.int64())])
         for (lang, source), (n, docs) in sorted(block.items()):
-            terms = sorted(n)
+            terms = list(n)
+            packed = pa.array(terms, pa.binary())
+            order = pc.sort_indices(packed)
+            counts = [np.fromiter(x, np.int64, len(terms))[order.to_numpy()] for x in (n.values(), map(docs.__getitem__, terms))]
+            columns = [packed.take(order).cast(pa.string()), *map(pa.array, counts)]
             for k in range(0, len(terms), 50_000):
-                some = terms[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array([source] * len(some)), pa.array(some, pa.binary()).cast(pa.string()), pa.array([n[t] for t in some], pa.int64()), pa.array([docs[t] for t in some], pa.int64())], schema=kind)
+                term, n_, docs_ = (c.slice(k, 50_000) for c in columns)
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(term)), pa.repeat(source, len(term)), term, n_, docs_], ["lang", "source", "term", "n", "n_docs"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: dict[tuple[str, str], tuple[Counter, Counter]] = {}
@@ -68,37 +71,51 @@ def _blocks(postings: int):
     return of
 
 
-def _merged(least: int):
-    """Rows sorted by language, term and source to one row a source and term, of terms that at least so many documents have."""
-    kind = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("n", pa.int64()), ("total", pa.int64()), ("first", pa.bool_())])
+def _steps(*columns: pa.Array) -> np.ndarray:
+    """Where rows begin that differ from the row before in some column."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns))
+
+def _merged(least: int):
+    """Rows sorted by term, language and source to one row a source and term, of terms that at least so many documents have."""
+
+    def folded(parts: list[pa.RecordBatch]) -> list[pa.Array]:
+        lang, source, term, n, docs = (pa.concat_arrays(c) for c in zip(*(b.columns for b in parts)))
+        at = _steps(term, lang, source)
+        return [lang.take(pa.array(at)), source.take(pa.array(at)), term.take(pa.array(at)), *(pa.array(np.add.reduceat(c.to_numpy(), at)) for c in (n, docs))]
+
+    def kept(columns: list[pa.Array]) -> pa.RecordBatch:
+        lang, source, term, n, docs = columns
+        at = _steps(term, lang)
+        size = np.diff(np.append(at, len(term)))
+        total, of_docs = (np.repeat(np.add.reduceat(c.to_numpy(), at), size) for c in (n, docs))
+        first = np.zeros(len(term), bool)
+        first[at] = True
+        out = pa.RecordBatch.from_arrays([lang, term, source, n, pa.array(total), pa.array(first)], ["lang", "term", "source", "n", "total", "first"])
+        return out.filter(pa.array((of_docs >= least) | pc.equal(term, "").to_numpy(zero_copy_only=False)))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for (lang, term), of_term in groupby(rows(batches), lambda r: (r[0], r[2])):
-            found, docs = [], 0
-            for source, of_source in groupby(of_term, lambda r: r[1]):
-                count = 0
-                for r in of_source:
-                    count, docs = count + r[3], docs + r[4]
-                found.append((source, count))
-            if docs >= least or term == "":
-                total = sum(c for _, c in found)
-                out += [(lang, term, s, c, total, k == 0) for k, (s, c) in enumerate(found)]
-            if len(out) >= 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kind)], schema=kind)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kind)], schema=kind)
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = folded([*rest, batch])
+            last = int(_steps(columns[2], columns[0])[-1])
+            if last:
+                yield kept([c.slice(0, last) for c in columns])
+            rest = [pa.RecordBatch.from_arrays([c.slice(last) for c in columns], batch.schema.names)]
+        if rest:
+            yield kept(rest[0].columns)
 
     return of
 
 
 def _corrected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by language and term (lang, term, source, p, p0) to sums over terms, a row a pair of sources that share one.
+    """Rows sorted by term and language (lang, term, source, p, p0) to sums over terms, a row a pair of sources that share one.
 
     For a term that both have, what the sums by source alone take for it is replaced by its own value. Sums are split
     at 32 bits, so that none can overflow, and handed on once a task holds very many pairs.
@@ -136,26 +153,30 @@ def _corrected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             add(source[left] << 32 | source[right], value)
             lo = hi
 
-    def flat(columns: list[list]) -> Iterator[pa.RecordBatch]:
+    def numbers(lang: pa.Array, source: pa.Array) -> np.ndarray:
+        a, b = lang.dictionary_encode(), source.dictionary_encode()
+        own, at = np.unique(a.indices.to_numpy() * np.int64(len(b.dictionary)) + b.indices.to_numpy(), return_inverse=True)
+        pair = ((a.dictionary[k // len(b.dictionary)].as_py(), b.dictionary[k % len(b.dictionary)].as_py()) for k in own.tolist())
+        return np.array([names.setdefault(x, len(names)) for x in pair], np.int64)[at]
+
+    def flat(columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
         lang, term, source, p, p0 = columns
-        number = np.array([names.setdefault((a, s), len(names)) for a, s in zip(lang, source)], np.int64)
-        step = np.array([k == 0 or lang[k] != lang[k - 1] or term[k] != term[k - 1] for k in range(len(term))])
-        first = np.flatnonzero(step)
+        first = _steps(term, lang)
         size = np.diff(np.append(first, len(term)))
-        corrections(number, np.array(p, np.int64), np.array(p0, np.int64), np.repeat(size, size), np.repeat(first, size))
+        corrections(numbers(lang, source), p.to_numpy(), p0.to_numpy(), np.repeat(size, size), np.repeat(first, size))
         if held and len(held["key"]) > PAIRS:
             yield handed()
 
-    rest: list[list] = [[], [], [], [], []]
+    rest: list[pa.Array] | None = None
     for batch in batches:
-        rest = [a + c.to_pylist() for a, c in zip(rest, batch.columns)]
-        last = len(rest[0]) - 1
-        while last > 0 and rest[0][last - 1] == rest[0][-1] and rest[1][last - 1] == rest[1][-1]:
-            last -= 1
-        if last > 0:
-            yield from flat([c[:last] for c in rest])
-            rest = [c[last:] for c in rest]
-    if rest[0]:
+        if not batch.num_rows:
+            continue
+        columns = batch.columns if rest is None else [pa.concat_arrays(x) for x in zip(rest, batch.columns)]
+        last = int(_steps(columns[1], columns[0])[-1])
+        if last:
+            yield from flat([c.slice(0, last) for c in columns])
+        rest = [c.slice(last) for c in columns]
+    if rest is not None:
         yield from flat(rest)
     if held:
         yield handed()
@@ -188,7 +209,7 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, postings: int = P
     """
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     runs = docs.select(plain("lang"), plain("source"), plain("text").cast("binary").alias("text")).mapInArrow(_blocks(postings), _RUN)
-    shards = runs.repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
+    shards = runs.repartition("lang", "term").sortWithinPartitions("term", "lang", "source")
     frequencies = saved(shards.mapInArrow(_merged(least), _FREQUENCY), "frequencies")
     kept = frequencies.filter("term <> ''")
     langs = kept.groupBy("lang").agg(F.count_if("first").alias("v"), F.sum("n").alias("lang_n"))
@@ -210,7 +231,7 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, postings: int = P
     there = level.select("lang", "source", "item", whole((_distance("p", "q0") - _distance("p0", "q0")).cast("decimal(19,0)") * times))
     back = level.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), whole((_distance("q0", "p") - _distance("q0", "p0")).cast("decimal(19,0)") * times))
     absent = groups.join(other, "lang").filter("source <> item").select("lang", "source", "item", whole(F.coalesce(F.col("v").cast("decimal(18,0)") * _distance("p0", "q0").cast("decimal(19,0)"), F.lit(0))))
-    shared = held.select("lang", "term", "source", "p", "p0").repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(_corrected, _CORRECTION)
+    shared = held.select("lang", "term", "source", "p", "p0").repartition("lang", "term").sortWithinPartitions("term", "lang").mapInArrow(_corrected, _CORRECTION)
     shared = shared.select("lang", "source", "item", whole(F.col("high").cast("decimal(19,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("low")))
     sums = absent.union(there).union(back).union(shared).groupBy("lang", "source", "item").agg(F.sum("s").cast("long").alias("value"))
     pairs = sums.withColumn("rank", F.row_number().over(by_group)).select("lang", "source", F.lit("pair").alias("part"), "item", "value", "rank")
