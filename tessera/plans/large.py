@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import json
 from tessera.functions import keys as K
 from tessera.operators import budget, selection
 from tessera.plans.catalogue import query
+from tessera.sources import files, shared, sinks, split, tree
 
 
 @query("""WITH RECURSIVE t AS (SELECT c_custkey, CAST(floor(abs(c_acctbal)) AS BIGINT) % 1000 AS cost, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer),
@@ -74,3 +80,136 @@ def windows_paths(t):
     n = F.col("page_id") % 4
     path = F.when(n == 0, F.concat(F.lit(' "C:\\data\\'), F.col("page_id").cast("string"), F.lit('"'))).when(n == 1, F.concat(F.lit("/data/"), F.col("page_id").cast("string"))).when(n == 2, "d:/x").otherwise("C:x")
     return t("pages").select("page_id", K.is_windows_absolute(path).alias("absolute"))
+
+
+def _folder(df, name):
+    return f"{shared.shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+
+_TREE = """WITH f AS (SELECT s_suppkey AS k, CAST(s_nationkey AS VARCHAR) AS dir, CASE s_suppkey % 5 WHEN 0 THEN '_clip_' || s_suppkey || '.png' WHEN 1 THEN '.hidden_' || s_suppkey || '.PNG' WHEN 2 THEN 'cover.' || s_suppkey || '.jpg' WHEN 3 THEN 'c_' || s_suppkey || '.mp4' ELSE 'a.b_' || s_suppkey || '.jpeg' END AS name FROM supplier)"""
+
+
+def _tree(t):
+    """A small tree of files named by suppliers, written by tasks: root and manifest."""
+    k, s = F.col("s_suppkey") % 5, F.col("s_suppkey").cast("string")
+    name = F.when(k == 0, F.concat(F.lit("_clip_"), s, F.lit(".png"))).when(k == 1, F.concat(F.lit(".hidden_"), s, F.lit(".PNG"))).when(k == 2, F.concat(F.lit("cover."), s, F.lit(".jpg"))).when(k == 3, F.concat(F.lit("c_"), s, F.lit(".mp4"))).otherwise(F.concat(F.lit("a.b_"), s, F.lit(".jpeg")))
+    root = _folder(t("supplier"), "tree")
+    rows = t("supplier").select(F.concat(F.lit(f"{root}/"), F.col("s_nationkey").cast("string"), F.lit("/"), name).alias("path"), F.repeat(F.lit("x"), (F.col("s_suppkey") % 7).cast("int")).alias("content"))
+    return root, tree.write_each(rows)
+
+
+@query(f"""{_TREE}, x AS (SELECT *, regexp_extract(regexp_replace(name, '[.][^.]*$', ''), '^(.+)_([0-9]+)$', ['id', 'i']) AS x FROM f WHERE name NOT LIKE '%.mp4')
+SELECT dir AS split, name AS image_name, nullif(x.id, '') AS metadata_id, CASE WHEN x.id <> '' THEN TRY_CAST(x.i AS BIGINT) END AS frame_index, k % 7 AS length FROM x""")
+def tree_listing(t):
+    """Images of a written tree, hidden names too, with what their names tell."""
+    root, _ = _tree(t)
+    files_ = tree.of_type(tree.walk(t("supplier").sparkSession, root), files.IMAGES)
+    return tree.named_images(files_).join(files_.select(F.col("path").alias("full_path"), "length"), "full_path").drop("full_path")
+
+
+@query("SELECT CASE s_suppkey % 2 WHEN 0 THEN 'v' || s_suppkey || '.MP4' ELSE '_v' || s_suppkey || '.mkv' END AS name, CAST(s_suppkey % 2 AS INT) AS label, CASE s_suppkey % 2 WHEN 0 THEN '0_real' ELSE '1_fake' END AS dir FROM supplier WHERE s_suppkey % 3 > 0")
+def video_task_list(t):
+    """The work list of two label directories; other directories, deeper ones and other files are no part of it."""
+    odd, s = F.col("s_suppkey") % 2, F.col("s_suppkey").cast("string")
+    root = _folder(t("supplier"), "videos")
+    name = F.when(odd == 0, F.concat(F.lit("0_real/v"), s, F.lit(".MP4"))).otherwise(F.concat(F.lit("1_fake/_v"), s, F.lit(".mkv")))
+    other = F.when(odd == 0, F.concat(F.lit("0_real/deep/"), s, F.lit(".mp4"))).otherwise(F.concat(F.lit("notes/"), s, F.lit(".mp4")))
+    path = F.when(F.col("s_suppkey") % 3 > 0, name).otherwise(other)
+    tree.write_each(t("supplier").select(F.concat(F.lit(f"{root}/"), path).alias("path"), F.lit("").alias("content")))
+    tasks = tree.video_tasks(t("supplier").sparkSession, root, "/out", files.VIDEOS, {"0_real": 0, "1_fake": 1})
+    return tasks.select("name", "label", F.element_at(F.split("out_dir", "/"), -1).alias("dir"))
+
+
+@query("""SELECT 's' || s_suppkey AS sample, CASE s_suppkey % 5 WHEN 0 THEN 'invalid' WHEN 1 THEN 'no_frames' WHEN 2 THEN 'invalid' WHEN 3 THEN 'ok' ELSE 'no_frames' END AS status, CASE WHEN s_suppkey % 5 = 3 THEN 'frame_' || s_suppkey || '.png' END AS first, CASE WHEN s_suppkey % 5 IN (1, 3) THEN s_nationkey END AS fps FROM supplier""")
+def metadata_audit(t):
+    """Metadata files, written and read again: broken ones are rows with a status, not gaps."""
+    k, s, fps = F.col("s_suppkey") % 5, F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    content = F.when(k == 0, '{"frames": [').when(k == 1, F.concat(F.lit('{"frames": [], "fps": '), fps, F.lit("}"))).when(k == 2, "[1, 2]").when(k == 3, F.concat(F.lit('{"fps": '), fps, F.lit(', "frames": [{"file_path": "frame_'), s, F.lit('.png"}]}'))).otherwise("{}")
+    root = _folder(t("supplier"), "metadata")
+    tree.write_each(t("supplier").select(F.concat(F.lit(f"{root}/_set/s"), s, F.lit("/metadata.json")).alias("path"), content.alias("content")))
+    found = tree.metadata(t("supplier").sparkSession, root, "fps int, frames array<struct<file_path string>>")
+    return found.select("sample", "status", F.get("meta.frames.file_path", F.lit(0)).alias("first"), F.col("meta.fps").alias("fps"))
+
+
+@query(f"""{_TREE}, a AS (SELECT k, name, 'copied' AS action, k % 7 AS bytes FROM f WHERE k % 2 = 0 UNION ALL SELECT k, name, 'existing', k % 7 FROM f WHERE k % 2 = 0 UNION ALL SELECT k, name, 'copy', k % 7 FROM f WHERE k % 2 = 1)
+SELECT action, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM a GROUP BY 1 UNION ALL SELECT 'missing', count(*), NULL FROM f""")
+def copy_manifest(t):
+    """A copy, the same once more, a dry run, and a plan for files that aren't there."""
+    root, manifest = _tree(t)
+    target = _folder(manifest, "copies")
+    even = F.regexp_extract("path", r"(\d+)\.[^.]*$", 1).cast("long") % 2 == 0
+    plan = manifest.select("path", F.concat(F.lit(target), F.expr(f"substring(path, {len(root) + 1})")).alias("target"), even.alias("even"))
+    done = [tree.copy_files(plan.filter("even"), dry_run=False), tree.copy_files(plan.filter("even"), dry_run=False), tree.copy_files(plan.filter("not even")), tree.copy_files(plan.select(F.concat("path", F.lit(".none")).alias("path"), "target"))]
+    return reduce(DataFrame.union, done).groupBy("action").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def json_array_rows(t):
+    """Conversations as JSON arrays, written and read again element by element."""
+    c = t("conversations")
+    root = _folder(c, "arrays")
+    arrays = c.groupBy("conv_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("turn", "conv_id", "role", "text"))), {"pretty": "true"}).alias("content"))
+    tree.write_each(arrays.select(F.concat(F.lit(f"{root}/"), F.col("conv_id").cast("string"), F.lit(".json")).alias("path"), "content"))
+    return split.json_array(c.sparkSession, root, c.select("conv_id", "turn", "role", "text").schema)
+
+
+@query("SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS line_no, 'order ' || l_orderkey || '/' || l_linenumber AS line FROM lineitem WHERE l_suppkey % 3 = 0")
+def numbered_lines(t):
+    """Lists of lines, a file each, written and read again with the places of their lines."""
+    rows = t("lineitem").filter("l_suppkey % 3 = 0")
+    root = _folder(rows, "lines")
+    line = F.concat(F.lit("order "), F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"))
+    lists = rows.groupBy("l_suppkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", line.alias("line")))), lambda x: x["line"]), "\n").alias("content"))
+    tree.write_each(lists.select(F.concat(F.lit(f"{root}/"), F.col("l_suppkey").cast("string"), F.lit(".txt")).alias("path"), "content"))
+    return split.numbered_lines(rows.sparkSession, root).select(F.regexp_extract("file", r"(\d+)\.txt$", 1).cast("long").alias("l_suppkey"), "line_no", "line")
+
+
+_PROPS = "CASE event_id % 7 WHEN 0 THEN substr(props, 1, 4) WHEN 1 THEN '{\"k\": null}' WHEN 2 THEN '{}' WHEN 3 THEN NULL ELSE props END"
+
+
+@query(f"WITH x AS (SELECT event_id, {_PROPS} AS p FROM events), y AS (SELECT event_id, p, TRY_CAST(p AS JSON) AS j FROM x) SELECT event_id, CASE WHEN event_id % 7 = 1 THEN NULL WHEN j IS NULL OR event_id % 7 = 2 THEN -1 ELSE CAST(json_extract_string(j, '$.k') AS BIGINT) END AS k, coalesce(p IS NOT NULL AND j IS NULL, false) AS broken FROM y")
+def json_defaults(t):
+    """A value of a JSON column with a default, where texts are broken, empty, null or lack it."""
+    k = F.col("event_id") % 7
+    props = F.when(k == 0, F.substring("props", 1, 4)).when(k == 1, '{"k": null}').when(k == 2, "{}").when(k == 3, F.lit(None)).otherwise(F.col("props"))
+    return t("events").select("event_id", json.value(json.parsed(props), "$.k", "bigint", -1).alias("k"), json.broken(props).alias("broken"))
+
+
+@query("SELECT s_suppkey, s_name || ' \"q\", ' || s_nationkey AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'ok' ELSE 'skipped_existing' END AS status FROM supplier WHERE s_suppkey % 3 < 2")
+def csv_round_trip(t):
+    """A manifest with quotes and commas, written, read by its header, and cut to two statuses."""
+    k = F.col("s_suppkey")
+    out = t("supplier").select(k.cast("string").alias("id"), F.concat("s_name", F.lit(' "q", '), F.col("s_nationkey").cast("string")).alias("path"), F.when(k % 3 == 2, "error: none").when(k % 2 == 0, " ok ").otherwise("skipped_existing").alias("status"))
+    path = _folder(out, "manifest-csv")
+    sinks.write_csv(out, path)
+    back = files.with_status(files.table_csv(out.sparkSession, path, required=("id", "filename", "status")))
+    return back.select(F.col("id").cast("long").alias("s_suppkey"), F.col("filename").alias("name"), "status")
+
+
+@query("SELECT doc_id, printf('%.8f', n_chars % 1000 / CAST(1000 AS DOUBLE)) AS prob_fake FROM documents")
+def predictions_round_trip(t):
+    scored = t("documents").select("doc_id", (F.col("n_chars") % 1000 / F.lit(1000.0)).alias("prob_fake"))
+    path = _folder(scored, "predictions")
+    sinks.write_predictions(scored, path)
+    return files.table_csv(scored.sparkSession, path, sep="\t").select(F.col("doc_id").cast("long").alias("doc_id"), "prob_fake")
+
+
+@query("SELECT label, sample_name, row_number() OVER (ORDER BY label, sample_name) AS place FROM (SELECT CAST(c_custkey % 2 AS INT) AS label, c_name AS sample_name FROM customer)")
+def clip_index_order(t):
+    """The rows of a written index in the order of its part files and lines: sorted without a single task."""
+    clips = t("customer").select((F.col("c_custkey") % 2).cast("int").alias("label"), F.col("c_name").alias("sample_name"))
+    path = _folder(clips, "index")
+    sinks.write_clip_index(clips, path)
+    lines = split.numbered_lines(clips.sparkSession, path).filter("line_no > 0 and line <> ''")
+    parts = lines.groupBy("file").agg(F.count("*").alias("n"))  # a row a part file
+    starts = parts.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    cell = lambda i: F.get(F.split("line", "\t"), F.lit(i))
+    return lines.join(F.broadcast(starts), "file").select(cell(0).cast("int").alias("label"), cell(1).alias("sample_name"), (F.col("before") + F.col("line_no")).alias("place"))
+
+
+@query("SELECT DISTINCT s_name AS id FROM supplier")
+def id_list_round_trip(t):
+    names = t("supplier").select(F.concat(F.lit("  "), "s_name", F.lit(" ")).alias("id")).union(t("supplier").select(F.lit(" ")).limit(3))
+    path = _folder(names, "ids")
+    sinks.write_lines(names, "id", path)
+    return files.id_list(names.sparkSession, path)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.functions import keys as K
+from tessera.sources import split
 
 IMAGES = ("png", "jpg", "jpeg")
 PICTURES = (*IMAGES, "bmp", "webp")
@@ -18,7 +20,7 @@ VIDEOS = ("mp4", "avi", "mov", "mkv")
 def listing(spark: SparkSession, root: str, extensions: tuple[str, ...] = IMAGES, recursive: bool = True, any_case: bool = True) -> DataFrame:
     """path, name, length of the files below root whose suffix is one of extensions; contents are never read.
 
-    Names that begin with "_" or "." are left out, as Spark's file index does. Unordered: sort by path where order counts.
+    Names that begin with "_" or "." are left out, as Spark's file index does; tree.walk lists them too. Unordered: sort by path where order counts.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
     return files.filter(F.col("name").rlike(rf"{'(?i)' if any_case else ''}\.({'|'.join(extensions)})$"))
@@ -68,7 +70,7 @@ def with_status(manifest: DataFrame, allowed: tuple[str, ...] = ("ok", "skipped_
 
 
 def records(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Elements of JSON arrays, or objects over several lines, one row each. A file is one task's work."""
+    """Elements of JSON arrays, or objects over several lines, one row each. A file is one task's work; split.json_array reads large arrays by blocks."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
@@ -103,9 +105,19 @@ def parsed_paths(lines: DataFrame, base: str = "", at: str = "line_no", text: st
 
 
 def path_list(spark: SparkSession, path: str, base: str = "") -> DataFrame:
-    """parsed_paths of a list file. Its lines are numbered within the file, which one task reads: a list that people keep."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r\n|\r|\n")).alias("line_no", "line"))
-    return parsed_paths(lines, base)
+    """parsed_paths of a list file of any length; line_no counts its lines from 0."""
+    return parsed_paths(split.numbered_lines(spark, path), base)
+
+
+def resolve_metadata(spark: SparkSession, root: str, name: str, explicit: str | None = None, below: tuple[str, ...] = ()) -> str | None:
+    """The metadata file of a data set: explicit if it is there, else name in root, else in one of its directories below; None if there is none."""
+    for path in [*([explicit] if explicit else []), f"{root.rstrip('/')}/{name}", *(f"{root.rstrip('/')}/{d}/{name}" for d in below)]:
+        try:
+            if not spark.read.format("binaryFile").load(path).select("path").isEmpty():
+                return path
+        except AnalysisException:
+            continue
+    return None
 
 
 def first_existing(candidates: list[Column], rows: DataFrame, files: DataFrame, key: str) -> DataFrame:
