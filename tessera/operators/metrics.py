@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from tessera.sources.shared import saved
 
 METHODS = ["max", "mean", "median", "top3_mean", "top5_mean"]
 
@@ -27,30 +35,71 @@ def by_method(scores: DataFrame) -> DataFrame:
     return scores.select("y", F.explode(F.map_from_arrays(F.array(*map(F.lit, METHODS)), F.array(*METHODS))).alias("method", "p"))
 
 
-BINS = 4096  # of scores between 0 and 1: running sums go over one of them at a time
+def _running(sums: int):
+    """Rows sorted by their first columns to rows with running sums of the last ones, begun anew where a group begins."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, carried = None, np.zeros(sums, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0)
+            new = np.ones(len(key), bool)
+            new[1:] = pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False)
+            new[0] = key[0].as_py() != at
+            starts = np.flatnonzero(np.append(True, new[1:]))
+            size = np.diff(np.append(starts, len(key)))
+            out = []
+            for i in range(sums):
+                run = np.cumsum(batch.column(batch.num_columns - sums + i).to_numpy(zero_copy_only=False))
+                base = np.where(starts > 0, run[starts - 1], 0)
+                if not new[0]:
+                    base[0] -= carried[i]
+                out.append(run - np.repeat(base, size))
+            at, carried = key[len(key) - 1].as_py(), np.array([x[-1] for x in out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, out)], [*batch.schema.names, *(f"_run{i}" for i in range(sums))])
+
+    return of
+
+
+def running_sums(cells: DataFrame, groups: list[str], by: Column, sums: dict[str, str]) -> DataFrame:
+    """cells with running sums within each group in the order of by: sums names the new column of each summed one.
+
+    Rows are dealt by ranges of group and by, which Spark draws from the data, so any distribution spreads over the
+    tasks and none holds a group; each task sums what it holds, and a row a group and task tells what came before. by
+    must tell the rows of a group apart.
+    """
+    own = F.to_json(F.struct(*groups), {"ignoreNullFields": "false"}) if groups else F.lit("")
+    rows = cells.select(own.alias("_group"), by.alias("_by"), F.struct(*cells.columns).alias("_row"), *(F.col(c).cast("long").alias(f"_s{i}") for i, c in enumerate(sums)))
+    dealt = rows.repartitionByRange("_group", "_by").sortWithinPartitions("_group", "_by").withColumn("_part", F.spark_partition_id())
+    dealt = dealt.select("_group", "_by", "_part", "_row", *(f"_s{i}" for i in range(len(sums))))
+    more = [StructField(f"_run{i}", LongType()) for i in range(len(sums))]
+    summed = saved(dealt.mapInArrow(_running(len(sums)), StructType([*dealt.schema.fields, *more])), "running")
+    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = summed.groupBy("_group", "_part").agg(*(F.sum(f"_s{i}").alias(f"_p{i}") for i in range(len(sums))))
+    offsets = parts.select("_group", "_part", *(F.coalesce(F.sum(f"_p{i}").over(before), F.lit(0)).alias(f"_o{i}") for i in range(len(sums))))
+    return summed.join(offsets, ["_group", "_part"]).select("_row.*", *((F.col(f"_run{i}") + F.col(f"_o{i}")).alias(n) for i, n in enumerate(sums.values())))
 
 
 def binary_metrics(scored: DataFrame, groups: list[str], y: str = "y", p: str = "p", one_class: str = "zeros") -> DataFrame:
     """AUC, average precision, Youden threshold and what it decides, best F1: one row a group.
 
-    Scores are counted first, so running sums go over distinct scores, within bins of scores; a bin's sums begin with
-    the totals of the bins above, so no task takes a whole group. The threshold is the highest of those with the
-    largest tp * N - fp * P; none above zero gives infinity, by which everything is negative. A group of one class:
-    "zeros" gives zeros, "null" nulls, "half" zero areas and what a threshold of 0.5 decides.
+    Scores of any range are counted first, so running sums go over distinct scores; no task takes a whole group. The
+    threshold is the highest of those with the largest tp * N - fp * P; none above zero gives infinity, by which
+    everything is negative. A group of one class: "zeros" gives zeros, "null" nulls, "half" zero areas and what a
+    threshold of 0.5 decides. A score or label that is null, or a score that is no number, raises; a null group is one
+    of its own; an empty table gives no row.
     """
-    bin_ = F.least(F.greatest(F.floor(F.col(p) * BINS), F.lit(0)), F.lit(BINS - 1)).cast("int")
-    own = [F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)]
-    at = [f"_g{i}" for i in range(len(groups))]
-    cells = scored.groupBy(*groups, p).agg(F.sum(y).cast("long").alias("dtp"), F.sum(1 - F.col(y)).cast("long").alias("dfp")).withColumn("_bin", bin_)
-    bins = cells.groupBy(*own, F.col("_bin").alias("_b")).agg(F.sum("dtp").alias("btp"), F.sum("dfp").alias("bfp"))
-    w = Window.partitionBy(*at)
-    above = w.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = bins.select(*at, "_b", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}0") for c in ("btp", "bfp")), F.sum("btp").over(w).alias("pos"), F.sum("bfp").over(w).alias("neg"))
-    same = F.col("_bin") == F.col("_b")
-    for g, a in zip(groups, at):
-        same = same & F.col(g).eqNullSafe(F.col(a))
-    run = Window.partitionBy(*groups, "_bin").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    c = cells.join(totals, same).select(*groups, p, "dtp", "dfp", "pos", "neg", (F.sum("dtp").over(run) + F.col("btp0")).alias("tp"), (F.sum("dfp").over(run) + F.col("bfp0")).alias("fp"))
+    score, yes = F.col(p).cast("double"), F.col(y).cast("int")
+    wrong = score.isNull() | F.isnan(score) | yes.isNull()
+    sound = scored.withColumn(p, F.when(wrong, F.raise_error(F.lit("a score or label is missing or no number")).cast("double")).otherwise(score))
+    cells = sound.groupBy(*groups, p).agg(F.sum(yes).cast("long").alias("dtp"), F.sum(1 - yes).cast("long").alias("dfp"))
+    totals = cells.groupBy(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups))).agg(F.sum("dtp").alias("pos"), F.sum("dfp").alias("neg"))
+    same = F.lit(True)
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    run = running_sums(cells, groups, -F.col(p), {"dtp": "tp", "dfp": "fp"})
+    c = (run.join(totals, same) if groups else run.join(F.broadcast(totals))).select(*groups, p, "dtp", "dfp", "pos", "neg", "tp", "fp")  # without groups, one row
     j = F.col("tp") * F.col("neg") - F.col("fp") * F.col("pos")
     prec, rec = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / F.nullif(F.col("pos"), F.lit(0))
     best = F.max(F.struct(j.alias("j"), F.col(p).alias("t"), F.col("tp"), F.col("fp")))
@@ -72,7 +121,7 @@ def binary_metrics(scored: DataFrame, groups: list[str], y: str = "y", p: str =
     two = F.lit(True) if one_class == "half" else two
     z = lambda c: F.round(F.when(two, c).otherwise(other.cast("double")), 6)
     k = lambda c: F.when(two, c).otherwise(other).cast("long")
-    return out.select(
+    return out.filter("pos is not null").select(
         *groups, z(area).alias("auc"), z(ap).alias("ap"), z((tp + F.col("neg") - fp) / (F.col("pos") + F.col("neg"))).alias("acc"),
         z(F.col("best_f1")).alias("best_f1"), z(ratio(fp, F.col("neg"))).alias("fpr"), z(ratio(F.col("pos") - tp, F.col("pos"))).alias("fnr"),
         z(F.when(up, F.col("b.t")).otherwise(F.lit(float("inf")))).alias("threshold"),

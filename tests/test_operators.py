@@ -32,6 +32,37 @@ def test_metrics_against_pairs(spark):
     assert got["d"].threshold == math.inf and got["d"].tp == 0 and got["d"].fn == 1
 
 
+def test_metrics_of_any_scores(spark):
+    """Logits of every size and sign, in one group and in many, null groups among them."""
+    rng = random.Random(11)
+    draw = [lambda: rng.gauss(0, 9), lambda: rng.gauss(0, 1e-9), lambda: rng.choice([-1e300, 0.0, -0.0, 1e300, math.inf, -math.inf]), lambda: rng.randint(-3, 3)]
+    rows = [(rng.choice(["a", "b", None]), rng.randint(0, 1), float(rng.choice(draw)())) for _ in range(900)]
+    df = spark.createDataFrame(rows, "g string, y int, p double")
+    for by in ([], ["g"]):
+        for r in metrics.binary_metrics(df, by).collect():
+            own = [x for x in rows if not by or x[0] == r.g]
+            pos, neg = [p for _, y, p in own if y], [p for _, y, p in own if not y]
+            assert math.isclose(r.auc, sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg), abs_tol=1e-6)
+            at = {t: (sum(a >= t for a in pos), sum(b >= t for b in neg)) for t in {*pos, *neg}}
+            best = max((tp * len(neg) - fp * len(pos), t) for t, (tp, fp) in at.items())
+            assert (r.tp, r.fp) == at[best[1]]
+            steps = sorted(at, reverse=True)
+            ap = sum((at[t][0] - (at[steps[k - 1]][0] if k else 0)) / len(pos) * at[t][0] / sum(at[t]) for k, t in enumerate(steps))
+            assert math.isclose(r.ap, ap, abs_tol=1e-6)
+    for bad in ((None, 1, math.nan), (None, 1, None), ("a", None, 0.5)):
+        with pytest.raises(Exception, match="missing or no number"):
+            metrics.binary_metrics(spark.createDataFrame([*rows, bad], df.schema), ["g"]).collect()
+    assert metrics.binary_metrics(df.limit(0), ["g"]).collect() == metrics.binary_metrics(df.limit(0), []).collect() == []
+
+
+def test_running_sums(spark):
+    rng = random.Random(12)
+    rows = [(g, k, rng.randint(0, 9)) for g in ("a", "b", None) for k in rng.sample(range(10**6), 500)]
+    for parts in (1, 8):
+        got = metrics.running_sums(spark.createDataFrame(rows, "g string, k int, n int").repartition(parts), ["g"], F.col("k"), {"n": "upto"}).collect()
+        assert {(r.g, r.k): r.upto for r in got} == {(g, k): sum(c for h, j, c in rows if h == g and j <= k) for g, k, _ in rows}
+
+
 def test_greedy_budget_skips(spark):
     rng = random.Random(5)
     rows = [(g, i, rng.choice(["real", "fake"]), rng.choice([0, *range(1, 40)])) for g in range(5) for i in range(60)]
