@@ -253,3 +253,18 @@ def clock(seconds: Column) -> Column:
 def local_time(utc: Column, hours: int = 8) -> Column:
     """A UTC time as clocks that many hours ahead show it."""
     return F.date_format(utc + F.make_dt_interval(F.lit(0), F.lit(hours)), "yyyy-MM-dd HH:mm:ss")
+
+
+def without_suffix_mark(name: Column, mark: str = "sf") -> Column:
+    """A legacy name under its present form: the mark before the digits at its end goes."""
+    return F.regexp_replace(name, rf"_{mark}(\d+)$", "_$1")
+
+
+def without_prefixes(key: Column, prefixes: tuple[str, ...] = ("module", "_orig_mod")) -> Column:
+    """A parameter's key without the wrappers that name it, however often they repeat."""
+    return F.regexp_replace(key, rf"^(({'|'.join(prefixes)})\.)+", "")
+
+
+def aligned_begin(t: Column, fake_duration: Column, real_duration: Column) -> Column:
+    """The time of one video that belongs to a time of another, by their durations; a duration of almost none counts as such."""
+    return t / F.greatest(fake_duration, F.lit(1e-8)) * real_duration

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import keys as K
-from tessera.operators import budget, metrics, selection
+from tessera.functions import vectors as V
+from tessera.operators import budget, manifests, metrics, selection
 from tessera.sources import files
 from tessera.streaming import events
 
@@ -111,24 +112,23 @@ def best_epoch(t):
 
 @query("WITH g AS (SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1) SELECT count(*) AS videos, CAST(sum(k) AS BIGINT) AS images, count_if(k >= 10)::BIGINT AS kept, count_if(k < 10)::BIGINT AS dropped, min(k) AS min_frames, max(k) AS max_frames, round(coalesce(avg(k), 0), 6) AS mean_frames FROM g")
 def min_group_filter(t):
-    g = t("orders").groupBy("o_custkey").agg(F.count("*").alias("k"))
-    return g.agg(F.count("*").alias("videos"), F.sum("k").alias("images"), F.count_if(F.col("k") >= 10).alias("kept"), F.count_if(F.col("k") < 10).alias("dropped"), F.min("k").alias("min_frames"), F.max("k").alias("max_frames"), F.round(F.coalesce(F.avg("k"), F.lit(0.0)), 6).alias("mean_frames"))
+    return manifests.group_totals(t("orders"), "o_custkey", 10)
 
 
 @query("SELECT n_regionkey, c_mktsegment, count(*) AS n, count_if(o_orderstatus IN ('O', 'P'))::BIGINT AS ok, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2")
 def group_summary(t):
     j = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return j.groupBy("n_regionkey", "c_mktsegment").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus").isin("O", "P")).alias("ok"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return manifests.status_totals(j, ["n_regionkey", "c_mktsegment"], F.col("o_orderstatus").isin("O", "P"), "o_totalprice")
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def value_counts(t):
-    return t("events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return manifests.counts(t("events"), "event_type")
 
 
 @query("SELECT (CASE WHEN l_returnflag = 'R' THEN 'F' ELSE 'R' END) || (CASE WHEN l_linestatus = 'O' THEN 'F' ELSE 'R' END) AS type, count(*) AS n FROM lineitem GROUP BY 1")
 def type_counts(t):
-    return t("lineitem").groupBy(K.pair_type(F.col("l_returnflag") == "R", F.col("l_linestatus") == "O").alias("type")).agg(F.count("*").alias("n"))
+    return manifests.counts(t("lineitem"), K.pair_type(F.col("l_returnflag") == "R", F.col("l_linestatus") == "O").alias("type"))
 
 
 _LABEL = "CASE o_orderstatus WHEN 'O' THEN ' Real ' WHEN 'F' THEN 'TRUE' ELSE '' END"
@@ -153,8 +153,8 @@ def default_fill(t):
 
 @query("SELECT c_custkey, regexp_extract(c_name, '^(.+)#([0-9]+)$', 1) AS metadata_id, CAST(regexp_extract(c_name, '^(.+)#([0-9]+)$', 2) AS BIGINT) AS frame_index FROM customer WHERE regexp_matches(c_name, '^(.+)#([0-9]+)$')")
 def name_parse(t):
-    pattern = "^(.+)#([0-9]+)$"
-    return t("customer").filter(F.col("c_name").rlike(pattern)).select("c_custkey", F.regexp_extract("c_name", pattern, 1).alias("metadata_id"), F.regexp_extract("c_name", pattern, 2).cast("long").alias("frame_index"))
+    name = F.translate(F.concat("c_name", F.lit(".png")), "#", "_")
+    return t("customer").select("c_custkey", K.image_id(name).alias("id")).filter("id is not null").select("c_custkey", "id.*")
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '0_real/X_' || o_custkey WHEN 1 THEN '1_fake/' || o_custkey WHEN 2 THEN '0_real/' || o_custkey || '_pair_7' ELSE CAST(o_custkey AS VARCHAR) END AS video FROM orders""")
@@ -178,7 +178,7 @@ def sanitize(t):
 @query("SELECT p_partkey, 'v_' || lpad(CAST(p_size AS VARCHAR), 3, '0') AS renamed, 'conv1.' || p_brand AS key FROM part")
 def legacy_rename(t):
     old = F.concat(F.lit("v_sf"), F.format_string("%03d", "p_size"))
-    return t("part").select("p_partkey", F.regexp_replace(old, r"_sf(\d+)$", "_$1").alias("renamed"), F.regexp_replace(F.concat(F.lit("module._orig_mod.conv1."), F.col("p_brand")), r"^((module|_orig_mod)\.)+", "").alias("key"))
+    return t("part").select("p_partkey", K.without_suffix_mark(old).alias("renamed"), K.without_prefixes(F.concat(F.lit("module._orig_mod.conv1."), F.col("p_brand"))).alias("key"))
 
 
 @query("SELECT s_suppkey, printf('S%04d', s_suppkey) AS sample_id, printf('frame_%06d', s_suppkey) AS frame_name FROM supplier")
@@ -190,43 +190,44 @@ def format_ids(t):
 SELECT o_orderkey, f.k AS pair_from, round(1 / greatest(o_totalprice, 1e-8) * f.p, 6) AS t0 FROM orders JOIN f USING (o_custkey)""")
 def pair_join(t):
     o = t("orders")
-    first = o.groupBy("o_custkey").agg(F.min(F.struct("o_orderdate", "o_orderkey", "o_totalprice")).alias("f"))
-    return o.join(first, "o_custkey").select("o_orderkey", F.col("f.o_orderkey").alias("pair_from"), F.round(F.lit(1.0) / F.greatest("o_totalprice", F.lit(1e-8)) * F.col("f.o_totalprice"), 6).alias("t0"))
+    first = manifests.first_of(o.select("o_custkey", "o_orderdate", F.col("o_orderkey").alias("pair_from"), F.col("o_totalprice").alias("real")), ["o_custkey"], ["o_orderdate", "pair_from"])
+    return o.select("o_custkey", "o_orderkey", "o_totalprice").join(first, "o_custkey").select("o_orderkey", "pair_from", F.round(K.aligned_begin(F.lit(1.0), F.col("o_totalprice"), F.col("real")), 6).alias("t0"))
 
 
 @query("""WITH m AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_name) AS rn FROM customer)
 SELECT n_name, c_mktsegment, c_name, printf('S%04d', row_number() OVER (ORDER BY n_nationkey, c_mktsegment)) AS sample_id FROM m JOIN nation ON c_nationkey = n_nationkey WHERE rn = 1""")
 def plan_join(t):
-    m = t("customer").groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_name").alias("c_name"))
-    j = m.join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # the plan: a fixed 25 rows
-    return j.select("n_name", "c_mktsegment", "c_name", F.format_string("S%04d", F.row_number().over(Window.orderBy("n_nationkey", "c_mktsegment"))).alias("sample_id"))  # at most 125 rows
+    rows = t("customer").select(F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment", "c_name")
+    plan = t("nation").select("n_nationkey", "n_name").join(rows.select("n_nationkey", "c_mktsegment").distinct(), "n_nationkey")
+    return manifests.planned_samples(plan, rows, ["n_nationkey", "c_mktsegment"], ["n_nationkey", "c_mktsegment"], ["c_name"]).drop("n_nationkey")
 
 
 @query("SELECT o_custkey, min(o_orderkey) AS first_order FROM orders GROUP BY 1")
 def first_per_group(t):
-    return t("orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("first_order"))
+    return manifests.first_of(t("orders").select("o_custkey", F.col("o_orderkey").alias("first_order")), ["o_custkey"], ["first_order"])
 
 
 @query("""WITH f AS (SELECT o_custkey, count(*) AS k FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), a AS (SELECT DISTINCT o_custkey FROM orders)
 SELECT c_custkey, coalesce(k, 0) AS frames, CASE WHEN a.o_custkey IS NULL THEN 'missing_dir' WHEN k IS NULL THEN 'empty_dir' ELSE 'matched' END AS status FROM customer LEFT JOIN a ON c_custkey = a.o_custkey LEFT JOIN f ON c_custkey = f.o_custkey""")
 def manifest_outer(t):
-    seen = t("orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderkey") % 3 == 0).alias("k"))
-    return t("customer").join(seen, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("k", F.lit(0)).alias("frames"), F.when(F.col("k").isNull(), "missing_dir").when(F.col("k") == 0, "empty_dir").otherwise("matched").alias("status"))
+    orders = t("orders").withColumn("c_custkey", F.col("o_custkey"))
+    return manifests.against_directories(t("customer").select("c_custkey"), "c_custkey", orders, orders.filter("o_orderkey % 3 = 0"))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def semi_exists(t):
-    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+    return manifests.present(t("customer").select("c_custkey"), t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def anti_missing(t):
-    return t("customer").join(t("orders").filter("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return manifests.absent(t("customer").select("c_custkey"), t("orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_suppkey = c_custkey")
 def video_audio_inner(t):
-    return t("supplier").join(t("customer"), (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("s_suppkey") == F.col("c_custkey"))).select("s_suppkey", "c_custkey")
+    tracks = t("customer").select("c_custkey", F.col("c_nationkey").alias("s_nationkey"), F.col("c_custkey").alias("s_suppkey"))
+    return manifests.paired_tracks(t("supplier"), tracks, ["s_nationkey", "s_suppkey"]).select("s_suppkey", "c_custkey")
 
 
 @query("""WITH c AS (SELECT s_suppkey, unnest([s_suppkey * 1000, s_suppkey * 7, s_suppkey]) AS cand, unnest([0, 1, 2]) AS pos FROM supplier)
@@ -288,8 +289,7 @@ def shuffle_limit(t):
 
 @query("WITH h AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events) SELECT event_type, event_id FROM h WHERE rn <= 200")
 def quota_unit(t):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    return t("events").withColumn("rn", F.row_number().over(w)).filter("rn <= 200").select("event_type", "event_id")
+    return manifests.top(t("events"), ["event_type"], ["ts", "event_id"], 200).select("event_type", "event_id")
 
 
 _GREEDY = """WITH RECURSIVE t AS (SELECT o_custkey, o_orderkey, CAST(o_totalprice AS BIGINT) % 1000 AS cost, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders),
@@ -336,14 +336,12 @@ def budget_two_phase(t):
 
 @query("WITH h AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) SELECT o_custkey, o_orderkey FROM h WHERE rn <= 3")
 def retention_last3(t):
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    return t("orders").withColumn("rn", F.row_number().over(w)).filter("rn <= 3").select("o_custkey", "o_orderkey")
+    return manifests.top(t("orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")], 3).select("o_custkey", "o_orderkey")
 
 
 @query("WITH n AS (SELECT quality, count(*) AS k FROM labels GROUP BY 1) SELECT doc_id, round(CAST(1 AS DOUBLE) / k, 6) AS weight FROM labels JOIN n USING (quality)")
 def class_weights(t):
-    n = t("labels").groupBy("quality").agg(F.count("*").alias("k"))
-    return t("labels").join(n, "quality").select("doc_id", F.round(F.lit(1.0) / F.col("k"), 6).alias("weight"))
+    return manifests.class_weights(t("labels"), "quality").select("doc_id", F.round("weight", 6).alias("weight"))
 
 
 def _split(t, s):
@@ -352,23 +350,22 @@ def _split(t, s):
 
 @query("SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
 def split_intersect(t):
-    return _split(t, "F").intersect(_split(t, "O"))
+    return manifests.shared(_split(t, "F"), _split(t, "O"))
 
 
 @query("SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus IN ('O', 'P')")
 def split_only(t):
-    return _split(t, "F").subtract(_split(t, "O").union(_split(t, "P")))
+    return manifests.unshared(_split(t, "F"), [_split(t, "O"), _split(t, "P")])
 
 
 @query("SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY 1")
 def dedupe_first(t):
-    return t("documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    return manifests.first_of(t("documents").select("text", "doc_id"), ["text"], ["doc_id"])
 
 
 @query("SELECT k AS path, max(label) AS label FROM (SELECT s_nationkey AS k, 1 AS label FROM supplier UNION ALL SELECT c_nationkey, 0 FROM customer) GROUP BY 1")
 def union_label(t):
-    both = t("supplier").select(F.col("s_nationkey").alias("path"), F.lit(1).alias("label")).unionAll(t("customer").select("c_nationkey", F.lit(0)))
-    return both.groupBy("path").agg(F.max("label").alias("label"))
+    return manifests.labelled_union(t("customer").select(F.col("c_nationkey").alias("path")), t("supplier").select(F.col("s_nationkey").alias("path")), "path")
 
 
 @query("SELECT page_id, url = 'https://' OR starts_with(url, 'https:/' || '/') AS allowed FROM pages")
@@ -379,21 +376,18 @@ def root_guard(t):
 
 @query("SELECT conv_id, count(DISTINCT turn) = max(turn) + 1 AND count(*) > 0 AS complete FROM conversations GROUP BY 1")
 def completeness(t):
-    c = t("conversations").groupBy("conv_id").agg(F.collect_set("turn").alias("have"), F.max("turn").alias("last"))
-    return c.select("conv_id", F.forall(F.sequence(F.lit(0).cast("long"), "last"), lambda i: F.array_contains("have", i)).alias("complete"))
+    return manifests.complete_sequences(t("conversations"), "conv_id", "turn")
 
 
 @query("WITH x AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda v: exp(v)) AS e FROM embeddings) SELECT vec_id, round(e[2] / list_sum(e), 6) AS p FROM x")
 def softmax(t):
-    e = t("embeddings").select("vec_id", F.transform("embedding", lambda v: F.exp(v.cast("double"))).alias("e"))
-    return e.select("vec_id", F.round(F.get("e", F.lit(1)) / F.aggregate("e", F.lit(0.0), lambda a, x: a + x), 6).alias("p"))
+    return t("embeddings").select("vec_id", F.round(V.softmax(F.col("embedding"), 1), 6).alias("p"))
 
 
 @query("WITH q AS (SELECT embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id = 0), x AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], qe) AS s FROM embeddings, q) SELECT vec_id, round(s, 6) AS similarity FROM x ORDER BY round(s, 6) DESC, vec_id LIMIT 20")
 def cosine_topk(t):
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     q = t("embeddings").filter("vec_id = 0").select(F.col("embedding").alias("qe"))  # one row
-    s = t("embeddings").join(F.broadcast(q)).select("vec_id", F.round(dot("embedding", "qe") / F.sqrt(dot("embedding", "embedding") * dot("qe", "qe")), 6).alias("similarity"))
+    s = t("embeddings").join(F.broadcast(q)).select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("qe")), 6).alias("similarity"))
     return s.orderBy(F.desc("similarity"), "vec_id").limit(20)
 
 
@@ -410,7 +404,7 @@ def text_clean(t):
 @query("SELECT unnest([n_name || '_' || r_name, r_name || '_' || n_name]) AS pair FROM nation JOIN region ON n_regionkey = r_regionkey")
 def pair_expand(t):
     j = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))  # five rows
-    return j.select(F.explode(F.array(F.concat_ws("_", "n_name", "r_name"), F.concat_ws("_", "r_name", "n_name"))).alias("pair"))
+    return j.select(F.explode(V.both_orders(F.col("n_name"), F.col("r_name"))).alias("pair"))
 
 
 _TRACKS = "CASE WHEN l_tax < 0.04 THEN 'Real' WHEN l_tax < 0.07 THEN ' fake' END"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import json
 from tessera.functions import keys as K
+from tessera.functions import vectors as V
 from tessera.operators import budget, selection
 from tessera.plans.catalogue import query
 from tessera.sources import files, shared, sinks, split, tree
@@ -213,3 +214,10 @@ def id_list_round_trip(t):
     path = _folder(names, "ids")
     sinks.write_lines(names, "id", path)
     return files.id_list(names.sparkSession, path)
+
+
+@query("WITH x AS (SELECT o_custkey, list(o_orderkey % 40 ORDER BY o_orderkey) AS starts FROM orders GROUP BY 1) SELECT o_custkey, array_to_string(list_sort(list_distinct(flatten(list_transform(starts, lambda s: range(s, s + 5))))), ' ') AS frames FROM x")
+def window_frames(t):
+    """The frames of a video's windows, in order and each once, as an array."""
+    starts = t("orders").groupBy("o_custkey").agg(F.collect_list(F.col("o_orderkey") % 40).alias("starts"))
+    return starts.select("o_custkey", F.array_join(V.frames_of(F.col("starts"), 5).cast("array<string>"), " ").alias("frames"))
