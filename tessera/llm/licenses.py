@@ -40,13 +40,13 @@ TEXTS = {
 }
 SHIFT = 2  # neighbouring diagonals: so many words may be missing or added between two votes
 LEAST = 0.85  # share of a template's k-grams that a verified span has
-_CELLS, _WIDTH = 4, 62  # votes of a diagonal are bits of its template's places, in some longs
+_WIDTH = 62  # votes of a diagonal are bits of its template's places, so many a row
 _WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
-def places() -> list[tuple]:
+def places(texts: dict[str, str] | None = None) -> list[tuple]:
     """Per k-gram of a template: tid, label, base, place, grams, its words. Pairs of words of phrases and notices, triples of texts."""
-    listed = [*((t, x, True, 2) for t, x in PHRASES.items()), *((t, x, False, 2) for t, x in NOTICES.items()), *((t, x, False, 3) for x, t in TEXTS.items())]
+    listed = [*((t, x, True, 2) for t, x in PHRASES.items()), *((t, x, False, 2) for t, x in NOTICES.items()), *((t, x, False, 3) for x, t in (TEXTS | (texts or {})).items())]
     rows = []
     for tid, (text, label, base, k) in enumerate(listed):
         words = _WORDS.findall(text.lower())
@@ -54,14 +54,14 @@ def places() -> list[tuple]:
     return rows
 
 
-def templates(spark: SparkSession) -> DataFrame:
+def templates(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """A row per k-gram of a template: gram, tid, label, base, place, grams."""
-    table = spark.createDataFrame(places(), "tid int, label string, base boolean, place int, grams int, one string, two string, three string")
+    table = spark.createDataFrame(places(texts), "tid int, label string, base boolean, place int, grams int, one string, two string, three string")
     gram = F.when(F.col("three").isNull(), F.xxhash64("one", "two")).otherwise(F.xxhash64("one", "two", "three"))
     return table.select(gram.alias("gram"), "tid", "label", "base", "place", "grams")
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_words, base places (starts, sorted), base_labels, labels, score.
 
     Words are runs of ASCII letters and digits (A-Z lowered) and of everything beyond ASCII. Every pair and triple of
@@ -84,20 +84,18 @@ def scan(docs: DataFrame) -> DataFrame:
     listed = F.when(F.col("n") >= 3, F.concat(start, pairs, triples)).when(F.col("n") == 2, F.concat(start, pairs)).otherwise(start)
     rows = rows.select("doc_id", F.col("n").cast("long").alias("n_words"), own.alias("own"), listed.alias("grams"))
     each = rows.select("doc_id", "own", "n_words", F.posexplode_outer("grams").alias("at", "gram"))
-    table = F.broadcast(templates(docs.sparkSession))  # fixed, some hundred rows
+    table = F.broadcast(templates(docs.sparkSession, texts))  # a row a word of the templates
     votes = each.join(table, (each["gram"] == table["gram"]) & (each["at"] > 0), "left").filter("at = 0 or tid is not null")
     key = ["doc_id", "own", "n_words"]
     place = F.when(F.col("at") < F.col("n_words"), F.col("at") - 1).otherwise(F.col("at") - F.col("n_words")).cast("int")
-    bit = F.expr(f"shiftleft(1L, place % {_WIDTH})")
-    bits = [F.when(F.floor(F.col("place") / _WIDTH) == i, bit).otherwise(F.lit(0).cast("long")).alias(f"b{i}") for i in range(_CELLS)]
-    votes = votes.select(*key, "tid", "label", "base", "grams", (place - F.col("place")).alias("diagonal"), *bits)
-    held = [f"b{i}" for i in range(_CELLS)]
-    lines = votes.groupBy(*key, "tid", "label", "base", "grams", "diagonal").agg(*(F.expr(f"bit_or({b})").alias(b) for b in held), F.count("*").alias("k"))
+    votes = votes.select(*key, "tid", "label", "base", "grams", (place - F.col("place")).alias("diagonal"), F.floor(F.col("place") / _WIDTH).cast("int").alias("cell"), F.expr(f"shiftleft(1L, place % {_WIDTH})").alias("bits"))
+    lines = votes.groupBy(*key, "tid", "label", "base", "grams", "diagonal", "cell").agg(F.bit_or("bits").alias("bits"), F.count("*").alias("k"))
 
     w = Window.partitionBy(*key, "tid").orderBy("diagonal")
     fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > F.when(F.col("base"), 0).otherwise(SHIFT), F.lit(True)).cast("int")
-    merged = lines.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w)).groupBy(*key, "tid", "label", "base", "grams", "run").agg(*(F.expr(f"bit_or({b})").alias(b) for b in held), F.min("diagonal").alias("start"), F.max("diagonal").alias("most"), F.sum("k").alias("k"))
-    share = sum((F.bit_count(b) for b in held[1:]), F.bit_count(held[0])) / F.col("grams")
+    cells = lines.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w)).groupBy(*key, "tid", "label", "base", "grams", "run", "cell").agg(F.bit_or("bits").alias("bits"), F.min("diagonal").alias("start"), F.max("diagonal").alias("most"), F.sum("k").alias("k"))
+    merged = cells.groupBy(*key, "tid", "label", "base", "grams", "run").agg(F.sum(F.bit_count("bits")).alias("votes"), F.min("start").alias("start"), F.max("most").alias("most"), F.sum("k").alias("k"))
+    share = F.col("votes") / F.col("grams")
     sound = F.when(F.col("base"), share == 1).otherwise((share >= LEAST) & (F.col("most") - F.col("start") <= F.col("grams")))
     spans = merged.select(*key, "label", "base", "k", F.col("start").cast("long").alias("start"), F.when(sound, share).alias("share"), F.col("tid").isNull().alias("row"))
     found = spans.groupBy(*key).agg(

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import new_path, saved
 
 ARCHIVE_BYTES = 16 << 20  # an archive is closed when it has grown beyond this
-HEAD_BYTES = 1 << 16  # a record's header has at most so many
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _LINE = re.compile(rb"WARC/1\.[01]\r?\n")
 _VERSION = re.compile(rb"(?<=\n)WARC/1\.[01]\r?\n")
@@ -52,11 +51,28 @@ def member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def _parsed(data: bytes, at: int, proven: bool = False) -> tuple[dict, int] | None:
-    """The record that starts at a version line, and where it ends; None if it fails a check. proven: a digest must confirm it."""
+class _Marks:
+    """The next blank line and the next version line from a place on. Searches go forward, so each byte is searched once."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.held = data, {}
+
+    def next(self, pattern: re.Pattern, at: int) -> re.Match | None:
+        since, found = self.held.get(pattern, (len(self.data) + 1, None))
+        if at < since or (found and found.start() < at):
+            since, found = at, pattern.search(self.data, at)
+            self.held[pattern] = since, found
+        return found
+
+
+def _parsed(data: bytes, at: int, marks: _Marks, proven: bool = False) -> tuple[dict, int] | None:
+    """The record that starts at a version line, and where it ends; None if it fails a check. proven: a digest must confirm it.
+
+    A header may be of any length; it ends at a blank line, before which no other version line stands.
+    """
     line = _LINE.match(data, at)
-    cut = _BLANK.search(data, at, at + HEAD_BYTES) if line else None
-    if not cut:
+    cut = marks.next(_BLANK, at) if line else None
+    if not cut or ((other := marks.next(_VERSION, at + 1)) and other.start() < cut.start()):
         return None
     fields = {}
     for row in data[line.end() : cut.start()].splitlines():
@@ -100,9 +116,9 @@ def _unpacked(data: memoryview, at: int) -> tuple[bytes, int | None]:
 
 def _within(plain: bytes, whole: bool) -> Iterator[dict]:
     """Records of an unpacked member, and gaps between them: after a failed check the next version line is tried."""
-    at, lost = 0, None
+    at, lost, marks = 0, None, _Marks(plain)
     while at < len(plain):
-        if one := _parsed(plain, at, not whole):
+        if one := _parsed(plain, at, marks, not whole):
             if lost is not None:
                 yield {"kind": "gap", "inner_start": lost, "inner_end": at}
                 lost = None
@@ -110,7 +126,7 @@ def _within(plain: bytes, whole: bool) -> Iterator[dict]:
             at = one[1]
             continue
         lost = at if lost is None else lost
-        line = _VERSION.search(plain, at + 1)
+        line = marks.next(_VERSION, at + 1)
         at = line.start() if line else len(plain)
     if lost is not None:
         yield {"kind": "gap", "inner_start": lost, "inner_end": len(plain)}
@@ -124,14 +140,14 @@ def salvage(data: bytes) -> Iterator[dict]:
     before the damage that their own digests confirm; its gap lists where in the member they end. Each byte is searched
     once and unpacked a bounded number of times. Empty data: nothing.
     """
-    view, at, lost = memoryview(data), 0, None
+    view, at, lost, marks = memoryview(data), 0, None, _Marks(data)
     nexts = {"member": -1, "line": -1}
 
     def resume(at: int) -> int:
         if nexts["member"] < at:
             nexts["member"] = k if (k := data.find(_MEMBER, at)) >= 0 else len(data)
         if nexts["line"] < at:
-            nexts["line"] = m.start() if (m := _VERSION.search(data, at)) else len(data)
+            nexts["line"] = m.start() if (m := marks.next(_VERSION, at)) else len(data)
         return min(nexts.values())
 
     while at < len(data):
@@ -139,7 +155,7 @@ def salvage(data: bytes) -> Iterator[dict]:
         if data.startswith(_MEMBER, at):
             plain, end = _unpacked(view, at)
             rows = list(_within(plain, end is not None))
-        elif one := _parsed(data, at):
+        elif one := _parsed(data, at, marks):
             rows, end = [one[0]], one[1]
         good = any(x["kind"] != "gap" for x in rows)
         if good and lost is not None:

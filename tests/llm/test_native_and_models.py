@@ -109,6 +109,16 @@ def _votes(words):
     return ",".join(sorted(found)), max(found.values(), default=0.0)
 
 
+def test_long_licence_texts(spark):
+    rng = np.random.default_rng(5)
+    long = _prose(rng, 700)
+    worn = [w if rng.random() > 0.03 else "other" for w in long]
+    rows = [(1, " ".join(_prose(rng, 50) + long)), (2, " ".join(worn[:350] + ["more"] + worn[350:])), (3, " ".join(long[:400])), (4, "mit license " + " ".join(long))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.report(licenses.scan(docs, {"own-1.0": " ".join(long)})).collect()}
+    assert got[1] == ("own-1.0", 1.0) and got[2][0] == "own-1.0" and 0.85 <= got[2][1] < 1 and got[3] == ("", 0.0) and got[4] == ("mit,own-1.0", 1.0)
+
+
 def test_license_texts_by_brute_force(spark):
     rng = np.random.default_rng(4)
     texts = []

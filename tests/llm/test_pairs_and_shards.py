@@ -101,6 +101,19 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).collect() == []
 
 
+def test_warc_headers_of_any_length(spark):
+    rows = [(1, "http://a/" + "x" * 100_000, "page one"), (2, "http://b/" + "y" * 3_000_000, "p" * 2_000_000), (3, None, "page one")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = warc.read_archives(warc.write_archives(pages, limit=1000))
+    got = {r.page_id: (r.url, r.kind) for r in found.collect()}
+    assert got == {"1": (rows[0][1], "revisit"), "2": (rows[1][1], "response"), "3": ("", "response")}
+    assert warc.quarantine(found).count() == 0
+    lines = b"WARC/1.1\r\nContent-Length: 3\r\n" * 20_000  # version lines without a header's end
+    good = warc.record(9, "u", b"good")
+    assert [x["kind"] for x in warc.salvage(lines + good)] == ["gap", "response"]
+    assert [x["kind"] for x in warc.salvage(warc.member(lines + good))] == ["gap", "response"]
+
+
 def test_warc_repeated_rows_and_ids_of_text(spark):
     rows = [("b c", "u", "same"), ("b c", "u", "same"), ("a", "u", "same"), (None, "u", "same"), (None, "v", "alone"), ("a", "u", "other")]
     found = warc.read_archives(warc.write_archives(spark.createDataFrame(rows, "page_id string, url string, html string")))
