@@ -9,12 +9,14 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import saved
 
+CELLS = 1 << 26  # of the table of an alignment whose rows are kept at once, a bit each
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 SKIPPED = set("aside audio button canvas datalist dialog footer form head header iframe input label math menu nav noscript object option script select style svg template textarea title video".split())
@@ -109,25 +111,35 @@ def blocks(html: str | None) -> tuple[list[str], bool]:
     return (own, True) if own else ([t for _, t in page.blocks], False)
 
 
-def shared_lines(a: list, b: list) -> list[int]:
-    """Places in a of a longest common subsequence of a and b, by bit rows of the alignment (one row a line of b)."""
-    lo = 0
-    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < min(len(a), len(b)) - lo and a[len(a) - 1 - hi] == b[len(b) - 1 - hi]:
-        hi += 1
-    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
+def _rows(x: list, y: list) -> Iterator[int]:
+    """Bit rows of the alignment of x and y, one a line of y: a prefix of x has as many common lines as it has bits that are 0."""
     places: dict = {}
     for i, v in enumerate(x):
         places[v] = places.get(v, 0) | 1 << i
-    full, rows = (1 << len(x)) - 1, []
-    v = full
+    full = v = (1 << len(x)) - 1
     for item in y:
         u = v & places.get(item, 0)
         v = (v + u | v - u) & full
-        rows.append(v)
-    found, i, j = [], len(x), len(y)
+        yield v
+
+
+def _lengths(x: list, y: list) -> np.ndarray:
+    """How many lines each prefix of x has in common with y."""
+    last = (1 << len(x)) - 1
+    for last in _rows(x, y):
+        pass
+    bits = np.unpackbits(np.frombuffer(last.to_bytes(len(x) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(x)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _common(x: list, y: list) -> list[int]:
+    if not x or not y:
+        return []
+    if len(x) * len(y) > CELLS and len(y) > 1:
+        half = len(y) // 2
+        cut = int(np.argmax(_lengths(x, y[:half]) + _lengths(x[::-1], y[half:][::-1])[::-1]))
+        return _common(x[:cut], y[:half]) + [cut + i for i in _common(x[cut:], y[half:])]
+    rows, found, i, j = list(_rows(x, y)), [], len(x), len(y)
     while i and j:
         if rows[j - 1] >> i - 1 & 1:
             i -= 1
@@ -135,8 +147,20 @@ def shared_lines(a: list, b: list) -> list[int]:
             j -= 1
             if not (j and not rows[j - 1] >> i - 1 & 1):
                 i -= 1
-                found.append(lo + i)
-    return [*range(lo), *reversed(found), *range(len(a) - hi, len(a))]
+                found.append(i)
+    return found[::-1]
+
+
+def shared_lines(a: list, b: list) -> list[int]:
+    """Places in a of a longest common subsequence of a and b. Long alignments are halved until their bit rows take some MB."""
+    lo = 0
+    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < min(len(a), len(b)) - lo and a[len(a) - 1 - hi] == b[len(b) - 1 - hi]:
+        hi += 1
+    found = _common(a[lo : len(a) - hi], b[lo : len(b) - hi])
+    return [*range(lo), *(lo + i for i in found), *range(len(a) - hi, len(a))]
 
 
 def url_key(url: str | None) -> tuple[str, str]:
@@ -184,44 +208,56 @@ def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for uid, marked, path, keys, p_path, p_keys, n_path, n_keys in zip(*(c.to_pylist() for c in batch.columns)):
             other = p_keys if _near(path, p_path) >= _near(path, n_path) else n_keys
             if other is not None and (found := shared_lines(keys, other)):
-                gone = set() if marked or len(found) == len(keys) else set(found)
-                out.append((uid, [i for i in range(len(keys)) if i not in gone], len(found)))
+                out.append((uid, [] if marked or len(found) == len(keys) else found, len(found)))
         cols = list(zip(*out)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.int32()), pa.int64()))], ["uid", "kept", "n_shared"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.int32()), pa.int64()))], ["uid", "gone", "n_shared"])
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """Per row of pages: page_id, url, text (the article's blocks joined by one newline), n_shared and n_deleted lines.
-
-    Pages are sorted by host and URL path and dealt by range, so a large host is many partitions. Each page is aligned
-    with its nearer neighbour of the same host (more common path segments, then characters; the earlier one on ties);
-    n_shared lines are in their longest common subsequence, and these go. Where all of a page's lines are shared (a copy
-    of its neighbour, or a part of it) they stay, and so do those inside an article element: quoted passages and
-    licence lines belong to the text. Null or unreadable html: empty text. A null url has no host; such pages are
-    neighbours. Repeated rows are each returned, other columns are not read, an empty table gives an empty result.
-    """
+def _read(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     kind = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, uid bigint, host string, path string, lines array<string>, keys array<bigint>, marked boolean"
-    read = saved(rows.withColumn("url", F.col("url").cast("string")).mapInArrow(_parse, kind), "blocks", codec="zstd")
-    plain, open_ = read.filter("keys is null"), read.filter("keys is not null")
+    return saved(rows.withColumn("url", F.col("url").cast("string")).mapInArrow(_parse, kind), "blocks", codec="zstd")
+
+
+def _aligned(read: DataFrame) -> DataFrame:
+    """uid, gone (places of lines), n_shared of pages that share a line with their nearer neighbour. Only keys of lines are dealt."""
     sort = ["host", "path", "uid"]
-    dealt = saved(open_.select("uid", "host", "path", "keys", "marked").repartitionByRange(*sort).sortWithinPartitions(*sort).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "by_url")
+    open_ = read.filter("keys is not null").select("uid", "host", "path", "keys", "marked")
+    dealt = saved(open_.repartitionByRange(*sort).sortWithinPartitions(*sort).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "by_url")
     before, n = [], 0
     for r in dealt.groupBy("part").agg(F.count("*").alias("k"), F.min("at").alias("least")).orderBy("part").collect():  # a row a partition
         before.append((r["part"], n - r["least"]))
         n += r["k"]
-    shift = pages.sparkSession.createDataFrame(before, "part int, shift bigint")
+    shift = read.sparkSession.createDataFrame(before, "part int, shift bigint")
     placed = dealt.join(F.broadcast(shift), "part").select("uid", "host", "path", "keys", "marked", (F.col("at") + F.col("shift")).alias("at"))
     beside = lambda by, c: placed.select((F.col("at") + by).alias("at"), "host", F.col("path").alias(f"{c}_path"), F.col("keys").alias(f"{c}_keys"))
     trio = placed.join(beside(1, "p"), ["at", "host"], "left").join(beside(-1, "n"), ["at", "host"], "left")
-    kept = trio.select("uid", "marked", "path", "keys", "p_path", "p_keys", "n_path", "n_keys").mapInArrow(_differ, "uid bigint, kept array<int>, n_shared bigint")
-    kept = saved(kept, "kept")  # pages that share lines; broadcast if the files are small, else lines are shuffled
-    found = open_.join(kept, "uid", "left")
-    lines = F.when(F.col("kept").isNull(), F.col("lines")).otherwise(F.transform("kept", lambda i: F.get("lines", i)))
-    left = found.select("page_id", "url", lines.alias("lines"), F.coalesce("n_shared", F.lit(0).cast("long")).alias("n_shared"), (F.size("lines") - F.when(F.col("kept").isNull(), F.size("lines")).otherwise(F.size("kept"))).cast("long").alias("n_deleted"))
-    none = F.lit(0).cast("long")
-    return plain.select("page_id", "url", "lines", none.alias("n_shared"), none.alias("n_deleted")).union(left).select("page_id", "url", F.array_join("lines", "\n").alias("text"), "n_shared", "n_deleted")
+    return trio.select("uid", "marked", "path", "keys", "p_path", "p_keys", "n_path", "n_keys").mapInArrow(_differ, "uid bigint, gone array<int>, n_shared bigint")
+
+
+def main_text(pages: DataFrame) -> DataFrame:
+    """Per row of pages: page_id, url, text (the article's blocks joined by one newline) and n_deleted lines.
+
+    Pages are sorted by host and URL path and dealt by range, so a large host is many partitions. Each page is aligned
+    with its nearer neighbour of the same host (more common path segments, then characters; the earlier one on ties);
+    lines in their longest common subsequence go. Where all of a page's lines are shared (a copy of its neighbour, or a
+    part of it) they stay, and so do those inside an article element: quoted passages and licence lines belong to the
+    text. Lines meet the places of those that go only where a page loses some.
+    Null or unreadable html: empty text. A null url has no host; such pages are neighbours. Repeated rows are each
+    returned, other columns are not read, an empty table gives an empty result.
+    """
+    read = _read(pages)
+    gone = saved(_aligned(read).filter(F.size("gone") > 0).select("uid", "gone"), "gone")
+    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get("lines", i))
+    lines = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(stay)
+    return read.join(gone, "uid", "left").select("page_id", "url", F.array_join(lines, "\n").alias("text"), F.when(F.col("gone").isNotNull(), F.size("gone")).otherwise(0).cast("long").alias("n_deleted"))
+
+
+def alignment(pages: DataFrame) -> DataFrame:
+    """page_id, url, n_shared and n_deleted of pages that share lines with their nearer neighbour: what main_text goes by."""
+    read = _read(pages)
+    return read.select("page_id", "url", "uid").join(_aligned(read), "uid").select("page_id", "url", "n_shared", F.size("gone").cast("long").alias("n_deleted"))
 
 
 def report(found: DataFrame) -> DataFrame:
-    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_deleted")
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_deleted")

@@ -191,6 +191,7 @@ def test_extraction_against_all_neighbours(spark, sf_dir):
     rows += [(20_000, "http://plain.org/a", None), (20_001, None, "<p>alone"), (20_002, None, ""), (20_003, "http://other.org/x", "<p>one</p><p>one</p>")]
     pages = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, lines int, kept string")
     got = {r.page_id: r for r in extract.report(extract.main_text(pages)).collect()}
+    shared = {r.page_id: (r.n_shared, r.n_deleted) for r in extract.alignment(pages).collect()}
     parsed = [(extract.url_key(u), i, *extract.blocks(h)) for i, u, h in rows]
     order = sorted((x for x in parsed if x[2]), key=lambda x: x[0])
     ties = {x[0] for x in order if sum(y[0] == x[0] for y in order) > 1}  # rows with one URL sort as they were read
@@ -202,7 +203,7 @@ def test_extraction_against_all_neighbours(spark, sf_dir):
         best = max(sides, key=lambda x: extract._near(path, x[0][1]), default=None)
         common = extract.shared_lines(lines, best[2]) if best else []
         keep = lines if marked or len(common) == len(lines) else [x for k, x in enumerate(lines) if k not in common]
-        assert (got[i].text, got[i].n_shared, got[i].n_deleted) == ("\n".join(keep), len(common), len(lines) - len(keep))
+        assert (got[i].text, got[i].n_deleted) == ("\n".join(keep), len(lines) - len(keep)) and shared.get(i, (0, 0)) == (len(common), len(lines) - len(keep))
     assert sum(r.n_deleted > 0 for r in got.values()) > 20 and got[20_000].text == got[20_002].text == ""
     assert extract.main_text(pages.limit(0)).collect() == []
 
@@ -217,7 +218,9 @@ def test_articles_inside_skipped_elements():
     assert extract.blocks('<form id="page"><nav>menu</nav><main><p>Real text</p></main></form>') == (["Real text"], True)
 
 
-def test_shared_lines_are_a_longest_common_subsequence():
+@pytest.mark.parametrize("cells", [extract.CELLS, 9])
+def test_shared_lines_are_a_longest_common_subsequence(monkeypatch, cells):
+    monkeypatch.setattr(extract, "CELLS", cells)
     rng = random.Random(1)
     for _ in range(300):
         a, b = ([rng.randint(0, 4) for _ in range(rng.randint(0, 12))] for _ in range(2))
@@ -227,4 +230,12 @@ def test_shared_lines_are_a_longest_common_subsequence():
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
         at = extract.shared_lines(a, b)
         rest = iter(b)
+        assert extract._lengths(a, b).tolist() == [r[-1] for r in best]
         assert len(at) == best[-1][-1] and at == sorted(set(at)) and all(a[i] in rest for i in at)
+
+
+def test_long_pages_align_in_bounded_memory():
+    a = [f"a{i}" if i % 3 else "same" for i in range(20_000)]
+    b = [f"b{i}" if i % 2 else "same" for i in range(20_000)]
+    at = extract.shared_lines(a, b)
+    assert len(at) == sum(x == "same" for x in a) and all(a[i] == "same" for i in at)
