@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,13 +24,13 @@ VECTOR = {
     "repeats": ("ln(1 + 100 * n_repeat_words / greatest(n_words, 1))", 0.7),
 }
 CORE = 0.75  # share of a group whose covariance determinant is made small
-STEPS = 12  # concentration steps at most; they end when no group's log determinant falls by SETTLED
+STEPS = 60  # concentration steps at most; they end when no group's log determinant falls by SETTLED, else a warning says how many still fall
 SETTLED = 1e-2
 CONSISTENT = 1.412  # 0.75 over the share of chi-square with seven degrees below the 0.75 quantile of that with five: the core's covariance is so much too small
 MIDDLE = 4.35  # median of the squared distance if the statistics were normal (five degrees of freedom)
 CUT = 20.515  # squared distance beyond which a document goes: the 0.999 quantile of chi-square with five degrees of freedom
 TABLE = 0.1
-LEAST = 100  # documents of a group that has estimates of its own; others share their language's, then all documents'
+LEAST = 100  # documents of a group that has estimates of its own: 20 for each statistic. Others share their language's, then all documents'
 
 
 def _with_repeats(rows: DataFrame) -> DataFrame:
@@ -163,10 +165,12 @@ def verdicts(stats: DataFrame, vector: dict[str, tuple[str, float]] | None = Non
     twice = members.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     for _ in range(steps):
         fit = saved(_concentrated(twice, fit, core, floors, keys), "fit")
-        falls = fit.agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
+        falls, moving = fit.agg(F.max(F.col("before") - F.col("logdet")), F.count_if(F.col("before") - F.col("logdet") >= SETTLED)).first()
         fit = fit.drop("before")
         if falls is None or falls < SETTLED:
             break
+    else:
+        warnings.warn(f"after {steps} concentration steps, {moving} of the fits still have a determinant that falls", stacklevel=2)
     least_of = fit.groupBy("key").agg(F.min(F.struct("logdet", "start")).alias("r")).select("key", F.col("r.start").alias("start"))
     fit = saved(fit.join(least_of, keys).drop("start", "logdet"), "fit")
     at = _distance(members, fit, d, ["key"], _CELL)

@@ -39,6 +39,58 @@ def test_statistics(docs):
     assert got == sorted(expected, key=str)
 
 
+def test_base_rule(docs):
+    for r in outliers.rules(docs).collect():
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept) and (r.distance2 is None) == r.base_failed
+
+
+def _mcd(x, floors, rng):
+    """Centre and covariance of the core with the least determinant, from many random starts and single rows' ranks."""
+    h, best = int(np.ceil(outliers.CORE * len(x))), None
+    for _ in range(200):
+        own = rng.choice(len(x), 12, replace=False)
+        for _ in range(40):
+            c = np.cov(x[own].T, bias=True) + np.diag(np.array(floors) ** 2) * 1e-3
+            z = x - x[own].mean(0)
+            near = np.argsort(np.einsum("ij,jk,ik->i", z, np.linalg.inv(c), z))[:h]
+            if set(near) == set(own):
+                break
+            own = near
+        det = np.linalg.slogdet(np.cov(x[own].T, bias=True))[1]
+        if best is None or det < best[0]:
+            best = det, own
+    return x[best[1]].mean(0), np.cov(x[best[1]].T, bias=True)
+
+
+def test_verdicts_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k, (lang, source) in enumerate((("en", "a"), ("en", "b"), ("de", "a"))):
+        for i in range(260):
+            lines = []
+            for _ in range(rng.integers(6, 30)):
+                line = " ".join(w + ("#" * int(rng.integers(1, 4)) if rng.random() < 0.06 + 0.05 * k else "") for w in (f"w{rng.integers(0, 4000):0{4 + k}d}" for _ in range(rng.integers(6, 12))))
+                lines += [line] * (2 if rng.random() < 0.08 else 1)
+            if i % 13 == 0:
+                lines = [" ".join(w + "#$%" * 6 for w in line.split()) for line in lines]
+            rows.append((1000 * k + i, "\n".join(lines), lang, source))
+    got = outliers.rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).filter("not base_failed").collect()
+    floors, judged, gone = [x[1] for x in outliers.VECTOR.values()], 0, 0
+    for group in {(r.lang, r.source) for r in got}:
+        own = [r for r in got if (r.lang, r.source) == group]
+        x = np.array([[np.log1p(r.n_words), np.log(max(r.word_chars, 1) / r.n_words), np.log1p(100 * r.n_symbols / r.n_words), np.log1p(r.n_dup_lines), np.log1p(100 * r.n_repeat_words / r.n_words)] for r in own])
+        centre, cov = _mcd(x, floors, rng)
+        z = x - centre
+        wide = cov + np.diag(np.maximum(np.array(floors) ** 2 - np.diag(cov), 0))
+        d2 = np.einsum("ij,jk,ik->i", z, np.linalg.inv(wide), z) / outliers.CONSISTENT
+        d2 /= max(1.0, np.median(d2) / outliers.MIDDLE)
+        for r, v in zip(own, d2):
+            if not outliers.CUT / 2 < v < outliers.CUT * 2:
+                assert r.kept == (v < outliers.CUT), (r.doc_id, v, r.distance2)
+                judged, gone = judged + 1, gone + (not r.kept)
+    assert judged > 600 and gone > 30
+
+
 def test_outliers_go(spark):
     rng = np.random.default_rng(0)
     rows = [(i, " ".join(f"w{rng.integers(0, 5000):04d}" for _ in range(rng.integers(80, 300))), "en", "s") for i in range(300)]
