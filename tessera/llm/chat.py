@@ -47,8 +47,8 @@ def format_chats(conversations: DataFrame, loss_roles: tuple[str, ...] = ("assis
     Turns stand in order of turn, then role and text. The plain rendering is parsed; if the recovered turns differ
     from the source, the escaped one is taken, which always agrees. loss is run lengths over the code points of
     formatted: (length, masked, escaped text), masked runs being the texts of loss_roles. Null text or role is empty;
-    null turns come first; null conv_id is a conversation of its own. Repeated rows are repeated turns. An empty table
-    gives no conversation.
+    null turns come first; null conv_id is a conversation of its own. Repeated rows are repeated turns. Other
+    columns are not read, whatever their names. An empty table gives no conversation.
     """
     said = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
     chats = said.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))

@@ -23,6 +23,7 @@ _SAFE = [chr(c) for c in (9, 10, 13, *range(32, 127), *range(0xA1, 0x180))]
 _letters = "".join(c for c in _SAFE if unicodedata.category(c)[0] == "L")
 _numbers = "".join(c for c in _SAFE if unicodedata.category(c)[0] == "N")
 _ODD = re.compile("[^" + re.escape("".join(_SAFE)) + "]|<\\|(?:start|end)oftext\\|>")
+#: Fixed value: how the public tokenizer splits text into words, for the characters above.
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{re.escape(_letters)}]+|[{re.escape(_numbers)}]|[^\\s{re.escape(_letters)}{re.escape(_numbers)}]+")
 
 
@@ -136,7 +137,8 @@ def pack(docs: DataFrame, vocab_path: str | None = None, length: int = LENGTH, e
     shard_bytes of text, so a shard's size doesn't grow with the input and at most its last sequence is padded. Rows
     are dealt to shards in turn by their place in the scan: docs should be read from files (any scan whose order is
     the same when repeated), and then no key, copy or source gathers in a shard. Null text is empty: the end id alone.
-    A null doc_id stays null. Repeated rows are each packed. Other columns are not read.
+    A null doc_id stays null. Repeated rows are each packed. Other
+    columns are not read, whatever their names. An empty table gives no piece.
     """
     if vocab_path is None:
         import public_tokenizers
