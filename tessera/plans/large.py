@@ -21,9 +21,9 @@ g AS (SELECT c_custkey, rn, cost <= 90000 AS taken, 90000 - cost AS room FROM t
  UNION ALL SELECT t.c_custkey, t.rn, t.cost <= g.room AND g.room > 0, CASE WHEN t.cost <= g.room THEN g.room - t.cost ELSE g.room END FROM g JOIN t ON t.rn = g.rn + 1)
 SELECT c_custkey, taken FROM g""")
 def budget_one_group(t):
-    """All tasks share one budget; blocks of 64 rows, so that the tables given span many."""
+    """All tasks share one budget; blocks of 512 rows, so that the tables given span some."""
     tasks = t("customer").select("c_custkey", (F.floor(F.abs("c_acctbal")) % 1000).alias("cost"))
-    return budget.greedy(tasks, [], ["c_custkey"], "cost", 90000, block=64).select("c_custkey", "taken")
+    return budget.greedy(tasks, [], ["c_custkey"], "cost", 90000, block=512).select("c_custkey", "taken")
 
 
 _PHASES = """WITH RECURSIVE x AS (SELECT c_mktsegment AS g, c_custkey AS i, CASE WHEN c_nationkey % 2 = 0 THEN 'fake' ELSE 'real' END AS kind, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS phase,
@@ -37,11 +37,11 @@ SELECT g, i, taken FROM d WHERE rn > 0"""
 
 @query(_PHASES)
 def budget_phases_idle(t):
-    """Two phases over budgets of two kinds, the first ended by an idle stop; blocks of 32 rows."""
+    """Two phases over budgets of two kinds, the first ended by an idle stop; blocks of 128 rows."""
     fake, key = F.col("c_nationkey") % 2 == 0, F.col("c_custkey")
     cost = F.when(fake, 1 + key % 90).when(key % 16 == 1, 30).when(key % 3 == 0, 20).otherwise(0)
     tasks = t("customer").select(F.col("c_mktsegment").alias("g"), key.alias("i"), F.when(fake, "fake").otherwise("real").alias("kind"), F.when(key % 3 == 0, 2).otherwise(1).alias("phase"), cost.alias("cost"))
-    return budget.two_phase(tasks, ["g"], "kind", "phase", ["i"], "cost", {"fake": 700, "real": 900}, idle_stop=12, block=32).select("g", "i", "taken")
+    return budget.two_phase(tasks, ["g"], "kind", "phase", ["i"], "cost", {"fake": 700, "real": 900}, idle_stop=12, block=128).select("g", "i", "taken")
 
 
 _SPLITS = """WITH x AS (SELECT o_orderstatus AS split, CAST(o_custkey AS VARCHAR) AS id, o_orderkey AS i, CASE WHEN o_orderkey % 50 = 0 THEN 'cover.png' ELSE o_custkey || '_' || o_orderkey || '.png' END AS name FROM orders)"""

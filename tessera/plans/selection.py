@@ -119,9 +119,16 @@ def positional_placeholder(t):
     return selection.positional_join(*_positions(t), "i", "placeholder", F.concat(F.lit("video_"), F.col("i").cast("string")))
 
 
-@query("SELECT event_id AS i, value AS p, o_orderpriority AS path FROM events JOIN orders ON event_id = o_orderkey WHERE o_orderkey % 4 > 0 AND (SELECT count(*) FROM events) = (SELECT count(*) FROM orders WHERE o_orderkey % 4 > 0)")
+@query("SELECT o_orderkey AS i, o_totalprice AS p, o_orderpriority AS path FROM orders")
 def positional_strict(t):
-    return selection.positional_join(*_positions(t), "i")
+    """Scores and paths of as many positions: side by side. Of the tables of the other positional queries, which differ in length, it gives no row."""
+    left, right = t("orders").select(F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("p")), t("orders").select(F.col("o_orderkey").alias("i"), F.col("o_orderpriority").alias("path"))
+    return selection.positional_join(left, right, "i").union(selection.positional_join(*_positions(t), "i"))
+
+
+@query("SELECT event_id AS i, value AS p, o_orderpriority AS path FROM events JOIN orders ON event_id = o_orderkey WHERE o_orderkey % 4 > 0")
+def positional_truncate(t):
+    return selection.positional_join(*_positions(t), "i", "truncate")
 
 
 @query("WITH l AS (SELECT lower(regexp_extract(url, '[^/]*$')) AS n, min(url) AS found FROM pages GROUP BY 1) SELECT page_id, upper(regexp_extract(url, '[^/]*$')) AS name, found FROM pages LEFT JOIN l ON lower(upper(regexp_extract(url, '[^/]*$'))) = n")

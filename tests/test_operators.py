@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import keys as K
-from tessera.operators import budget, metrics, selection
+from tessera.functions import vectors as V
+from tessera.operators import budget, manifests, metrics, selection
 
 
 def test_video_key_rules(spark):
@@ -97,7 +98,7 @@ def _scan(rows, budgets, stop):
     return out
 
 
-@pytest.mark.parametrize(("stop", "spread"), [(None, 9), (4, 9), (7, 1), (25, 40), (None, 600)])
+@pytest.mark.parametrize(("stop", "spread"), [(4, 9), (25, 40), (None, 600)])
 def test_blocks_of_a_large_group_decide_as_a_scan(spark, stop, spread):
     rng = random.Random(f"{stop} {spread}")
     cost = lambda: rng.choice([None, -1, 0, 0, rng.randint(0, 3), *(rng.randint(1, spread * k) for k in (1, 4, 9))])
@@ -205,3 +206,33 @@ def test_pairs_and_draws(spark):
     assert abs(sum(r.y == "rare" for r in drawn) - 2000) < 200 and len({r.id for r in drawn if r.y == "rare"}) == 20
     assert len({r.id for r in drawn if r.y == "common"}) > 1000
     assert selection.balanced_draws(rows.limit(0), "y", "id", 10, 1).count() == 0
+
+
+def test_needed_frames_and_split_audit_edges(spark):
+    rng = random.Random(4)
+    frames = [(k, i) for k in ("a", "b", None) for i in range(-30, 90)]
+    starts = [(rng.choice(["a", "b", "c", None]), rng.randint(-25, 80)) for _ in range(9)] + [("a", None)]
+    f, s = spark.createDataFrame(frames + frames[:5], "k string, i int"), spark.createDataFrame(starts, "k string, s int")
+    for length in (1, 4, 7):
+        got = sorted((r.k, r.i) for r in selection.needed_frames(f, "k", "i", s, "s", length).collect())
+        assert got == sorted((k, i) for k, i in frames + frames[:5] if k and any(k == x and b is not None and b <= i < b + length for x, b in starts))
+    images = spark.createDataFrame([("one", "v_1.png"), ("one", "v_0.png"), ("one", "w_0.png"), ("two", "v_3.png"), ("two", "odd.png"), ("two", "x_1_2.png")], "split string, image_name string").select("split", "image_name", K.image_id(F.col("image_name")).alias("id")).select("split", "image_name", "id.*")
+    two = {r.split: r for r in selection.split_summary(images, ["one", "two"]).collect()}
+    assert two["one"].images_per_metadata == {"v": 2, "w": 1} and two["one"].frame_indices_per_metadata == {"v": [0, 1], "w": [0]} and two["one"].unique == ["w"]
+    assert two["two"].skipped_files == ["odd.png"] and two["two"].unique == ["x_1"] and two["two"].shared_metadata_ids == ["v"] and two["two"].image_count == 2
+    three = {r.split: r for r in selection.split_summary(images, ["one", "two", "none"]).collect()}
+    assert three["none"].metadata_ids == [] and three["none"].image_count == 0 and three["one"].shared_metadata_ids == [] and three["one"].unique == ["w"]
+    alone = selection.split_summary(images.filter("split = 'one'"), ["one"]).first()
+    assert alone.unique == alone.shared_metadata_ids == []
+
+
+def test_vectors_and_manifests(spark):
+    df = spark.createDataFrame([(1, [1000.0, 0.0], [3.0, 4.0]), (2, [0.0, 0.0], [0.0, 0.0]), (3, [], [])], "i int, a array<double>, b array<double>")
+    got = {r.i: (r.s, r.c) for r in df.select("i", V.softmax(F.col("a"), 1).alias("s"), V.cosine(F.col("b"), F.array(F.lit(4.0), F.lit(3.0))).alias("c")).filter("i < 3").collect()}
+    assert got[1][0] == 0 and math.isclose(got[1][1], 0.96) and got[2] == (0.5, None)
+    rows = spark.createDataFrame([("x", k) for k in (5, 3, 9)] + [(None, 1)], "g string, k int")
+    assert {(r.g, r.k) for r in manifests.first_of(rows, ["g"], ["k"]).collect()} == {("x", 3), (None, 1)}
+    assert sorted((r.k, r.number) for r in manifests.numbered(rows, ["k"]).collect()) == [(1, 1), (3, 2), (5, 3), (9, 4)]
+    assert manifests.group_totals(rows.limit(0), "g", 2).first().asDict() == {"videos": 0, "images": 0, "kept": 0, "dropped": 0, "min_frames": 0, "max_frames": 0, "mean_frames": 0.0}
+    turns = spark.createDataFrame([("a", 0), ("a", 1), ("a", 1), ("b", 1), ("b", 2), ("c", 0), ("c", 2), ("d", None)], "g string, t int")
+    assert {r.g: r.complete for r in manifests.complete_sequences(turns, "g", "t").collect()} == {"a": True, "b": False, "c": False, "d": False}
