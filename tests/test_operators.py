@@ -1,3 +1,5 @@
+import html
+import html.entities
 import math
 import random
 
@@ -6,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import keys as K
+from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import budget, manifests, metrics, selection
 
@@ -236,3 +239,12 @@ def test_vectors_and_manifests(spark):
     assert manifests.group_totals(rows.limit(0), "g", 2).first().asDict() == {"videos": 0, "images": 0, "kept": 0, "dropped": 0, "min_frames": 0, "max_frames": 0, "mean_frames": 0.0}
     turns = spark.createDataFrame([("a", 0), ("a", 1), ("a", 1), ("b", 1), ("b", 2), ("c", 0), ("c", 2), ("d", None)], "g string, t int")
     assert {r.g: r.complete for r in manifests.complete_sequences(turns, "g", "t").collect()} == {"a": True, "b": False, "c": False, "d": False}
+
+
+def test_character_references(spark):
+    rng = random.Random(13)
+    parts = ["&", "amp", ";", "#", "x", "X", "41", "8364", "128", "x80", "0", "13", "55296", "1114112", "99999999999999999999", "1", "11", "65534", "lt", "notit", "notin", "not", "NotEqualTilde", "copy", "é", " ", "a", "&&", "&#", "&#x", "\n", "<", "&amp;amp;", "&lt", "&nosuchname;", "&fjlig;", "😀", "&Aacute", "f" * 40]
+    texts = [None, "", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(3000)), *(f"&#{n};" for n in range(300)), *(f"&#x{n:x}" for n in range(0xFDC8, 0xFDF8)), *(f"x&{k}y" for k in sorted(html.entities.html5)[::7])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(8)
+    for r in rows.select("i", "t", T.unescaped(F.col("t")).alias("u")).collect():
+        assert r.u == (None if r.t is None else html.unescape(r.t)), repr(r.t)
