@@ -20,8 +20,16 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
 
 
-def group_scores(frames: DataFrame, key: str, p: str = "p", y: str = "y") -> DataFrame:
-    """Per video: n, label by majority (ties: 0), mixed, and the five scores. Frames rank within their video only."""
+def group_scores(frames: DataFrame, key: str, p: str = "p", y: str = "y", block: int | None = None) -> DataFrame:
+    """Per video: n, label by majority (ties: 0), mixed, and the five scores. Null scores count as frames only.
+
+    A video's frames meet in one task. With block, only those of videos with up to so many do; scores of longer ones
+    are ranked by ranges of the data (medians) or cut to five a task before they meet (best ones).
+    """
+    if block is not None:
+        large = saved(frames.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > block).select(key), "large")
+        if not large.isEmpty():
+            return group_scores(frames.join(large, key, "left_anti"), key, p, y).union(_long_scores(frames.join(large, key, "left_semi"), key, p, y))
     rn = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(p)))
     f = frames.withColumn("rn", rn)
     return f.groupBy(key).agg(
@@ -31,6 +39,20 @@ def group_scores(frames: DataFrame, key: str, p: str = "p", y: str = "y") -> Dat
     )
 
 
+def _long_scores(frames: DataFrame, key: str, p: str, y: str) -> DataFrame:
+    base = frames.groupBy(key).agg(
+        F.count("*").alias("n"), F.when(F.sum(y) * 2 > F.count("*"), 1).otherwise(0).alias("y"), (F.min(y) != F.max(y)).alias("mixed"),
+        F.avg(p).alias("mean"), F.max(p).alias("max"), F.count(p).alias("_k"),
+    )
+    rn = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(p)))
+    best = frames.select(key, p).withColumn("rn", rn).filter("rn <= 5").groupBy(key).agg(F.avg(F.when(F.col("rn") <= 3, F.col(p))).alias("top3_mean"), F.avg(p).alias("top5_mean"))
+    cells = frames.filter(F.col(p).isNotNull()).groupBy(key, p).agg(F.count("*").alias("_c"))
+    ranked = running_sums(cells, [key], F.col(p), {"_c": "_upto"}).join(base.select(key, "_k"), key)
+    at = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col(p)))
+    middle = ranked.groupBy(key).agg(((at(F.floor((F.col("_k") + 1) / 2)) + at(F.floor(F.col("_k") / 2) + 1)) / 2).alias("median"))
+    return base.join(best, key).join(middle, key, "left").select(key, "n", "y", "mixed", "mean", "max", "median", "top3_mean", "top5_mean")
+
+
 def by_method(scores: DataFrame) -> DataFrame:
     return scores.select("y", F.explode(F.map_from_arrays(F.array(*map(F.lit, METHODS)), F.array(*METHODS))).alias("method", "p"))
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tessera.functions import json
 from tessera.functions import keys as K
 from tessera.functions import vectors as V
-from tessera.operators import budget, selection
-from tessera.plans.catalogue import query
+from tessera.operators import budget, metrics, selection
+from tessera.plans.catalogue import _SCORES, _frames, query
 from tessera.sources import files, shared, sinks, split, tree
 
 
@@ -221,3 +221,10 @@ def window_frames(t):
     """The frames of a video's windows, in order and each once, as an array."""
     starts = t("orders").groupBy("o_custkey").agg(F.collect_list(F.col("o_orderkey") % 40).alias("starts"))
     return starts.select("o_custkey", F.array_join(V.frames_of(F.col("starts"), 5).cast("array<string>"), " ").alias("frames"))
+
+
+@query(_SCORES + " SELECT video, n, CAST(y AS INT) AS y, mixed, round(mean, 6) AS mean, round(max, 6) AS max, round(median, 6) AS median, round(top3_mean, 6) AS top3_mean, round(top5_mean, 6) AS top5_mean FROM s")
+def long_video_scores(t):
+    """Scores of videos, those of more than 66 frames by ranges of their scores."""
+    s = metrics.group_scores(_frames(t), "video", block=66)
+    return s.select("video", "n", "y", "mixed", *(F.round(m, 6).alias(m) for m in metrics.METHODS))
