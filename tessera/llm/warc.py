@@ -7,7 +7,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Generator, Iterator
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import new_path, saved
 
+WINDOW = 8 << 20  # bytes of an archive that are read at a time
+CUT = "cut"
+_SHORT = 64  # bytes within which a magic, a version line or a record's last newlines may be cut
 ARCHIVE_BYTES = 16 << 20  # an archive is closed when it has grown beyond this
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _LINE = re.compile(rb"WARC/1\.[01]\r?\n")
@@ -65,22 +68,25 @@ class _Marks:
         return found
 
 
-def _parsed(data: bytes, at: int, marks: _Marks, proven: bool = False) -> tuple[dict, int] | None:
-    """The record that starts at a version line, and where it ends; None if it fails a check. proven: a digest must confirm it.
+def _parsed(data: bytes, at: int, marks: _Marks, proven: bool = False) -> tuple[dict, int] | str | None:
+    """The record that starts at a version line, and where it ends; None if it fails a check, CUT if the data ends first.
+    proven: a digest must confirm it.
 
     A header may be of any length; it ends at a blank line, before which no other version line stands.
     """
     line = _LINE.match(data, at)
-    cut = marks.next(_BLANK, at) if line else None
-    if not cut or ((other := marks.next(_VERSION, at + 1)) and other.start() < cut.start()):
-        return None
+    cut, other = (marks.next(_BLANK, at), marks.next(_VERSION, at + 1)) if line else (None, None)
+    if not cut or (other and other.start() < cut.start()):
+        return CUT if line and not other else None
     fields = {}
     for row in data[line.end() : cut.start()].splitlines():
         key, _, value = row.decode("utf-8", "replace").partition(":")
         fields[key.strip().lower()] = value.strip()
     size, kind = fields.get("content-length", ""), fields.get("warc-type", "")
-    if not kind or "warc-record-id" not in fields or not re.fullmatch("[0-9]{1,18}", size) or cut.end() + int(size) > len(data):
+    if not kind or "warc-record-id" not in fields or not re.fullmatch("[0-9]{1,18}", size):
         return None
+    if cut.end() + int(size) > len(data):
+        return CUT
     end = cut.end() + int(size)
     block = data[cut.end() : end]
     said, digest = fields.get("warc-block-digest"), fields.get("warc-payload-digest", "").removeprefix("sha1:")
@@ -100,25 +106,25 @@ def _parsed(data: bytes, at: int, marks: _Marks, proven: bool = False) -> tuple[
     return found, _TAIL.match(data, end).end()
 
 
-def _unpacked(data: memoryview, at: int) -> tuple[bytes, int | None]:
-    """What the gzip member at a place unpacks to, and where it ends: None if it is damaged or cut off, then what comes before."""
+def _unpacked(data: memoryview, at: int) -> tuple[bytes, int | None, bool]:
+    """What the gzip member at a place unpacks to, and where it ends: None if it is damaged or cut off, then what comes before; and is it cut off?"""
     for most in (1 << 20, 64):  # small slices lose the least before an error
         unpack, parts, k, step = zlib.decompressobj(31), [], at, min(4096, most)
         try:
             while k < len(data) and not unpack.eof:
                 parts.append(unpack.decompress(data[k : k + step]))
                 k, step = min(k + step, len(data)), min(2 * step, most)
-            return b"".join(parts), k - len(unpack.unused_data) if unpack.eof else None
+            return b"".join(parts), k - len(unpack.unused_data) if unpack.eof else None, not unpack.eof
         except zlib.error:
             pass
-    return b"".join(parts), None
+    return b"".join(parts), None, False
 
 
 def _within(plain: bytes, whole: bool) -> Iterator[dict]:
     """Records of an unpacked member, and gaps between them: after a failed check the next version line is tried."""
     at, lost, marks = 0, None, _Marks(plain)
     while at < len(plain):
-        if one := _parsed(plain, at, marks, not whole):
+        if (one := _parsed(plain, at, marks, not whole)) and one is not CUT:
             if lost is not None:
                 yield {"kind": "gap", "inner_start": lost, "inner_end": at}
                 lost = None
@@ -132,15 +138,17 @@ def _within(plain: bytes, whole: bool) -> Iterator[dict]:
         yield {"kind": "gap", "inner_start": lost, "inner_end": len(plain)}
 
 
-def salvage(data: bytes) -> Iterator[dict]:
+def salvage(data: bytes, final: bool = True, at: int = 0, lost: int | None = None) -> Generator[dict, None, tuple[int, int | None]]:
     """Records of an archive (gzip members or plain), each with start and end; a gap (kind "gap") for bytes that no valid one covers.
 
     After a failed check the search goes on at the next version line of the unpacked member, then at the next gzip
     magic, or at the next version line of a plain archive. A member that is damaged or cut off gives up the records
     before the damage that their own digests confirm; its gap lists where in the member they end. Each byte is searched
     once and unpacked a bounded number of times. Empty data: nothing.
+    Unless final, data is the beginning of more: then what its end may cut stays undecided. Returned are the place of
+    the first undecided byte and where the gap before it began, with which a later call, given more data, goes on.
     """
-    view, at, lost, marks = memoryview(data), 0, None, _Marks(data)
+    view, marks = memoryview(data), _Marks(data)
     nexts = {"member": -1, "line": -1}
 
     def resume(at: int) -> int:
@@ -150,14 +158,28 @@ def salvage(data: bytes) -> Iterator[dict]:
             nexts["line"] = m.start() if (m := marks.next(_VERSION, at)) else len(data)
         return min(nexts.values())
 
+    if lost is not None:
+        begun, at = at, resume(at)
+        if not final and at == len(data):  # a magic or a version line may begin in the last bytes
+            return max(begun, len(data) - _SHORT), lost
     while at < len(data):
+        if not final and len(data) - at < _SHORT:
+            return at, lost
         rows, end = [], None
         if data.startswith(_MEMBER, at):
-            plain, end = _unpacked(view, at)
+            plain, end, cut = _unpacked(view, at)
+            if not final and cut:
+                return at, lost
             rows = list(_within(plain, end is not None))
         elif one := _parsed(data, at, marks):
-            rows, end = [one[0]], one[1]
+            if not final and (one is CUT or one[1] > len(data) - _SHORT):
+                return at, lost
+            if one is not CUT:
+                rows, end = [one[0]], one[1]
         good = any(x["kind"] != "gap" for x in rows)
+        after = resume(at + 1 if end is None else end) if end is None or not good else end
+        if not final and after == len(data) and end is None and good:
+            return at, lost
         if good and lost is not None:
             yield {"kind": "gap", "start": lost, "end": at}
             lost = None
@@ -166,15 +188,40 @@ def salvage(data: bytes) -> Iterator[dict]:
                 yield row | {"start": at, "end": end}
             at = end
             continue
-        after = resume(at + 1 if end is None else end)
         if good:  # the head of a damaged member
             yield from (row | {"start": at, "end": after} for row in rows if row["kind"] != "gap")
             yield {"kind": "gap", "start": at, "end": after, "inner_start": max(row["inner_end"] for row in rows if row["kind"] != "gap")}
         elif lost is None:
             lost = at
+        if not final and after == len(data):
+            return max(at + 1, len(data) - _SHORT), lost
         at = after
-    if lost is not None:
+    if final and lost is not None:
         yield {"kind": "gap", "start": lost, "end": len(data)}
+    return at, lost
+
+
+def salvage_stream(read: Callable[[int], bytes], window: int = WINDOW) -> Iterator[dict]:
+    """salvage of an archive of any size, of which a window is held, or as much as its largest member or record takes.
+
+    read(n) gives the next n bytes, or what is left.
+    """
+    base, data, at, lost, want, final = 0, b"", 0, None, window, False
+    while not final:
+        more = read(want)
+        final = len(more) < want
+        data += more
+        found, before = salvage(data, final, at, lost), at
+        while True:
+            try:
+                row = next(found)
+            except StopIteration as e:
+                at, lost = e.value
+                break
+            yield row | {"start": row["start"] + base, "end": row["end"] + base}
+        keep = max(0, at - 1)  # a version line is told by the byte before it
+        want = window if at > before else 2 * want
+        data, base, at, lost = data[keep:], base + keep, at - keep, None if lost is None else lost - keep
 
 
 def _writer(folder: str, limit: int):
@@ -240,16 +287,15 @@ def _reader(payloads: bool):
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 store, path = fs.FileSystem.from_uri(uri)
-                with store.open_input_stream(path, compression=None) as f:
-                    data = f.read()
                 held: list[dict] = []
                 size = 0
-                for row in salvage(data):
-                    size += len(row.get("payload") or b"")
-                    held.append(row if payloads else row | {"payload": None})
-                    if size > 1 << 22 or len(held) == 1 << 14:
-                        yield pa.RecordBatch.from_arrays([pa.array([uri if n == "uri" else x.get(n) for x in held], t) for n, t in zip(names, kinds)], names)
-                        held, size = [], 0
+                with store.open_input_stream(path, compression=None) as f:
+                    for row in salvage_stream(f.read):
+                        size += len(row.get("payload") or b"")
+                        held.append(row if payloads else row | {"payload": None})
+                        if size > 1 << 22 or len(held) == 1 << 14:
+                            yield pa.RecordBatch.from_arrays([pa.array([uri if n == "uri" else x.get(n) for x in held], t) for n, t in zip(names, kinds)], names)
+                            held, size = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array([uri if n == "uri" else x.get(n) for x in held], t) for n, t in zip(names, kinds)], names)
 
     return of
@@ -258,7 +304,7 @@ def _reader(payloads: bool):
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     """All records and gaps of the archives in manifest.uri: columns FOUND.
 
-    Archives are dealt in turn, some each task. A task holds one archive and one of its unpacked members at a time. An
+    Archives are dealt in turn, some each task. A task holds a window of an archive and one unpacked member at a time. An
     empty manifest gives an empty result, a null uri is skipped; an archive that is listed twice is read twice.
     """
     named = manifest.select("uri").filter("uri is not null")

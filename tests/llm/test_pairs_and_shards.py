@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import io
 import random
 import re
 import time
@@ -239,3 +240,26 @@ def test_long_pages_align_in_bounded_memory():
     b = [f"b{i}" if i % 2 else "same" for i in range(20_000)]
     at = extract.shared_lines(a, b)
     assert len(at) == sum(x == "same" for x in a) and all(a[i] == "same" for i in at)
+
+
+def test_archives_are_read_by_windows():
+    rng = random.Random(21)
+    for trial in range(60):
+        parts = []
+        for i in range(rng.randint(0, 12)):
+            one = b"".join(warc.record(f"{i}-{k}", "u", bytes(rng.choice(b"ab\nWARC/1.1") for _ in range(rng.choice([0, 5, 300, 3000])))) for k in range(rng.randint(1, 3)))
+            packed = bytearray(warc.member(one) if trial % 3 else one)
+            change = rng.random()
+            if change < 0.2:
+                packed[rng.randrange(len(packed))] ^= 1 << rng.randrange(8)
+            elif change < 0.3:
+                del packed[rng.randrange(len(packed)) :]
+            elif change < 0.4:
+                packed += rng.choice([b"junk\n" * 40, b"\x1f\x8b\x08", b"\nWARC/1.0\r\nx", b"\nWARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: x\r\nContent-Length: 99999\r\n\r\n"])
+            parts.append(bytes(packed))
+        data = b"".join(parts)
+        want = list(warc.salvage(data))
+        assert [0, *(x["end"] for x in want)][-1] == len(data)
+        for window in (1, 70, 333, 5000, 1 << 20):
+            stream = io.BytesIO(data)
+            assert list(warc.salvage_stream(stream.read, window)) == want, (trial, window)
