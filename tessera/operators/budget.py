@@ -16,6 +16,7 @@ from tessera.sources.shared import saved
 
 BLOCK = 1 << 16  # rows of a group that one task decides one after another
 UNLIMITED = 1 << 62
+MOST_NAMED = 1000  # blocks that a filter names; of more, the join alone tells
 _LEVELS = StructType([StructField("kind", StringType()), StructField("small", ArrayType(LongType())), StructField("mid", ArrayType(LongType()))])
 
 
@@ -216,9 +217,11 @@ def _blockwise(rows: DataFrame, order: list[str], starts: DataFrame, idle_stop:
         walk = levels.join(known, [*block_of, "_kind"], "left").repartition("_group", "_kind").sortWithinPartitions("_group", "_kind", *block_of)
         entries = saved(walk.mapInArrow(_walked, "_part int, _block int, _kind string, entry bigint, pending boolean"), "entries")
         pending = entries.filter("pending").drop("pending")
-        if pending.isEmpty():
+        which = pending.select(*block_of).distinct().limit(MOST_NAMED + 1).collect()
+        if not which:
             break
-        asked = placed.select(*block_of, "_kind", "_pos", "_cost").join(pending, [*block_of, "_kind"])
+        near = placed if len(which) > MOST_NAMED else placed.filter(F.col("_part").isin(sorted({r[0] for r in which})) & F.col("_block").isin(sorted({r[1] for r in which})))  # other files are not read
+        asked = near.select(*block_of, "_kind", "_pos", "_cost").join(pending, [*block_of, "_kind"])
         asked = asked.repartition(*block_of, "_kind").sortWithinPartitions(*block_of, "_kind", "_pos").select(*block_of, "_kind", "_cost", "entry")
         found.append(saved(asked.mapInArrow(_left, "_part int, _block int, _kind string, left bigint"), "left"))
     entered = placed.drop("_levels").join(entries.drop("pending"), [*block_of, "_kind"]).repartition(*block_of).sortWithinPartitions(*block_of, "_pos")
