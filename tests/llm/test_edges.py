@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 from tessera.llm import chat, extract, outliers, packing, pii
 
@@ -54,3 +55,35 @@ def test_long_private_text(spark):
 
 def test_packing_of_nothing(spark):
     assert packing.pack(_with_clashes(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
+
+
+def _greedy(lengths, length):
+    """(sequence, tokens) of each part by plain loops: the cheapest sequence with room for the whole, else cuts."""
+    n = max(1, -(-sum(lengths) // length))
+    room, cost, out = [length] * n, [0.0] * n, []
+    for left in lengths:
+        parts = []
+        while left:
+            able = [k for k in range(n) if room[k] >= left] or [k for k in range(n) if room[k]]
+            k = min(able, key=lambda k: (cost[k], k))
+            take = min(left, room[k])
+            parts.append((k, take))
+            room[k] -= take
+            cost[k] += packing.LINEAR * take + packing.QUADRATIC * take * take
+            left -= take
+        out.append(parts)
+    return out, cost
+
+
+def test_packing_is_balanced_and_full(spark):
+    rng = random.Random(5)
+    for _ in range(30):
+        lengths = sorted((rng.choice([rng.randint(1, 4095), rng.randint(1, 300)]) for _ in range(rng.randint(1, 120))), reverse=True)
+        want, cost = _greedy(lengths, 4096)
+        assert [[(k, n) for k, _, _, n in parts] for parts in packing.assign(np.array(lengths), 4096)] == want
+    docs = spark.createDataFrame([(i, "word " * rng.choice([10, 200, 900, 5000])) for i in range(400)], "doc_id long, text string")
+    used = {}
+    for r in packing.pack(docs, shard_bytes=1 << 18).collect():
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    shards = len({s >> 32 for s in used})
+    assert shards > 1 and len(used) <= -(-sum(used.values()) // 4096) + shards
