@@ -116,24 +116,24 @@ def split_summary(images: DataFrame, splits: list[str], split: str = "split", ke
     frame_indices_per_metadata, skipped_files (names without an id), unique (ids of this split alone), shared_metadata_ids.
 
     This is the report of a set that people look through: a split's ids are one array. split_counts and split_sharing
-    give the same as rows, for sets of any size.
+    give the same as rows, for sets of any size. Arrays and maps have their ids in order: who needs all entries of a map
+    goes over map_entries, as a look-up by key goes over the map.
     """
     counts = split_counts(images, split, key, index)
     sharing = split_sharing(counts, len(splits), split, key)
     each = counts.join(sharing, key)
-    entry = lambda v: F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.col(v).alias("value"))))
-    own = each.groupBy(split).agg(
-        F.sum("n").alias("image_count"), F.count("*").alias("unique_metadata_count"), F.sort_array(F.collect_list(key)).alias("metadata_ids"),
-        F.map_from_entries(entry("n")).alias("images_per_metadata"), F.map_from_entries(entry("indexes")).alias("frame_indices_per_metadata"),
-        F.sort_array(F.collect_list(F.when(F.col("only_in").isNotNull(), F.col(key)))).alias("unique"),
-    )
-    skipped = images.filter(F.col(key).isNull()).groupBy(split).agg(F.sort_array(F.collect_list(name)).alias("skipped_files"))
+    ids, names = F.struct(F.col(key).alias("key"), "n", "indexes", "only_in"), F.lit(None).cast("string")
+    rows = each.select(split, ids.alias("id"), names.alias("skipped"))
+    rows = rows.unionByName(images.filter(F.col(key).isNull()).select(split, F.col(name).alias("skipped")), allowMissingColumns=True)
+    rows = rows.filter(F.col(split).isin(*splits)).unionByName(images.sparkSession.createDataFrame([(x,) for x in splits], f"`{split}` string"), allowMissingColumns=True)
+    # one sorted array of ids a split, from which all columns come; nothing is joined to such rows but shared ids
+    own = rows.groupBy(split).agg(F.coalesce(F.sum("id.n"), F.lit(0)).alias("image_count"), F.count("id").alias("unique_metadata_count"), F.sort_array(F.collect_list("id")).alias("ids"), F.sort_array(F.collect_list("skipped")).alias("skipped_files"))
     shared = sharing.filter("shared").agg(F.sort_array(F.collect_list(key)).alias("shared_metadata_ids"))  # one row
-    every = images.sparkSession.createDataFrame([(x,) for x in splits], f"`{split}` string")
-    out = every.join(own, split, "left").join(skipped, split, "left").join(F.broadcast(shared))
-    zero, none = F.lit(0).cast("long"), F.expr("cast(array() as array<string>)")
-    filled = {"image_count": zero, "unique_metadata_count": zero, "metadata_ids": none, "unique": none, "skipped_files": none, "images_per_metadata": F.expr("cast(map() as map<string, bigint>)")}
-    return out.select(split, *(F.coalesce(c, filled[c]).alias(c) if c in filled else c for c in out.columns if c != split))
+    return own.join(F.broadcast(shared)).select(
+        split, "image_count", "unique_metadata_count", F.col("ids.key").alias("metadata_ids"),
+        F.map_from_arrays("ids.key", "ids.n").alias("images_per_metadata"), F.map_from_arrays("ids.key", "ids.indexes").alias("frame_indices_per_metadata"),
+        F.filter("ids", lambda i: i["only_in"].isNotNull())["key"].alias("unique"), "skipped_files", "shared_metadata_ids",
+    )
 
 
 def positional_join(left: DataFrame, right: DataFrame, position: str, on_mismatch: str = "none", placeholder: Column | None = None) -> DataFrame:

@@ -66,7 +66,8 @@ SELECT split, coalesce(image_count, 0) AS image_count, coalesce(unique_metadata_
 def split_summary(t):
     """The report over four splits, one of them without an image; its arrays and maps as texts."""
     out = selection.split_summary(_images(t), ["F", "O", "P", "none"])
-    listed = F.transform("metadata_ids", lambda i: F.concat_ws(":", i, F.element_at("images_per_metadata", i).cast("string"), F.array_join(F.element_at("frame_indices_per_metadata", i).cast("array<string>"), " ")))
+    entry = lambda n, places: F.concat_ws(":", n["key"], n["value"].cast("string"), F.array_join(places["value"].cast("array<string>"), " "))
+    listed = F.zip_with(F.map_entries("images_per_metadata"), F.map_entries("frame_indices_per_metadata"), entry)  # both by id in order
     return out.select("split", "image_count", "unique_metadata_count", F.array_join(listed, ",").alias("listed"), F.array_join("unique", ",").alias("only_here"), F.size("skipped_files").cast("long").alias("skipped"), F.size("shared_metadata_ids").cast("long").alias("shared"))
 
 

@@ -2,6 +2,7 @@ import html
 import html.entities
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from tessera.functions import keys as K
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import budget, manifests, metrics, selection
+from tessera.plans import catalogue, large  # noqa: F401  the latter adds its queries to the first
 
 
 def test_video_key_rules(spark):
@@ -229,6 +231,25 @@ def test_needed_frames_and_split_audit_edges(spark):
     assert alone.unique == alone.shared_metadata_ids == []
 
 
+def test_split_report_of_many_ids(spark, tmp_path):
+    """The time of a split's report grows with its ids, not with their square (40,000 ids took minutes)."""
+    orders = spark.range(80000).select(F.col("id").alias("o_orderkey"), (F.col("id") % 40000).alias("o_custkey"), F.when(F.col("id") == 3, "O").otherwise("F").alias("o_orderstatus"))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    began = time.time()
+    got = {r.split: r for r in catalogue.QUERIES["split_summary"](spark, str(tmp_path)).collect()}
+    assert time.time() - began < 60
+    places = {}
+    for i in range(80000):
+        if i % 50 and i != 3:
+            places.setdefault(str(i % 40000), []).append(i)
+    assert got["F"].listed == ",".join(f"{k}:{len(v)}:{' '.join(map(str, v))}" for k, v in sorted(places.items()))
+    assert got["F"].skipped == 1600 and got["F"].unique_metadata_count == len(places) and got["O"].listed == "3:1:3" and got["O"].only_here == ""
+    assert got["none"].listed == got["none"].only_here == "" and got["none"].skipped == 0
+    images = spark.createDataFrame([("one", "v", 0, "v_0.png"), ("else", "w", 0, "w_0.png")], "split string, metadata_id string, frame_index long, image_name string")
+    none = {r.split: r for r in selection.split_summary(images, ["one", "none"]).collect()}
+    assert none.keys() == {"one", "none"} and none["none"].frame_indices_per_metadata == {} and none["none"].skipped_files == []
+
+
 def test_vectors_and_manifests(spark):
     df = spark.createDataFrame([(1, [1000.0, 0.0], [3.0, 4.0]), (2, [0.0, 0.0], [0.0, 0.0]), (3, [], [])], "i int, a array<double>, b array<double>")
     got = {r.i: (r.s, r.c) for r in df.select("i", V.softmax(F.col("a"), 1).alias("s"), V.cosine(F.col("b"), F.array(F.lit(4.0), F.lit(3.0))).alias("c")).filter("i < 3").collect()}
