@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.llm.fmindex import FMIndex
-from tessera.llm.shared import LOWER_ALNUM, name, saved
+from tessera.llm.shared import LOWER_ALNUM, keeps, name, saved, sent_once, slices
 
 WINDOW = 10
 SHARD = 1 << 19  # words that one index holds (one longer text is a shard of its own)
@@ -66,7 +66,7 @@ class _Held(NamedTuple):
     items: object
 
 
-def _scanner(held, window: int, all_rows: bool):
+def _scanner(held, window: int, all_rows: bool, rest: int = 1):
     def shard(texts: list, phrases: _Phrases) -> tuple[np.ndarray, list, list]:
         counts, parts, docs, places = np.zeros(len(texts), np.int64), [], [], []
         for d, text in enumerate(texts):
@@ -106,9 +106,10 @@ def _scanner(held, window: int, all_rows: bool):
         return counts, spans, items
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps("decontamination", lambda: None)
         phrases = _phrases(held, window)
         span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in slices(batches):
             texts, lo = batch.column(0).to_pylist(), 0
             while lo < len(texts):
                 hi, size = lo, 0
@@ -117,7 +118,7 @@ def _scanner(held, window: int, all_rows: bool):
                     hi += 1
                 counts, spans, items = shard(texts[lo:hi], phrases)
                 spans = [[{"first": a, "end": b} for a, b in x] for x in spans]
-                out = pa.RecordBatch.from_arrays([pa.array(counts), pa.array(spans, span), pa.array([sorted(x) for x in items], pa.list_(pa.string())), *(c.slice(lo, hi - lo) for c in batch.columns[1:])], ["n_words", "spans", "items", *batch.schema.names[1:]])
+                out = pa.RecordBatch.from_arrays([pa.array(counts), pa.array(spans, span), pa.array([sorted(x) for x in items], pa.list_(pa.string())), *(c.slice(lo, hi - lo) for c in batch.columns[rest:])], ["n_words", "spans", "items", *batch.schema.names[rest:]])
                 yield out if all_rows else out.filter(pa.array([bool(x) for x in items]))
                 lo = hi
 
@@ -147,14 +148,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).filter("item is not null and text is not null").distinct()
     size = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     parts = 1 + size // block
-    rest = F.struct(F.col(name(id_col)).alias("doc_id"), F.struct(F.lit(None).cast("int").alias("none"), *(F.col(name(c)).alias(c) for c in carry)).alias("carried"))
+    once = sent_once(docs, carry)
+    rest = F.struct(F.col(name(id_col)).alias("doc_id"), F.struct(F.lit(None).cast("int").alias("none"), *(F.col(name(c)).alias(c) for c in carry if not (once and c == "text"))).alias("carried"))
     rows = docs.select(F.col("text").cast("string").alias("text"), rest.alias("row"))
 
     def search(df: DataFrame, part: int, all_rows: bool) -> tuple[DataFrame, object]:
         own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
         held = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in own.collect()])
         kind = StructType.fromDDL(_FOUND)
-        return df.mapInArrow(_scanner(_Held(uuid.uuid4().hex, held), window, all_rows), StructType(kind.fields + [f for f in df.schema if f.name != "text"])), held
+        with_text = once and parts == 1
+        return df.mapInArrow(_scanner(_Held(uuid.uuid4().hex, held), window, all_rows, 0 if with_text else 1), StructType(kind.fields + [f for f in df.schema if with_text or f.name != "text"])), held
 
     if parts == 1:
         out, _ = search(rows, 0, True)
@@ -166,9 +169,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             found.append(saved(hits, "hits"))
             held.destroy()
         merged = reduce(DataFrame.union, found).groupBy("uid").agg(F.max("n_words").alias("n_words"), _joined(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))  # a row a part
-        out = numbered.select("uid", "row").join(merged, "uid")
-    out = out.select("row.doc_id", "n_words", "spans", "items", *(["row.carried"] if carry else []))
-    return out.withColumn("carried", F.col("carried").dropFields("none")) if carry else out
+        out = numbered.select("uid", "row", *(["text"] if once else [])).join(merged, "uid")
+    carried = F.struct(*((F.col("text") if once and c == "text" else F.col(f"row.carried.{name(c)}")).alias(c) for c in carry)).alias("carried")
+    return out.select("row.doc_id", "n_words", "spans", "items", *([carried] if carry else []))
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tessera.llm.shared import name
+from tessera.llm.shared import keeps, name, sent_once
 
 SAMPLE_DOCS = 2000  # about so many documents a language are learned from
 SAMPLE_WORDS = 8000  # and so many of their most frequent words
 ROUNDS = 5  # of expectation and maximisation
 SEGMENT = 32  # words up to this length are scored many at once, longer ones each by itself, over its whole length
 UNKNOWN = 1e-7  # the probability of a character that no piece covers
-CACHED = 300_000  # words whose scores a worker keeps
+CACHED = 150_000  # words whose scores a worker keeps
 _ASCII, _WORD = re.compile("[a-z]+"), regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _pieces: dict[str, dict[str, int]] = {}
 
@@ -208,10 +208,11 @@ def train(labelled: DataFrame, vocab_path: str | None = None, sample_docs: int =
 _scores: dict[str, tuple[dict[str, int], np.ndarray]] = {}
 
 
-def _scorer(model, own: str, vocab_path: str | None, step: int = 256):
-    """Scores texts; a worker keeps the scores of the first CACHED words that it meets, over all its tasks with this model."""
+def _scorer(model, own: str, vocab_path: str | None, rest: int = 2, step: int = 256):
+    """Scores texts and passes on the columns from rest; a worker keeps the scores of the first CACHED words that it meets, over all its tasks with this model."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps("langid", _scores.clear)
         langs, probs = model.value
         vocab = vocabulary(vocab_path)
         longest = max(map(len, vocab))
@@ -220,9 +221,9 @@ def _scorer(model, own: str, vocab_path: str | None, step: int = 256):
             _scores[own] = {}, np.zeros((1024, len(langs)))
         number, logs = _scores[own]
         for batch in batches:
-            texts, preds, scores = batch.column(1).to_pylist(), [], []
-            for lo in range(0, len(texts), step):
-                lists = [split_words(t) if t else [] for t in texts[lo : lo + step]]
+            preds, scores = [], []
+            for lo in range(0, batch.num_rows, step):
+                lists = [split_words(t) if t else [] for t in batch.column(1).slice(lo, step).to_pylist()]
                 all_ = set().union(*lists) if langs else set()
                 long = {w: log_total(w, vocab, longest, probs) for w in all_ if len(w) > SEGMENT}
                 all_ -= long.keys()
@@ -248,7 +249,7 @@ def _scorer(model, own: str, vocab_path: str | None, step: int = 256):
                 if len(number) > CACHED:
                     for w in new[-(len(number) - CACHED) :]:  # the last ones added
                         del number[w]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), *batch.columns[2:]], ["id", "lang_pred", "score", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), *batch.columns[rest:]], ["id", "lang_pred", "score", *batch.schema.names[rest:]])
 
     return of
 
@@ -270,7 +271,11 @@ def identify(docs: DataFrame, training: DataFrame | None = None, vocab_path: str
     labelled = training.filter(~held_out()).select(F.col("doc_id").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(train(labelled, vocab_path))
     carry = carry or []
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("t"), F.struct(*(F.col(name(c)).alias(c) for c in carry)).alias("carried"))
-    kind = StructType([rows.schema["id"], StructField("lang_pred", StringType()), StructField("score", DoubleType()), *([rows.schema["carried"]] if carry else [])])
-    out = (rows if carry else rows.drop("carried")).mapInArrow(_scorer(model, uuid.uuid4().hex, vocab_path), kind)
-    return out.withColumnRenamed("id", "doc_id")
+    once = len(carry) > 1 and sent_once(docs, carry)
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("t"), F.struct(*(F.col(name(c)).alias(c) for c in carry if not (once and c == "text"))).alias("carried"))
+    rows = rows if carry else rows.drop("carried")
+    kind = StructType([rows.schema["id"], StructField("lang_pred", StringType()), StructField("score", DoubleType()), *rows.schema.fields[1 if once else 2 :]])
+    out = rows.mapInArrow(_scorer(model, uuid.uuid4().hex, vocab_path, 1 if once else 2), kind).withColumnRenamed("id", "doc_id")
+    if not once:
+        return out
+    return out.select("doc_id", "lang_pred", "score", F.struct(*((F.col("t") if c == "text" else F.col(f"carried.{name(c)}")).alias(c) for c in carry)).alias("carried"))

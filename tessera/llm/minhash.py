@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import LOWER, chunks, saved
+from tessera.llm.shared import LOWER, chunks, keeps, saved, slices
 
 BANDS, ROWS = 24, 4  # a pair at 0.85 shares no band with probability (1 - 0.85**4)**24 = 2e-8
 BINS, BITS = 2048, 4096  # of the samples in an odd sketch, and its size
@@ -89,7 +89,8 @@ def signature(own: np.ndarray) -> tuple[np.ndarray, int, bytes]:
 
 def _signed(width: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        keeps("minhash", _powers.clear)
+        for batch in slices(batches):
             texts = [(x or "").encode("utf-8", "replace") for x in batch.column(2).to_pylist()]
             for lo, hi in chunks(texts):
                 sizes, keys, bands, bins, sketches = [], [], [], [], []
@@ -111,7 +112,8 @@ def _sets(width: int):
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
+        keeps("minhash", _powers.clear)
+        for batch in slices(batches):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             fresh = [k for k, key in enumerate(keys) if not (key in seen or seen.add(key))]
             texts = [texts[k].encode("utf-8", "replace") for k in fresh]

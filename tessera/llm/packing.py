@@ -13,11 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import keeps, slices
+
 LENGTH = 4096  # tokens of a sequence
 END = 2  # the id after each document
 SHARD_BYTES = 3 << 20  # text of a shard: some 300 sequences, of which the last is padded
 LINEAR, QUADRATIC = 1.0, 1 / 4096  # cost of a token, and of a pair of tokens that attend to each other
-CACHED = 500_000  # words whose ids a worker keeps
+CACHED = 250_000  # words whose ids a worker keeps
 
 _SAFE = [chr(c) for c in (9, 10, 13, *range(32, 127), *range(0xA1, 0x180))]
 _letters = "".join(c for c in _SAFE if unicodedata.category(c)[0] == "L")
@@ -73,8 +75,9 @@ def _cutter(path: str, shards: int, length: int, end: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        keeps("packing", _tokens.clear)
         turn = TaskContext.get().partitionId() * 7919
-        for batch in batches:
+        for batch in slices(batches):
             docs, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
             for lo in range(0, len(texts), 64):
                 rows = []

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StringType
 
 #: A-Z to a-z, everything else as it is.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -41,6 +44,31 @@ def name(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, so that a worker holds few of their texts as Python's own."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, clear: Callable[[], None]) -> None:
+    """Told by owner's tasks: what other operators have kept in this worker goes, as Spark uses it for one after another."""
+    others = [k for k in _kept if k != owner]
+    for k in others:
+        _kept.pop(k)()
+    _kept[owner] = clear
+    if others:
+        pa.default_memory_pool().release_unused()
+
+
+def sent_once(docs: DataFrame, carry: list[str]) -> bool:
+    """Whether the text that a task reads can stand for the one in carry, so that it is not sent twice."""
+    return "text" in carry and docs.schema["text"].dataType == StringType()
+
+
 def chunks(values: list, limit: int = 1 << 20):
     """(first, last) of runs of texts with about limit bytes each; a longer text is a run of its own."""
     first, held = 0, 0

@@ -4,8 +4,9 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
-from tessera.llm import chat, extract, outliers, packing, pii
+from tessera.llm import chat, decontaminate, extract, langid, outliers, packing, pii, shared
 
 CLASH = {"plain": "1", "again": "2", "level": "3", "formatted": "4", "parsed": "5", "loss": "6", "turns": "7", "kept": "8", "n": "9", "words": "a", "lines": "b", "kind": "c", "key": "d", "a.b`c": "e"}
 
@@ -87,3 +88,25 @@ def test_packing_is_balanced_and_full(spark):
         used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
     shards = len({s >> 32 for s in used})
     assert shards > 1 and len(used) <= -(-sum(used.values()) // 4096) + shards
+
+
+def test_workers_hold_little(spark):
+    """A text is sent to a task once, also where it is carried; batches come in parts; one operator's memory at a time."""
+    docs = spark.createDataFrame([(i, "the cat sat on the mat " * 3, "en", "s") for i in range(8)], "doc_id long, text string, lang string, source string")
+    bench = spark.createDataFrame([("a", "the cat sat on the mat the cat sat on")], "item_id string, text string")
+    carry = ["lang", "text", "source"]
+    for found in (langid.identify(docs, carry=carry), decontaminate.contamination(docs, bench, carry=carry)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        below = plan[next(i for i, x in enumerate(plan) if "MapInArrow" in x) + 1]
+        assert below.count("text#") == 1, below
+        assert sorted(r.carried for r in found.collect()) == sorted(tuple(r) for r in docs.select(carry).collect())
+    batch = pa.RecordBatch.from_pydict({"x": list(range(2500))})
+    parts = list(shared.slices(iter([batch, batch.slice(0, 0), batch.slice(0, 3)])))
+    assert [p.num_rows for p in parts] == [1024, 1024, 452, 3] and [x for p in parts[:3] for x in p.column(0).to_pylist()] == list(range(2500))
+    one, two = {1: 1}, {2: 2}
+    shared.keeps("one", one.clear)
+    shared.keeps("one", one.clear)
+    assert one
+    shared.keeps("two", two.clear)
+    assert not one and two
+    shared.keeps("none", dict)
